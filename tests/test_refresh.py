@@ -1,0 +1,95 @@
+import json
+import os
+import uuid
+
+from curbwatch.operators import fine_counts
+from curbwatch.schema import DETECTIONS_SCHEMA
+from curbwatch.session import shared_dir
+from curbwatch.sources import CollectionRegistry
+from curbwatch.streaming import latest_report, read_changes, start_refresh, watch_collection
+
+from .fixtures import edge_detections
+
+AVAILABLE_NOW = {"availableNow": True}
+
+
+def _write_changes(folder, ops):
+    os.makedirs(folder, exist_ok=True)
+    name = os.path.join(folder, f"changes-{uuid.uuid4().hex}.json")
+    with open(name + ".tmp", "w") as fh:
+        fh.write("\n".join(json.dumps({"operationType": op, "ns": "x"}) for op in ops) + "\n")
+    os.replace(name + ".tmp", name)
+
+
+def test_fires_for_four_operation_types_only(spark):
+    root = shared_dir(spark, "test_refresh_ops")
+    fired = []
+
+    def run():
+        q = start_refresh(read_changes(spark, "json", f"{root}/changes"), fired.append, f"{root}/ckpt",
+                          trigger=AVAILABLE_NOW)
+        q.awaitTermination()
+
+    # FIXTURES.md F4
+    _write_changes(f"{root}/changes", ["insert", "delete"])
+    run()
+    assert len(fired) == 1
+    _write_changes(f"{root}/changes", ["drop"])
+    run()
+    assert len(fired) == 1
+    run()
+    assert len(fired) == 1
+    for op in ("update", "replace"):
+        _write_changes(f"{root}/changes", [op])
+        run()
+    assert len(fired) == 3
+    _write_changes(f"{root}/changes", ["rename", "invalidate", "dropDatabase"])
+    run()
+    assert len(fired) == 3
+
+
+def test_report_follows_data_change(spark):
+    root = shared_dir(spark, "test_refresh_report")
+    collection, changes_dir = f"{root}/DETECTIONS", f"{root}/changes"
+    edge = edge_detections(spark)
+    edge.write.parquet(collection)
+    registry = CollectionRegistry(spark)
+    registry.add("TEST_DETECTIONS", DETECTIONS_SCHEMA, path=collection)
+
+    def run():
+        q = watch_collection(registry, "TEST_DETECTIONS", read_changes(spark, "json", changes_dir), f"{root}/ckpt",
+                             report=fine_counts, report_path=f"{root}/reports", trigger=AVAILABLE_NOW)
+        q.awaitTermination()
+
+    _write_changes(changes_dir, ["insert"])
+    run()
+    total = {r["id"]: r["value"] for r in latest_report(spark, f"{root}/reports").collect()}[0]
+    assert total == 12
+    edge.limit(5).write.mode("append").parquet(collection)
+    _write_changes(changes_dir, ["insert"])
+    run()
+    total = {r["id"]: r["value"] for r in latest_report(spark, f"{root}/reports").collect()}[0]
+    assert total == 17
+    assert registry.get("TEST_DETECTIONS").count() == 17
+    assert registry.remove("TEST_DETECTIONS") is True
+    assert registry.remove("TEST_DETECTIONS") is False
+    assert registry.get("TEST_DETECTIONS") is None
+
+
+def test_registry_add_is_idempotent_and_stop_all(spark):
+    root = shared_dir(spark, "test_registry")
+    edge_detections(spark).write.parquet(f"{root}/c")
+    registry = CollectionRegistry(spark)
+    first = registry.add("REG_A", DETECTIONS_SCHEMA, path=f"{root}/c")
+    again = registry.add("REG_A", DETECTIONS_SCHEMA, path=f"{root}/other-path-ignored")
+    assert first.count() == again.count() == 12
+    assert spark.table("REG_A").schema == DETECTIONS_SCHEMA
+    os.makedirs(f"{root}/changes-none")
+    q = start_refresh(read_changes(spark, "json", f"{root}/changes-none"), lambda b: None, f"{root}/ckpt")
+    registry.attach_watch("REG_A", q)
+    assert q.isActive
+    registry.stop_all()
+    assert not q.isActive
+    assert registry.names() == ["REG_A"]
+    registry.remove("REG_A")
+    assert "REG_A" not in [t.name for t in spark.catalog.listTables()]
