@@ -1,5 +1,15 @@
 from .codes import count_where, has_fine_code, is_dropped, is_fine, is_manual, is_paid, sector_label
-from .filters import IN, TYPE_KEY, apply_filters, compile_filters, emitted_kinds, predicate, split_type_filter
+from .filters import (
+    IN,
+    TYPE_KEY,
+    apply_filters,
+    compile_filters,
+    emitted_kinds,
+    filter_clause,
+    predicate,
+    quote_identifier,
+    split_type_filter,
+)
 from .params import fine_report_params
 
 __all__ = [
@@ -9,6 +19,7 @@ __all__ = [
     "compile_filters",
     "count_where",
     "emitted_kinds",
+    "filter_clause",
     "fine_report_params",
     "has_fine_code",
     "is_dropped",
@@ -16,6 +27,7 @@ __all__ = [
     "is_manual",
     "is_paid",
     "predicate",
+    "quote_identifier",
     "sector_label",
     "split_type_filter",
 ]

@@ -15,6 +15,11 @@ Semantics kept on purpose (three-valued SQL logic):
 
 Rejected up front with ``ValueError``: lists/sets/dicts as an equality value,
 an ``$in`` that is not a list, and operators other than ``$in``.
+
+Two equivalent forms: ``predicate``/``compile_filters`` build Column
+expressions, ``filter_clause`` builds SQL text with named parameter markers
+(values are bound, never spliced into the text) for the reports, which are
+single SQL statements.
 """
 
 from __future__ import annotations
@@ -39,8 +44,8 @@ def _check_scalar(key: str, value: Any) -> None:
         raise ValueError(f"filter on {key!r}: unsupported value {value!r}; use a scalar or {{'{IN}': [...]}}")
 
 
-def predicate(key: str, value: Any) -> Column:
-    """One filter entry as a Column predicate."""
+def _members(key: str, value: Any) -> list | None:
+    """Validate one entry; the ``$in`` members, or ``None`` for a scalar."""
     if isinstance(value, Mapping):
         if set(value) != {IN}:
             raise ValueError(f"filter on {key!r}: only {{'{IN}': [...]}} is supported, got {dict(value)!r}")
@@ -49,11 +54,51 @@ def predicate(key: str, value: Any) -> Column:
             raise ValueError(f"filter on {key!r}: {IN} needs a list, got {members!r}")
         for member in members:
             _check_scalar(key, member)
-        return F.col(key).isin(list(members))
+        return list(members)
     _check_scalar(key, value)
+    return None
+
+
+def predicate(key: str, value: Any) -> Column:
+    """One filter entry as a Column predicate."""
+    members = _members(key, value)
+    if members is not None:
+        return F.col(key).isin(members)
     return F.col(key) == F.lit(value)
 
 
+def quote_identifier(name: str) -> str:
+    """``name`` as a quoted SQL identifier, safe inside a ``{}``-formatted
+    statement (braces doubled)."""
+    quoted = "`" + name.replace("`", "``") + "`"
+    return quoted.replace("{", "{{").replace("}", "}}")
+
+
+def filter_clause(filters: Mapping[str, Any] | None, prefix: str = "f") -> tuple[str, dict[str, Any]]:
+    """SQL predicate text for ``filters`` and its parameter values.
+
+    ``TRUE`` when there is no condition; an empty ``$in`` is ``FALSE``.
+    Parameter names are ``{prefix}{i}`` / ``{prefix}{i}_{j}``.
+    """
+    if not filters:
+        return "TRUE", {}
+    parts: list[str] = []
+    args: dict[str, Any] = {}
+    for i, (key, value) in enumerate(filters.items()):
+        column = quote_identifier(key)
+        members = _members(key, value)
+        if members is None:
+            args[f"{prefix}{i}"] = value
+            parts.append(f"{column} = :{prefix}{i}")
+        elif not members:
+            parts.append("FALSE")
+        else:
+            names = [f"{prefix}{i}_{j}" for j in range(len(members))]
+            args.update(zip(names, members))
+            parts.append(f"{column} IN ({', '.join(':' + n for n in names)})")
+    return " AND ".join(parts), args
+
+
 def compile_filters(filters: Mapping[str, Any] | None) -> Column | None:
     """Conjunction of all entries, or ``None`` when there is no condition."""
     if not filters:
@@ -67,16 +112,18 @@ def apply_filters(df: DataFrame, filters: Mapping[str, Any] | None) -> DataFrame
     return df if condition is None else df.filter(condition)
 
 
-def split_type_filter(filters: Mapping[str, Any] | None) -> tuple[Column | None, dict[str, Any]]:
-    """Split off the ``TYPE`` entry: ``(type predicate or None, other entries)``.
+def split_type_filter(filters: Mapping[str, Any] | None) -> tuple[dict[str, Any] | None, dict[str, Any]]:
+    """Split off the ``TYPE`` entry: ``({"TYPE": value} or None, other entries)``.
 
-    Only the exact key ``TYPE`` is split off; the caller's mapping is not
-    modified.
+    Only the exact key ``TYPE`` is split off (and validated); the caller's
+    mapping is not modified.
     """
     rest = dict(filters or {})
     if TYPE_KEY not in rest:
         return None, rest
-    return predicate(TYPE_KEY, rest.pop(TYPE_KEY)), rest
+    value = rest.pop(TYPE_KEY)
+    _members(TYPE_KEY, value)
+    return {TYPE_KEY: value}, rest
 
 
 def emitted_kinds(filters: Mapping[str, Any] | None, kinds: Mapping[str, tuple[int, ...]]) -> list[str]:
@@ -88,11 +135,9 @@ def emitted_kinds(filters: Mapping[str, Any] | None, kinds: Mapping[str, tuple[i
     """
     if not filters:
         return list(kinds)
-    value = filters.get(TYPE_KEY) if TYPE_KEY in filters else None
-    if not isinstance(value, Mapping):
-        if TYPE_KEY in filters:
-            predicate(TYPE_KEY, value)  # validate
+    if TYPE_KEY not in filters:
+        return []
+    members = _members(TYPE_KEY, filters[TYPE_KEY])
+    if members is None:
         return []
-    predicate(TYPE_KEY, value)  # validate
-    members = list(value[IN])
     return [name for name, codes in kinds.items() if any(m == c for m in members for c in codes)]

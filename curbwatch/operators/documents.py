@@ -7,34 +7,32 @@ sorts each list, so a document is byte-stable for the same data.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from ..plans.statements import Source, run_statement
 from ..schema import FINE_METRICS
-from .fine_report import fine_report
-from .master_report import DOCUMENT_KEYS, DISTRIBUTIONS, master_report
+from .fine_report import FINE_REPORT_SQL
+from .master_report import DOCUMENT_KEYS, _report_sql
 from .metrics import Filters
 
-_JSON_OPTIONS = {"ignoreNullFields": "false"}
+_JSON_OPTIONS = "map('ignoreNullFields', 'false')"
 
 
-def fine_report_document(df: DataFrame) -> DataFrame:
+def fine_report_document(source: Source) -> DataFrame:
     """One row ``document``: ``{"fineCounts": {key: {"value", "id"}, ...},
     "sectors": [{"name", "value"}, ...]}``."""
-    report = fine_report(df)
-    body = F.struct(
-        F.struct(*[F.col(key) for key, _ in FINE_METRICS]).alias("fineCounts"),
-        F.sort_array(F.col("sectors")).alias("sectors"),
+    counts = ", ".join(f"'{key}', {key}" for key, _ in FINE_METRICS)
+    text = (
+        f"SELECT to_json(named_struct('fineCounts', named_struct({counts}), 'sectors', sort_array(sectors)), "
+        f"{_JSON_OPTIONS}) AS document\nFROM (\n{FINE_REPORT_SQL})"
     )
-    return report.select(F.to_json(body, _JSON_OPTIONS).alias("document"))
-
-
-def master_report_document(df: DataFrame, filters: Filters = None) -> DataFrame:
-    """One row ``document`` with the eight master-report keys in order."""
-    report = master_report(df, filters)
-    fields = [
-        F.sort_array(F.col(key)).alias(key)
-        if key in DISTRIBUTIONS and key != "transactionTypesDistribution"
-        else F.col(key)
-        for key in DOCUMENT_KEYS
-    ]
-    return report.select(F.to_json(F.struct(*fields), _JSON_OPTIONS).alias("document"))
+    return run_statement(source, text)
+
+
+def master_report_document(source: Source, filters: Filters = None) -> DataFrame:
+    """One row ``document`` with the eight master-report keys in order; the
+    sector and reason lists sorted, the type list in report order."""
+    report, args = _report_sql(filters)
+    sorted_lists = ("sectorsFineDistribution", "droppedTransactionDistribution")
+    fields = ", ".join(f"'{key}', {f'sort_array({key})' if key in sorted_lists else key}" for key in DOCUMENT_KEYS)
+    text = f"SELECT to_json(named_struct({fields}), {_JSON_OPTIONS}) AS document\nFROM (\n{report})"
+    return run_statement(source, text, args)

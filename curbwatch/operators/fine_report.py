@@ -4,58 +4,77 @@ The report takes no filter: request parameters are validated by
 ``functions.fine_report_params`` and then not applied (callers who want a
 subset compose ``apply_filters`` first). The total is over all rows; the
 code counts look at FINE_TYPE alone, so they need not add up to the total.
+
+Every function takes a DataFrame or the name of a registered view and
+returns a DataFrame built from one SQL statement.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.codes import count_where, has_fine_code, sector_label
-from ..schema import FINE_METRICS
+from ..plans.statements import Source, run_statement
+from ..schema import FINE_METRICS, UNKNOWN_SECTOR
 
 
-def _metric_aggs() -> list:
-    aggs = []
-    for i, (_, code) in enumerate(FINE_METRICS):
-        counted = F.count(F.lit(1)) if code == 0 else count_where(has_fine_code(code))
-        aggs.append(counted.alias(f"m{i}"))
-    return aggs
+def _metric_counts() -> list[str]:
+    """``count`` expressions m0..m4 in FINE_METRICS order."""
+    return [
+        f"count(1) AS m{i}" if code == 0 else f"count_if(FINE_TYPE = {code}) AS m{i}"
+        for i, (_, code) in enumerate(FINE_METRICS)
+    ]
 
 
-def _metric_rows(values: list) -> object:
-    return F.inline(
-        F.array(
-            *[
-                F.struct(F.lit(key).alias("metric"), F.lit(code).alias("id"), value.alias("value"))
-                for (key, code), value in zip(FINE_METRICS, values)
-            ]
-        )
+def _metric_rows(values: list[str]) -> str:
+    """``inline`` of one (metric, id, value) struct per metric."""
+    rows = ",\n  ".join(
+        f"named_struct('metric', '{key}', 'id', {code}, 'value', {value})"
+        for (key, code), value in zip(FINE_METRICS, values)
     )
+    return f"inline(array(\n  {rows}))"
+
+
+SECTOR_LABEL = f"CASE WHEN SECTOR_NAME IS NULL OR SECTOR_NAME = '' THEN '{UNKNOWN_SECTOR}' ELSE SECTOR_NAME END"
 
+FINE_COUNTS_SQL = "SELECT " + _metric_rows(
+    [("count(1)" if code == 0 else f"count_if(FINE_TYPE = {code})") for _, code in FINE_METRICS]
+) + "\nFROM {d}"
 
-def fine_counts(df: DataFrame) -> DataFrame:
+SECTOR_COUNTS_SQL = f"SELECT {SECTOR_LABEL} AS name, count(1) AS value\nFROM {{d}}\nGROUP BY SECTOR_NAME"
+
+_metric_structs = ",\n       ".join(
+    f"named_struct('value', coalesce(sum(m{i}), 0), 'id', {code}) AS {key}"
+    for i, (key, code) in enumerate(FINE_METRICS)
+)
+FINE_REPORT_SQL = f"""WITH per_sector AS (
+  SELECT SECTOR_NAME, {', '.join(_metric_counts())}
+  FROM {{d}}
+  GROUP BY SECTOR_NAME)
+SELECT {_metric_structs},
+       collect_list(named_struct('name', {SECTOR_LABEL}, 'value', m0)) AS sectors
+FROM per_sector"""
+
+
+def fine_counts(source: Source) -> DataFrame:
     """Five rows ``(metric, id, value)``: total (id 0) and one per fine code.
 
     One global aggregate over the scan (partial counts per task, one tiny
     exchange); five zero rows on empty input.
     """
-    row = df.agg(*_metric_aggs())
-    return row.select(_metric_rows([F.col(f"m{i}") for i in range(len(FINE_METRICS))]))
+    return run_statement(source, FINE_COUNTS_SQL)
 
 
-def sector_counts(df: DataFrame) -> DataFrame:
+def sector_counts(source: Source) -> DataFrame:
     """Rows per sector ``(name, value)``, over all rows.
 
     Grouped on the raw SECTOR_NAME, then labelled: NULL, '' and a literal
     'Unknown' are separate rows that all read 'Unknown'. Counts are combined
     map-side, so a sector holding most rows costs one partial row per task.
     """
-    grouped = df.groupBy("SECTOR_NAME").agg(F.count(F.lit(1)).alias("value"))
-    return grouped.select(sector_label(F.col("SECTOR_NAME")).alias("name"), "value")
+    return run_statement(source, SECTOR_COUNTS_SQL)
 
 
-def fine_report(df: DataFrame) -> DataFrame:
+def fine_report(source: Source) -> DataFrame:
     """The whole fine report as one row, from one scan.
 
     Columns: one ``struct<value: bigint, id: int>`` per metric (document keys
@@ -63,18 +82,9 @@ def fine_report(df: DataFrame) -> DataFrame:
     The scan is pre-aggregated per raw sector with all code counts; the row is
     then a global aggregate over that small result (one row per sector).
     """
-    per_sector = df.groupBy("SECTOR_NAME").agg(*_metric_aggs())
-    totals = [F.coalesce(F.sum(f"m{i}"), F.lit(0)).cast("bigint") for i in range(len(FINE_METRICS))]
-    metric_cols = [
-        F.struct(total.alias("value"), F.lit(code).alias("id")).alias(key)
-        for (key, code), total in zip(FINE_METRICS, totals)
-    ]
-    sectors = F.collect_list(
-        F.struct(sector_label(F.col("SECTOR_NAME")).alias("name"), F.col("m0").alias("value"))
-    ).alias("sectors")
-    return per_sector.agg(*metric_cols, sectors)
+    return run_statement(source, FINE_REPORT_SQL)
 
 
 def fine_counts_from_report(report: DataFrame) -> DataFrame:
     """The five ``(metric, id, value)`` rows of a ``fine_report`` row."""
-    return report.select(_metric_rows([F.col(f"{key}.value") for key, _ in FINE_METRICS]))
+    return report.selectExpr(_metric_rows([f"{key}.value" for key, _ in FINE_METRICS]))

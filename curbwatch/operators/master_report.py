@@ -1,6 +1,7 @@
 """Master report in a single scan.
 
-Every metric of ``operators.metrics`` comes out of one pass over the table:
+Every metric of ``operators.metrics`` comes out of one pass over the table,
+as one SQL statement:
 
 1. Rows are selected by the non-TYPE filter entries ``b`` (pushed to the
    scan). The TYPE entry ``t`` moves inside conditional counts, since the
@@ -10,8 +11,8 @@ Every metric of ``operators.metrics`` comes out of one pass over the table:
    two are exclusive (TYPE 6/7 vs 5). The scan is aggregated on
    ``(role, SECTOR_NAME if role 1, DROP_REASON if role 2)`` with every
    conditional count. That result has at most 1 + #sectors + #reasons rows,
-   whatever the data size, and counts are combined map-side first, so one
-   hot sector costs one partial row per task.
+   whatever the data size (no sector x reason product), and counts are
+   combined map-side first, so one hot sector costs one partial row per task.
 3. A global aggregate over that small result gives the report row: scalar
    sums, the role-1 groups as fines per sector, the role-2 groups as drops
    per reason, and the type distribution from sums.
@@ -22,13 +23,12 @@ report with empty distributions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.codes import count_where, is_dropped, is_fine, is_manual
-from ..functions.filters import compile_filters, emitted_kinds, split_type_filter
+from ..functions.filters import emitted_kinds, filter_clause, split_type_filter
+from ..plans.statements import Source, run_statement
 from ..schema import KIND_DROPPED, KIND_FINE
-from .metrics import KINDS, Filters
+from .metrics import IS_DROPPED, IS_FINE, IS_MANUAL, KINDS, Filters, kind_condition
 
 ROLE_OTHER, ROLE_SECTOR_FINE, ROLE_DROP = 0, 1, 2
 
@@ -48,48 +48,72 @@ DOCUMENT_KEYS = (
     "droppedCount",
 )
 
-
-def master_partials(df: DataFrame, filters: Filters = None) -> DataFrame:
+_KIND_COUNTS = ", ".join(f"count_if({kind_condition(codes)}) AS k{i}" for i, codes in enumerate(KINDS.values()))
+
+PARTIALS_SQL = f"""WITH keyed AS (
+  SELECT role,
+         CASE WHEN role = {ROLE_SECTOR_FINE} THEN SECTOR_NAME END AS sector,
+         CASE WHEN role = {ROLE_DROP} THEN DROP_REASON END AS reason,
+         in_type, TYPE, PLATE_SOURCE
+  FROM (
+    SELECT CASE WHEN ({{type_where}}) AND {IS_FINE} THEN {ROLE_SECTOR_FINE}
+                WHEN {IS_DROPPED} THEN {ROLE_DROP} ELSE {ROLE_OTHER} END AS role,
+           ({{type_where}}) AS in_type,
+           SECTOR_NAME, DROP_REASON, TYPE, PLATE_SOURCE
+    FROM {{{{d}}}} AS src WHERE {{base_where}}))
+SELECT role, sector, reason,
+       count(1) AS n,
+       count_if(in_type) AS n_txn,
+       count_if(in_type AND {IS_MANUAL}) AS n_manual,
+       {_KIND_COUNTS}
+FROM keyed
+GROUP BY role, sector, reason"""
+
+_TYPE_DIST_TYPE = "ARRAY<STRUCT<name: STRING, value: BIGINT>>"
+
+
+def _partials_sql(filters: Filters) -> tuple[str, dict]:
+    type_entry, rest = split_type_filter(filters)
+    base_where, base_args = filter_clause(rest, "b")
+    type_where, type_args = filter_clause(type_entry, "t")
+    return PARTIALS_SQL.format(base_where=base_where, type_where=type_where), {**base_args, **type_args}
+
+
+def master_partials(source: Source, filters: Filters = None) -> DataFrame:
     """Step 1-2: the small per-role pre-aggregate of the (filtered) scan.
 
-    Columns: role, sector, reason, n (rows in the group) and the conditional
-    counts n_txn, n_manual and one k<i> per transaction kind.
+    Columns: role, sector, reason, n (rows in the group), n_txn, n_manual and
+    one k<i> per transaction kind.
     """
-    type_pred, rest = split_type_filter(filters)
-    base_pred = compile_filters(rest)
-    base = df if base_pred is None else df.filter(base_pred)
-    in_type = F.lit(True) if type_pred is None else type_pred
-    fine_in_type = in_type & is_fine()
-    role = (
-        F.when(fine_in_type, F.lit(ROLE_SECTOR_FINE))
-        .when(is_dropped(), F.lit(ROLE_DROP))
-        .otherwise(F.lit(ROLE_OTHER))
-    )
-    keyed = base.select(
-        role.alias("role"),
-        F.col("SECTOR_NAME"),
-        F.col("DROP_REASON"),
-        F.col("TYPE"),
-        F.col("PLATE_SOURCE"),
-        in_type.alias("in_type"),
-    )
-    return keyed.groupBy(
-        "role",
-        F.when(F.col("role") == ROLE_SECTOR_FINE, F.col("SECTOR_NAME")).alias("sector"),
-        F.when(F.col("role") == ROLE_DROP, F.col("DROP_REASON")).alias("reason"),
-    ).agg(
-        F.count(F.lit(1)).alias("n"),
-        count_where(F.col("in_type")).alias("n_txn"),
-        count_where(F.col("in_type") & is_manual()).alias("n_manual"),
-        *[count_where(F.col("TYPE").isin(*codes)).alias(f"k{i}") for i, codes in enumerate(KINDS.values())],
-    )
-
-
-def _total(name: str) -> Column:
-    return F.coalesce(F.sum(name), F.lit(0)).cast("bigint")
-
-
-def master_report(df: DataFrame, filters: Filters = None) -> DataFrame:
+    text, args = _partials_sql(filters)
+    return run_statement(source, text, args)
+
+
+def _report_sql(filters: Filters) -> tuple[str, dict]:
+    kinds = emitted_kinds(filters, KINDS)
+    partials, args = _partials_sql(filters)
+    totals = {name: f"coalesce(sum(k{i}), 0)" for i, name in enumerate(KINDS)}
+    type_rows = [f"named_struct('name', '{name}', 'value', {totals[name]})" for name in KINDS if name in kinds]
+    type_dist = f"array({', '.join(type_rows)})" if type_rows else f"CAST(array() AS {_TYPE_DIST_TYPE})"
+    fines = totals[KIND_FINE] if KIND_FINE in kinds else "CAST(0 AS BIGINT)"
+    dropped = totals[KIND_DROPPED] if KIND_DROPPED in kinds else "CAST(0 AS BIGINT)"
+    text = f"""WITH partials AS (
+{partials})
+SELECT coalesce(sum(n_txn), 0) AS transactionCount,
+       count_if(role = {ROLE_SECTOR_FINE}) AS sectors,
+       collect_list(CASE WHEN role = {ROLE_SECTOR_FINE} THEN named_struct('name', sector, 'value', n) END)
+         AS sectorsFineDistribution,
+       {type_dist} AS transactionTypesDistribution,
+       collect_list(CASE WHEN role = {ROLE_DROP} THEN named_struct('name', reason, 'value', n) END)
+         AS droppedTransactionDistribution,
+       coalesce(sum(n_manual), 0) AS manualReviewedTransactionCount,
+       {fines} AS finesCount,
+       {dropped} AS droppedCount
+FROM partials"""
+    return text, args
+
+
+def master_report(source: Source, filters: Filters = None) -> DataFrame:
     """The whole master report as one row, from one scan.
 
     Scalars (bigint): transactionCount, sectors, manualReviewedTransactionCount,
@@ -99,35 +123,16 @@ def master_report(df: DataFrame, filters: Filters = None) -> DataFrame:
     droppedTransactionDistribution ``array<struct<name: int, value: bigint>>``.
     Distribution order inside the arrays is unspecified.
     """
-    kinds = emitted_kinds(filters, KINDS)
-    partials = master_partials(df, filters)
-    role = F.col("role")
-    kind_totals = {name: _total(f"k{i}") for i, name in enumerate(KINDS)}
-    type_rows = [
-        F.struct(F.lit(name).alias("name"), kind_totals[name].alias("value")) for name in KINDS if name in kinds
-    ]
-    type_dist = F.array(*type_rows) if type_rows else F.array().cast("array<struct<name:string,value:bigint>>")
-    return partials.agg(
-        _total("n_txn").alias("transactionCount"),
-        count_where(role == ROLE_SECTOR_FINE).alias("sectors"),
-        F.collect_list(
-            F.when(role == ROLE_SECTOR_FINE, F.struct(F.col("sector").alias("name"), F.col("n").alias("value")))
-        ).alias("sectorsFineDistribution"),
-        type_dist.alias("transactionTypesDistribution"),
-        F.collect_list(
-            F.when(role == ROLE_DROP, F.struct(F.col("reason").alias("name"), F.col("n").alias("value")))
-        ).alias("droppedTransactionDistribution"),
-        _total("n_manual").alias("manualReviewedTransactionCount"),
-        (kind_totals[KIND_FINE] if KIND_FINE in kinds else F.lit(0).cast("bigint")).alias("finesCount"),
-        (kind_totals[KIND_DROPPED] if KIND_DROPPED in kinds else F.lit(0).cast("bigint")).alias("droppedCount"),
-    )
-
-
-def master_scalars(df: DataFrame, filters: Filters = None) -> DataFrame:
+    text, args = _report_sql(filters)
+    return run_statement(source, text, args)
+
+
+def master_scalars(source: Source, filters: Filters = None) -> DataFrame:
     """The five scalar metrics of ``master_report`` (one row)."""
-    return master_report(df, filters).select(*SCALARS)
+    text, args = _report_sql(filters)
+    return run_statement(source, f"SELECT {', '.join(SCALARS)} FROM (\n{text})", args)
 
 
 def explode_distribution(report: DataFrame, name: str) -> DataFrame:
     """Rows ``(name, value)`` of one distribution column of a report row."""
-    return report.select(F.inline(F.col(name)))
+    return report.selectExpr(f"inline({name})")

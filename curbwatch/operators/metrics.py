@@ -1,4 +1,4 @@
-"""Master-report metrics one at a time, each a DataFrame over one scan.
+"""Master-report metrics one at a time, each one statement over one scan.
 
 ``filters`` follows ``functions.filters``. The TYPE entry is special:
 
@@ -9,7 +9,8 @@
   it reports, see ``emitted_kinds``).
 
 ``master_report.master_report`` computes all of them in a single scan; these
-functions are for callers who need one metric.
+functions are for callers who need one metric. Each takes a DataFrame or the
+name of a registered view.
 """
 
 from __future__ import annotations
@@ -18,41 +19,59 @@ from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.codes import count_where, is_dropped, is_fine, is_manual
-from ..functions.filters import apply_filters, emitted_kinds, split_type_filter
-from ..schema import KIND_DROPPED, KIND_FINE, KIND_PAID, TYPE_DROPPED, TYPE_FINE, TYPE_PAID
+from ..functions.filters import emitted_kinds, filter_clause, split_type_filter
+from ..plans.statements import Source, run_statement
+from ..schema import KIND_DROPPED, KIND_FINE, KIND_PAID, MANUAL_VALIDATION, TYPE_DROPPED, TYPE_FINE, TYPE_PAID
 
 # Report order of the transaction kinds and the TYPE codes of each.
 KINDS = {KIND_PAID: (TYPE_PAID,), KIND_DROPPED: (TYPE_DROPPED,), KIND_FINE: TYPE_FINE}
 
 Filters = Mapping[str, Any] | None
 
+IS_FINE = f"TYPE IN ({', '.join(str(c) for c in TYPE_FINE)})"
+IS_DROPPED = f"TYPE = {TYPE_DROPPED}"
+IS_MANUAL = f"PLATE_SOURCE = '{MANUAL_VALIDATION}'"
 
-def transaction_count(df: DataFrame, filters: Filters = None) -> DataFrame:
+
+def kind_condition(codes: tuple[int, ...]) -> str:
+    return f"TYPE = {codes[0]}" if len(codes) == 1 else f"TYPE IN ({', '.join(str(c) for c in codes)})"
+
+
+EMPTY_DISTRIBUTION_SQL = "SELECT CAST(NULL AS STRING) AS name, CAST(NULL AS BIGINT) AS value FROM {d} AS src WHERE FALSE"
+
+
+def transaction_count(source: Source, filters: Filters = None) -> DataFrame:
     """One row: ``transactionCount``."""
-    return apply_filters(df, filters).agg(F.count(F.lit(1)).alias("transactionCount"))
+    where, args = filter_clause(filters)
+    return run_statement(source, f"SELECT count(1) AS transactionCount FROM {{d}} AS src WHERE {where}", args)
 
 
-def sectors_count(df: DataFrame, filters: Filters = None) -> DataFrame:
+def sectors_count(source: Source, filters: Filters = None) -> DataFrame:
     """One row: ``sectors``, the distinct SECTOR_NAME values among fines.
 
     NULL and '' each count as a sector (a distinct over the column, not
-    ``count(DISTINCT ...)``).
+    ``count(DISTINCT ...)``, which skips NULL).
     """
-    fines = apply_filters(df.filter(is_fine()), filters)
-    return fines.select("SECTOR_NAME").distinct().agg(F.count(F.lit(1)).alias("sectors"))
+    where, args = filter_clause(filters)
+    text = (
+        "SELECT count(1) AS sectors FROM (\n"
+        f"  SELECT DISTINCT SECTOR_NAME FROM {{d}} AS src WHERE {IS_FINE} AND {where})"
+    )
+    return run_statement(source, text, args)
 
 
-def sector_fine_distribution(df: DataFrame, filters: Filters = None) -> DataFrame:
+def sector_fine_distribution(source: Source, filters: Filters = None) -> DataFrame:
     """Fines per sector ``(name, value)``; NULL and '' stay as they are."""
-    fines = apply_filters(df.filter(is_fine()), filters)
-    grouped = fines.groupBy("SECTOR_NAME").agg(F.count(F.lit(1)).alias("value"))
-    return grouped.select(F.col("SECTOR_NAME").alias("name"), "value")
+    where, args = filter_clause(filters)
+    text = (
+        "SELECT SECTOR_NAME AS name, count(1) AS value\n"
+        f"FROM {{d}} AS src WHERE {IS_FINE} AND {where}\nGROUP BY SECTOR_NAME"
+    )
+    return run_statement(source, text, args)
 
 
-def transaction_type_distribution(df: DataFrame, filters: Filters = None) -> DataFrame:
+def transaction_type_distribution(source: Source, filters: Filters = None) -> DataFrame:
     """Counts per transaction kind ``(name, value)`` in report order.
 
     Rows are selected by the non-TYPE entries only. A kind is reported when
@@ -62,35 +81,34 @@ def transaction_type_distribution(df: DataFrame, filters: Filters = None) -> Dat
     """
     kinds = emitted_kinds(filters, KINDS)
     _, rest = split_type_filter(filters)
-    base = apply_filters(df, rest)
-    counts = base.agg(
-        *[count_where(F.col("TYPE").isin(*codes)).alias(f"k{i}") for i, codes in enumerate(KINDS.values())]
-    )
-    rows = [
-        F.struct(F.lit(name).alias("name"), F.col(f"k{i}").alias("value"))
-        for i, name in enumerate(KINDS)
+    if not kinds:
+        return run_statement(source, EMPTY_DISTRIBUTION_SQL)
+    where, args = filter_clause(rest)
+    rows = ",\n  ".join(
+        f"named_struct('name', '{name}', 'value', count_if({kind_condition(codes)}))"
+        for name, codes in KINDS.items()
         if name in kinds
-    ]
-    if not rows:
-        return counts.filter(F.lit(False)).select(
-            F.lit(None).cast("string").alias("name"), F.lit(None).cast("bigint").alias("value")
-        )
-    return counts.select(F.inline(F.array(*rows)))
+    )
+    return run_statement(source, f"SELECT inline(array(\n  {rows}))\nFROM {{d}} AS src WHERE {where}", args)
 
 
-def drop_reason_distribution(df: DataFrame, filters: Filters = None) -> DataFrame:
+def drop_reason_distribution(source: Source, filters: Filters = None) -> DataFrame:
     """Drops per reason ``(name, value)``, name being the DROP_REASON code.
 
     The TYPE entry is ignored (validated, not applied).
     """
     _, rest = split_type_filter(filters)
-    drops = apply_filters(df.filter(is_dropped()), rest)
-    grouped = drops.groupBy("DROP_REASON").agg(F.count(F.lit(1)).alias("value"))
-    return grouped.select(F.col("DROP_REASON").alias("name"), "value")
+    where, args = filter_clause(rest)
+    text = (
+        "SELECT DROP_REASON AS name, count(1) AS value\n"
+        f"FROM {{d}} AS src WHERE {IS_DROPPED} AND {where}\nGROUP BY DROP_REASON"
+    )
+    return run_statement(source, text, args)
 
 
-def manual_review_count(df: DataFrame, filters: Filters = None) -> DataFrame:
+def manual_review_count(source: Source, filters: Filters = None) -> DataFrame:
     """One row: ``manualReviewedTransactionCount`` (PLATE_SOURCE exactly
     'MANUAL_VALIDATION')."""
-    return apply_filters(df, filters).agg(count_where(is_manual()).alias("manualReviewedTransactionCount"))
-
+    where, args = filter_clause(filters)
+    text = f"SELECT count_if({IS_MANUAL}) AS manualReviewedTransactionCount FROM {{d}} AS src WHERE {where}"
+    return run_statement(source, text, args)

@@ -1,13 +1,16 @@
 from .config import REPORT_CONF, configure_reports, restore
 from .inspect import exchange_count, plan_text, pushed_filters, read_schemas, scan_count
+from .statements import Source, run_statement
 
 __all__ = [
     "REPORT_CONF",
+    "Source",
     "configure_reports",
     "exchange_count",
     "plan_text",
     "pushed_filters",
     "read_schemas",
     "restore",
+    "run_statement",
     "scan_count",
 ]

@@ -4,10 +4,10 @@ derive a detections table from the ``events`` table for tests and benches.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from ..functions.filters import quote_identifier
 from ..schema import DETECTIONS_SCHEMA
 
 # Detections derived from ``events``: one text that Spark and DuckDB both
@@ -31,27 +31,42 @@ FROM events
 """
 
 
+def _projection(columns: list[str], schema: StructType) -> list[str]:
+    present = {name.lower(): name for name in columns}
+    exprs = []
+    for field in schema.fields:
+        source = present.get(field.name.lower())
+        value = quote_identifier(source) if source is not None else "NULL"
+        exprs.append(f"CAST({value} AS {field.dataType.simpleString()}) AS {quote_identifier(field.name)}")
+    return exprs
+
+
 def conform(df: DataFrame, schema: StructType = DETECTIONS_SCHEMA) -> DataFrame:
     """Project ``df`` onto ``schema``: same names, order and types.
 
     Columns missing from ``df`` become typed NULLs; extra columns are dropped.
     Pure projection, so Catalyst still prunes whatever a query does not read.
     """
-    present = {name.lower(): name for name in df.columns}
-    cols: list[Column] = []
-    for field in schema.fields:
-        source = present.get(field.name.lower())
-        if source is None:
-            cols.append(F.lit(None).cast(field.dataType).alias(field.name))
-        else:
-            cols.append(F.col(source).cast(field.dataType).alias(field.name))
-    return df.select(*cols)
+    exprs = [e.replace("{{", "{").replace("}}", "}") for e in _projection(df.columns, schema)]
+    return df.selectExpr(*exprs)
+
+
+# Columns produced by DETECTIONS_FROM_EVENTS_SQL.
+_DERIVED = ["ID", "TYPE", "PLATE_SOURCE", "SECTOR_NAME", "FINE_TYPE", "DROP_REASON", "CREATED_DATE"]
+
+_DETECTIONS_FROM_EVENTS = (
+    "SELECT "
+    + ",\n       ".join(_projection(_DERIVED, DETECTIONS_SCHEMA))
+    + "\nFROM ("
+    + DETECTIONS_FROM_EVENTS_SQL.replace("FROM events", "FROM {events}")
+    + ")"
+)
 
 
 def detections_from_events(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """Detections derived from an ``events`` DataFrame, with the full schema."""
-    derived = spark.sql(DETECTIONS_FROM_EVENTS_SQL.replace("FROM events", "FROM {events}"), events=events)
-    return conform(derived)
+    """Detections derived from an ``events`` DataFrame, with the full schema
+    (one statement: the derivation and the projection onto the schema)."""
+    return spark.sql(_DETECTIONS_FROM_EVENTS, events=events)
 
 
 def load_detections(spark: SparkSession, sf_dir: str) -> DataFrame:

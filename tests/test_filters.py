@@ -54,8 +54,8 @@ def test_unknown_column_raises(edge):
 
 def test_split_type_filter_is_pure():
     filters = {"TYPE": {"$in": [1]}, "SECTOR_NAME": "x"}
-    pred, rest = split_type_filter(filters)
-    assert pred is not None and rest == {"SECTOR_NAME": "x"}
+    entry, rest = split_type_filter(filters)
+    assert entry == {"TYPE": {"$in": [1]}} and rest == {"SECTOR_NAME": "x"}
     assert filters == {"TYPE": {"$in": [1]}, "SECTOR_NAME": "x"}
     assert split_type_filter(None) == (None, {})
 
@@ -80,6 +80,21 @@ def test_emitted_kinds(filters, kinds):
     assert emitted_kinds(filters, KINDS) == kinds
 
 
+def test_filter_clause_binds_values():
+    from curbwatch.functions import filter_clause
+
+    text, args = filter_clause({"SECTOR_NAME": "x' OR 1=1 --", "TYPE": {"$in": [1, None]}, "a`b{c}": {"$in": []}})
+    assert text == "`SECTOR_NAME` = :f0 AND `TYPE` IN (:f1_0, :f1_1) AND FALSE"
+    assert args == {"f0": "x' OR 1=1 --", "f1_0": 1, "f1_1": None}
+    assert filter_clause(None) == ("TRUE", {})
+
+
+def test_injection_text_is_a_value(edge):
+    from curbwatch.operators import transaction_count
+
+    assert transaction_count(edge, {"SECTOR_NAME": "North' OR '1'='1"}).collect()[0][0] == 0
+
+
 def test_fine_report_params():
     assert fine_report_params() == {}
     assert fine_report_params(sector_name="North", fine_type=0) == {"sector_name": "North", "fine_type": 0}
