@@ -1,4 +1,4 @@
-from .documents import fine_report_document, master_report_document
+from .documents import fine_report_document, fine_report_response, master_report_document
 from .fine_report import fine_counts, fine_counts_from_report, fine_report, sector_counts
 from .master_report import explode_distribution, master_partials, master_report, master_scalars
 from .metrics import (
@@ -19,6 +19,7 @@ __all__ = [
     "fine_counts_from_report",
     "fine_report",
     "fine_report_document",
+    "fine_report_response",
     "manual_review_count",
     "master_partials",
     "master_report",

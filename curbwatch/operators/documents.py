@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..functions.params import fine_report_params
 from ..plans.statements import Source, run_statement
 from ..schema import FINE_METRICS
 from .fine_report import FINE_REPORT_SQL
@@ -36,3 +37,18 @@ def master_report_document(source: Source, filters: Filters = None) -> DataFrame
     fields = ", ".join(f"'{key}', {f'sort_array({key})' if key in sorted_lists else key}" for key in DOCUMENT_KEYS)
     text = f"SELECT to_json(named_struct({fields}), {_JSON_OPTIONS}) AS document\nFROM (\n{report})"
     return run_statement(source, text, args)
+
+
+def fine_report_response(
+    source: Source,
+    sector_name: str | None = None,
+    start_date: int | None = None,
+    end_date: int | None = None,
+    fine_type: int | None = None,
+) -> DataFrame:
+    """The fine-report request: validate the parameters (``ValueError`` when
+    out of bounds), then answer with the fine report document. As in the
+    original service the parameters are accepted but do not narrow the
+    report; compose ``apply_filters`` on the source to narrow it."""
+    fine_report_params(sector_name, start_date, end_date, fine_type)
+    return fine_report_document(source)

@@ -38,3 +38,30 @@ def pushed_filters(df: DataFrame) -> list[str]:
 def exchange_count(df: DataFrame) -> int:
     """Number of shuffle exchanges in the physical plan."""
     return len(re.findall(r"^\(\d+\) Exchange", plan_text(df), flags=re.MULTILINE))
+
+
+def plan_nodes(df: DataFrame) -> list[tuple[int, str, str]]:
+    """``(id, operator, details)`` of every node of the formatted plan, in id
+    order (children before parents)."""
+    text = plan_text(df)
+    parts = re.split(r"^\((\d+)\) ([A-Za-z]+)[^\n]*\n", text, flags=re.MULTILINE)
+    nodes = []
+    for i in range(1, len(parts) - 2, 3):
+        nodes.append((int(parts[i]), parts[i + 1], parts[i + 2]))
+    return nodes
+
+
+def exchanges_after_partial_aggregates(df: DataFrame) -> bool:
+    """Every shuffle exchange reads the output of a partial (map-side)
+    aggregate, so it carries pre-combined rows, never raw ones."""
+    nodes = {node_id: (name, details) for node_id, name, details in plan_nodes(df)}
+    for node_id, (name, _) in nodes.items():
+        if name != "Exchange":
+            continue
+        child = nodes.get(node_id - 1)
+        if child is None or not child[0].endswith("HashAggregate"):
+            return False
+        # map-side aggregate: partial functions, or keys only (a DISTINCT)
+        if "partial_" not in child[1] and "Functions: []" not in child[1]:
+            return False
+    return True

@@ -79,3 +79,15 @@ def test_master_report_document(edge):
 def test_master_report_document_empty_kinds(edge):
     doc = json.loads(master_report_document(edge, {"SECTOR_NAME": "North"}).collect()[0]["document"])
     assert doc["transactionTypesDistribution"] == [] and doc["finesCount"] == 0
+
+
+def test_fine_report_response_validates_and_ignores_parameters(edge):
+    import pytest
+
+    from curbwatch.operators import fine_report_response
+
+    plain = fine_report_document(edge).collect()[0]["document"]
+    narrowed = fine_report_response(edge, sector_name="North", start_date=0, end_date=5, fine_type=88)
+    assert narrowed.collect()[0]["document"] == plain
+    with pytest.raises(ValueError):
+        fine_report_response(edge, sector_name="No")
