@@ -8,12 +8,17 @@ write their inputs and outputs under the session's shared checkpoint folder.
 
 from __future__ import annotations
 
+import os
+import sys
 from collections.abc import Callable
 
+# The package sits next to this file; make it importable however this file is loaded.
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, LongType, StringType, TimestampType
 
-from curbwatch.operators import (
+from curbwatch.operators import (  # noqa: E402
     drop_reason_distribution,
     explode_distribution,
     fine_counts,

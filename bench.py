@@ -10,8 +10,10 @@ service holds its collection); every report still re-reads and re-derives
 the data from ``events.parquet`` on each call, since the view is lazy.
 
 For context it also times the same reports computed the way the original
-service does it, one Spark action per metric ("per_metric"); that is not
-part of ``value``.
+service does it, one Spark action per metric ("per_metric"), and the
+streaming ingest of one device message per event ("streaming": seconds and
+messages per second for a full availableNow run on a fresh checkpoint);
+neither is part of ``value``.
 """
 
 from __future__ import annotations
@@ -37,13 +39,14 @@ from curbwatch.operators import (  # noqa: E402
     transaction_count,
     transaction_type_distribution,
 )
-from curbwatch.session import local_session  # noqa: E402
-from curbwatch.sources import load_detections  # noqa: E402
+from curbwatch.session import local_session, shared_dir  # noqa: E402
+from curbwatch.sources import load_detections, payloads_from_events  # noqa: E402
+from curbwatch.streaming import BatchSink, read_messages, start_ingest  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
-WARMUPS = int(os.environ.get("BENCH_WARMUPS", "2"))
-RUNS = int(os.environ.get("BENCH_RUNS", "5"))
+WARMUPS = int(os.environ.get("BENCH_WARMUPS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "7"))
 
 FILTERED = {"SECTOR_NAME": "SECTOR_3", "TYPE": {"$in": [1, 5, 6]}}
 
@@ -93,6 +96,25 @@ def main() -> None:
 
     queries = {name: _time(fn) for name, fn in headline.items()}
     per_metric = {"fine_report": _time(fine_per_metric), "master_report": _time(master_per_metric)}
+
+    root = shared_dir(spark, "bench_ingest")
+    payloads = payloads_from_events(spark.read.parquet(f"{SF_DIR}/events.parquet"))
+    payloads.write.text(f"{root}/inbox")
+    messages = spark.read.text(f"{root}/inbox").count()
+    runs = iter(range(1000))
+
+    def ingest():
+        run = next(runs)
+        query = start_ingest(
+            read_messages(spark, "text", f"{root}/inbox"),
+            BatchSink("parquet", f"{root}/sink{run}"),
+            f"{root}/checkpoint{run}",
+            trigger={"availableNow": True},
+        )
+        query.awaitTermination()
+
+    ingest_sec = _time(ingest)
+    streaming = {"ingest_sec": ingest_sec, "messages": messages, "messages_per_sec": round(messages / ingest_sec)}
     sf_match = re.search(r"sf([0-9.]+)", SF_DIR)
     print(
         json.dumps(
@@ -102,6 +124,7 @@ def main() -> None:
                 "unit": "sec",
                 "queries": queries,
                 "per_metric": per_metric,
+                "streaming": streaming,
                 "sf": float(sf_match.group(1)) if sf_match else SF_DIR,
                 "cpus": CPUS,
                 "runs": RUNS,

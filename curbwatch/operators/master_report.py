@@ -5,7 +5,9 @@ as one SQL statement:
 
 1. Rows are selected by the non-TYPE filter entries ``b`` (pushed to the
    scan). The TYPE entry ``t`` moves inside conditional counts, since the
-   type distribution and drops per reason ignore it.
+   type distribution and drops per reason ignore it; what reaches the scan is
+   ``t OR TYPE IN (1, 5, 6, 7)``, exact because a row outside both feeds no
+   metric.
 2. Each row gets a *role*: 1 = a fine that passes ``t`` (it feeds fines per
    sector), 2 = a dropped row (it feeds drops per reason), 0 = neither. The
    two are exclusive (TYPE 6/7 vs 5). The scan is aggregated on
@@ -60,7 +62,7 @@ PARTIALS_SQL = f"""WITH keyed AS (
                 WHEN {IS_DROPPED} THEN {ROLE_DROP} ELSE {ROLE_OTHER} END AS role,
            ({{type_where}}) AS in_type,
            SECTOR_NAME, DROP_REASON, TYPE, PLATE_SOURCE
-    FROM {{{{d}}}} AS src WHERE {{base_where}}))
+    FROM {{{{d}}}} AS src WHERE {{base_where}} AND {{relevant}}))
 SELECT role, sector, reason,
        count(1) AS n,
        count_if(in_type) AS n_txn,
@@ -71,12 +73,17 @@ GROUP BY role, sector, reason"""
 
 _TYPE_DIST_TYPE = "ARRAY<STRUCT<name: STRING, value: BIGINT>>"
 
+# Rows of any transaction kind (they feed the type distribution and drops).
+COUNTED_KINDS = kind_condition(tuple(code for codes in KINDS.values() for code in codes))
+
 
 def _partials_sql(filters: Filters) -> tuple[str, dict]:
     type_entry, rest = split_type_filter(filters)
     base_where, base_args = filter_clause(rest, "b")
     type_where, type_args = filter_clause(type_entry, "t")
-    return PARTIALS_SQL.format(base_where=base_where, type_where=type_where), {**base_args, **type_args}
+    relevant = "TRUE" if type_entry is None else f"(({type_where}) OR {COUNTED_KINDS})"
+    text = PARTIALS_SQL.format(base_where=base_where, type_where=type_where, relevant=relevant)
+    return text, {**base_args, **type_args}
 
 
 def master_partials(source: Source, filters: Filters = None) -> DataFrame:

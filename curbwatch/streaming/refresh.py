@@ -83,8 +83,9 @@ def write_report(report: DataFrame, path: str, batch_id: int, format: str = "par
 def latest_report(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     """Rows of the most recent report written by ``write_report``."""
     reports = spark.read.format(format).load(path)
-    newest = reports.agg(F.max("batch_id").alias("batch_id"))
-    return reports.join(newest, "batch_id").drop("batch_id")
+    return spark.sql(
+        "SELECT * EXCEPT (batch_id) FROM {r} WHERE batch_id = (SELECT max(batch_id) FROM {r})", r=reports
+    )
 
 
 def watch_collection(
