@@ -125,9 +125,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "master_report_type_distribution": _master_part(F_SECTOR_PAID_FINE, "transactionTypesDistribution"),
         "master_report_drop_reasons": _master_part(F_AUTO_TYPE_IN, "droppedTransactionDistribution"),
         "master_report_empty_filter": _with(master_scalars, F_IN_EMPTY),
-        # Documents (JSON text differs between engines: rows-only check)
+        # Report documents (exact JSON text)
         "fine_report_document": _with(fine_report_document),
         "master_report_document": _with(master_report_document),
+        "master_report_document_filtered": _with(master_report_document, F_SECTOR_PAID_FINE),
+        "master_report_document_other_filter": _with(master_report_document, {"PLATE_SOURCE": "AUTO"}),
         # Device-message decode and ingest
         "stream_decode": stream_decode,
         "stream_ingest": stream_ingest,
@@ -204,6 +206,62 @@ def _master_sql(where_all: str, where_base: str, fines: bool, dropped: bool) ->
 
 _EMPTY_DIST = "SELECT CAST(NULL AS VARCHAR) AS name, CAST(NULL AS BIGINT) AS value WHERE false"
 
+_LABEL = "CASE WHEN SECTOR_NAME IS NULL OR SECTOR_NAME = '' THEN 'Unknown' ELSE SECTOR_NAME END"
+
+_FINE_DOCUMENT_SQL = (
+    _CTE
+    + f""", per_sector AS (
+  SELECT SECTOR_NAME, count(*) AS m0, count(*) FILTER (WHERE FINE_TYPE = 88) AS m1,
+         count(*) FILTER (WHERE FINE_TYPE = 1) AS m2, count(*) FILTER (WHERE FINE_TYPE = 2) AS m3,
+         count(*) FILTER (WHERE FINE_TYPE = 5) AS m4
+  FROM detections GROUP BY SECTOR_NAME)
+SELECT CAST(to_json({{'fineCounts': {{
+    'toratalViolationCount': {{'value': coalesce(sum(m0), 0)::BIGINT, 'id': 0}},
+    'illegalParkingViolationCount': {{'value': coalesce(sum(m1), 0)::BIGINT, 'id': 88}},
+    'notPaidViolationCount': {{'value': coalesce(sum(m2), 0)::BIGINT, 'id': 1}},
+    'notAuthorizedViolationCount': {{'value': coalesce(sum(m3), 0)::BIGINT, 'id': 2}},
+    'overStayViolationCount': {{'value': coalesce(sum(m4), 0)::BIGINT, 'id': 5}}}},
+  'sectors': coalesce(list({{'name': {_LABEL}, 'value': m0}} ORDER BY {_LABEL}, m0),
+                      []::STRUCT(name VARCHAR, value BIGINT)[])}}) AS VARCHAR) AS document
+FROM per_sector"""
+)
+
+_KIND_SQL = {"PaidTransaction": "TYPE = 1", "dropped": "TYPE = 5", "fine": _FINE}
+
+
+def _master_document_sql(where_all: str, where_base: str, kinds: list[str]) -> str:
+    """The master-report document: lists sorted like ``sort_array`` (NULL
+    names first), kinds in report order."""
+    kind_rows = ", ".join(
+        f"{{'name': '{k}', 'value': (SELECT count(*) FROM detections WHERE {where_base} AND {_KIND_SQL[k]})}}"
+        for k in kinds
+    )
+    kind_list = f"[{kind_rows}]" if kinds else "[]::STRUCT(name VARCHAR, value BIGINT)[]"
+    fines = (
+        f"(SELECT count(*) FROM detections WHERE {where_base} AND {_FINE})" if "fine" in kinds else "CAST(0 AS BIGINT)"
+    )
+    dropped = (
+        f"(SELECT count(*) FROM detections WHERE {where_base} AND TYPE = 5)" if "dropped" in kinds else "CAST(0 AS BIGINT)"
+    )
+    return (
+        _CTE
+        + f""", fines AS (
+  SELECT SECTOR_NAME AS name, count(*) AS value FROM detections WHERE {where_all} AND {_FINE} GROUP BY SECTOR_NAME),
+drops AS (
+  SELECT DROP_REASON AS name, count(*) AS value FROM detections WHERE {where_base} AND TYPE = 5 GROUP BY DROP_REASON)
+SELECT CAST(to_json({{
+  'transactionCount': (SELECT count(*) FROM detections WHERE {where_all}),
+  'sectors': (SELECT count(*) FROM fines),
+  'sectorsFineDistribution': (SELECT coalesce(list({{'name': name, 'value': value}} ORDER BY name NULLS FIRST, value),
+                                              []::STRUCT(name VARCHAR, value BIGINT)[]) FROM fines),
+  'transactionTypesDistribution': {kind_list},
+  'droppedTransactionDistribution': (SELECT coalesce(list({{'name': name, 'value': value}} ORDER BY name NULLS FIRST, value),
+                                                     []::STRUCT(name INTEGER, value BIGINT)[]) FROM drops),
+  'manualReviewedTransactionCount': (SELECT count(*) FROM detections WHERE {where_all} AND {_MANUAL}),
+  'finesCount': {fines},
+  'droppedCount': {dropped}}}) AS VARCHAR) AS document"""
+    )
+
 _PAYLOAD_SQL = """
 SELECT CASE WHEN event_type = 'view' THEN NULL ELSE CAST(user_id AS VARCHAR) END AS imei,
        CASE WHEN event_type = 'view' THEN NULL ELSE CAST(event_id AS VARCHAR) END AS "time",
@@ -273,6 +331,12 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT DROP_REASON AS name, count(*) AS value FROM detections "
         "WHERE TYPE = 5 AND PLATE_SOURCE = 'AUTO' GROUP BY DROP_REASON",
         "master_report_empty_filter": _master_sql("false", "true", False, False),
+        "fine_report_document": _FINE_DOCUMENT_SQL,
+        "master_report_document": _master_document_sql("true", "true", ["PaidTransaction", "dropped", "fine"]),
+        "master_report_document_filtered": _master_document_sql(
+            f"{sector3} AND TYPE IN (1, 6)", sector3, ["PaidTransaction", "fine"]
+        ),
+        "master_report_document_other_filter": _master_document_sql("PLATE_SOURCE = 'AUTO'", "PLATE_SOURCE = 'AUTO'", []),
         "stream_decode": _PAYLOAD_SQL,
         "stream_ingest": _PAYLOAD_SQL,
         "refresh_on_change": _fine_counts_sql(),
