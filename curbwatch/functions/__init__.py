@@ -1,4 +1,4 @@
-from .codes import count_where, has_fine_code, is_dropped, is_fine, is_manual, is_paid, sector_label
+from .codes import IS_COUNTED_KIND, IS_DROPPED, IS_FINE, IS_MANUAL, IS_PAID, KINDS, SECTOR_LABEL, has_fine_code, type_in
 from .filters import (
     IN,
     TYPE_KEY,
@@ -14,20 +14,22 @@ from .params import fine_report_params
 
 __all__ = [
     "IN",
+    "IS_COUNTED_KIND",
+    "IS_DROPPED",
+    "IS_FINE",
+    "IS_MANUAL",
+    "IS_PAID",
+    "KINDS",
+    "SECTOR_LABEL",
     "TYPE_KEY",
     "apply_filters",
     "compile_filters",
-    "count_where",
     "emitted_kinds",
     "filter_clause",
     "fine_report_params",
     "has_fine_code",
-    "is_dropped",
-    "is_fine",
-    "is_manual",
-    "is_paid",
     "predicate",
     "quote_identifier",
-    "sector_label",
     "split_type_filter",
+    "type_in",
 ]

@@ -1,40 +1,46 @@
-"""Column predicates and labels over the detections code tables."""
+"""SQL conditions over the detections code tables.
 
-from __future__ import annotations
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from ..schema import MANUAL_VALIDATION, TYPE_DROPPED, TYPE_FINE, TYPE_PAID, UNKNOWN_SECTOR
+The reports are SQL statements; these are the conditions they are built
+from, one place for every code the reports interpret.
+"""
 
+from __future__ import annotations
 
-def is_fine() -> Column:
-    return F.col("TYPE").isin(*TYPE_FINE)
-
+from ..schema import (
+    KIND_DROPPED,
+    KIND_FINE,
+    KIND_PAID,
+    MANUAL_VALIDATION,
+    TYPE_DROPPED,
+    TYPE_FINE,
+    TYPE_PAID,
+    UNKNOWN_SECTOR,
+)
 
-def is_dropped() -> Column:
-    return F.col("TYPE") == TYPE_DROPPED
+# Report order of the transaction kinds and the TYPE codes of each.
+KINDS = {KIND_PAID: (TYPE_PAID,), KIND_DROPPED: (TYPE_DROPPED,), KIND_FINE: TYPE_FINE}
 
 
-def is_paid() -> Column:
-    return F.col("TYPE") == TYPE_PAID
+def type_in(codes: tuple[int, ...]) -> str:
+    """``TYPE`` is one of ``codes``."""
+    return f"TYPE = {codes[0]}" if len(codes) == 1 else f"TYPE IN ({', '.join(str(c) for c in codes)})"
 
 
-def is_manual() -> Column:
-    """Manually reviewed: exact, case-sensitive match on PLATE_SOURCE."""
-    return F.col("PLATE_SOURCE") == MANUAL_VALIDATION
+IS_FINE = type_in(TYPE_FINE)
+IS_DROPPED = type_in((TYPE_DROPPED,))
+IS_PAID = type_in((TYPE_PAID,))
 
+# Rows of any transaction kind.
+IS_COUNTED_KIND = type_in(tuple(code for codes in KINDS.values() for code in codes))
 
-def has_fine_code(code: int) -> Column:
-    return F.col("FINE_TYPE") == code
+# Manually reviewed: exact, case-sensitive match.
+IS_MANUAL = f"PLATE_SOURCE = '{MANUAL_VALIDATION}'"
 
 
-def count_where(condition: Column) -> Column:
-    """Rows where ``condition`` is true (NULL counts as false, like a filter)."""
-    return F.count_if(condition)
+def has_fine_code(code: int) -> str:
+    return f"FINE_TYPE = {code}"
 
 
-def sector_label(name: Column) -> Column:
-    """NULL or '' sector -> 'Unknown'. Applied after grouping, so NULL, ''
-    and a literal 'Unknown' stay three groups with the same label."""
-    return F.when(name.isNull() | (name == ""), F.lit(UNKNOWN_SECTOR)).otherwise(name)
+# NULL or '' sector -> 'Unknown'. Applied after grouping on the raw name, so
+# NULL, '' and a literal 'Unknown' stay three groups with the same label.
+SECTOR_LABEL = f"CASE WHEN SECTOR_NAME IS NULL OR SECTOR_NAME = '' THEN '{UNKNOWN_SECTOR}' ELSE SECTOR_NAME END"

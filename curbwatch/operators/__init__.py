@@ -1,8 +1,8 @@
 from .documents import fine_report_document, fine_report_response, master_report_document
 from .fine_report import fine_counts, fine_counts_from_report, fine_report, sector_counts
 from .master_report import explode_distribution, master_partials, master_report, master_scalars
+from ..functions.codes import KINDS
 from .metrics import (
-    KINDS,
     drop_reason_distribution,
     manual_review_count,
     sector_fine_distribution,

@@ -13,14 +13,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..functions.codes import SECTOR_LABEL, has_fine_code
 from ..plans.statements import Source, run_statement
-from ..schema import FINE_METRICS, UNKNOWN_SECTOR
+from ..schema import FINE_METRICS
 
 
 def _metric_counts() -> list[str]:
     """``count`` expressions m0..m4 in FINE_METRICS order."""
     return [
-        f"count(1) AS m{i}" if code == 0 else f"count_if(FINE_TYPE = {code}) AS m{i}"
+        f"count(1) AS m{i}" if code == 0 else f"count_if({has_fine_code(code)}) AS m{i}"
         for i, (_, code) in enumerate(FINE_METRICS)
     ]
 
@@ -34,10 +35,8 @@ def _metric_rows(values: list[str]) -> str:
     return f"inline(array(\n  {rows}))"
 
 
-SECTOR_LABEL = f"CASE WHEN SECTOR_NAME IS NULL OR SECTOR_NAME = '' THEN '{UNKNOWN_SECTOR}' ELSE SECTOR_NAME END"
-
 FINE_COUNTS_SQL = "SELECT " + _metric_rows(
-    [("count(1)" if code == 0 else f"count_if(FINE_TYPE = {code})") for _, code in FINE_METRICS]
+    [("count(1)" if code == 0 else f"count_if({has_fine_code(code)})") for _, code in FINE_METRICS]
 ) + "\nFROM {d}"
 
 SECTOR_COUNTS_SQL = f"SELECT {SECTOR_LABEL} AS name, count(1) AS value\nFROM {{d}}\nGROUP BY SECTOR_NAME"

@@ -27,10 +27,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
+from ..functions.codes import IS_COUNTED_KIND, IS_DROPPED, IS_FINE, IS_MANUAL, KINDS, type_in
 from ..functions.filters import emitted_kinds, filter_clause, split_type_filter
 from ..plans.statements import Source, run_statement
 from ..schema import KIND_DROPPED, KIND_FINE
-from .metrics import IS_DROPPED, IS_FINE, IS_MANUAL, KINDS, Filters, kind_condition
+from .metrics import Filters
 
 ROLE_OTHER, ROLE_SECTOR_FINE, ROLE_DROP = 0, 1, 2
 
@@ -50,7 +51,7 @@ DOCUMENT_KEYS = (
     "droppedCount",
 )
 
-_KIND_COUNTS = ", ".join(f"count_if({kind_condition(codes)}) AS k{i}" for i, codes in enumerate(KINDS.values()))
+_KIND_COUNTS = ", ".join(f"count_if({type_in(codes)}) AS k{i}" for i, codes in enumerate(KINDS.values()))
 
 PARTIALS_SQL = f"""WITH keyed AS (
   SELECT role,
@@ -73,15 +74,12 @@ GROUP BY role, sector, reason"""
 
 _TYPE_DIST_TYPE = "ARRAY<STRUCT<name: STRING, value: BIGINT>>"
 
-# Rows of any transaction kind (they feed the type distribution and drops).
-COUNTED_KINDS = kind_condition(tuple(code for codes in KINDS.values() for code in codes))
-
 
 def _partials_sql(filters: Filters) -> tuple[str, dict]:
     type_entry, rest = split_type_filter(filters)
     base_where, base_args = filter_clause(rest, "b")
     type_where, type_args = filter_clause(type_entry, "t")
-    relevant = "TRUE" if type_entry is None else f"(({type_where}) OR {COUNTED_KINDS})"
+    relevant = "TRUE" if type_entry is None else f"(({type_where}) OR {IS_COUNTED_KIND})"
     text = PARTIALS_SQL.format(base_where=base_where, type_where=type_where, relevant=relevant)
     return text, {**base_args, **type_args}
 

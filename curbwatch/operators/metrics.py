@@ -20,23 +20,12 @@ from typing import Any
 
 from pyspark.sql import DataFrame
 
+from ..functions.codes import IS_DROPPED, IS_FINE, IS_MANUAL, KINDS, type_in
 from ..functions.filters import emitted_kinds, filter_clause, split_type_filter
 from ..plans.statements import Source, run_statement
-from ..schema import KIND_DROPPED, KIND_FINE, KIND_PAID, MANUAL_VALIDATION, TYPE_DROPPED, TYPE_FINE, TYPE_PAID
-
-# Report order of the transaction kinds and the TYPE codes of each.
-KINDS = {KIND_PAID: (TYPE_PAID,), KIND_DROPPED: (TYPE_DROPPED,), KIND_FINE: TYPE_FINE}
 
 Filters = Mapping[str, Any] | None
 
-IS_FINE = f"TYPE IN ({', '.join(str(c) for c in TYPE_FINE)})"
-IS_DROPPED = f"TYPE = {TYPE_DROPPED}"
-IS_MANUAL = f"PLATE_SOURCE = '{MANUAL_VALIDATION}'"
-
-
-def kind_condition(codes: tuple[int, ...]) -> str:
-    return f"TYPE = {codes[0]}" if len(codes) == 1 else f"TYPE IN ({', '.join(str(c) for c in codes)})"
-
 
 EMPTY_DISTRIBUTION_SQL = "SELECT CAST(NULL AS STRING) AS name, CAST(NULL AS BIGINT) AS value FROM {d} AS src WHERE FALSE"
 
@@ -85,7 +74,7 @@ def transaction_type_distribution(source: Source, filters: Filters = None) -> Da
         return run_statement(source, EMPTY_DISTRIBUTION_SQL)
     where, args = filter_clause(rest)
     rows = ",\n  ".join(
-        f"named_struct('name', '{name}', 'value', count_if({kind_condition(codes)}))"
+        f"named_struct('name', '{name}', 'value', count_if({type_in(codes)}))"
         for name, codes in KINDS.items()
         if name in kinds
     )
