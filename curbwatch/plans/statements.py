@@ -17,11 +17,20 @@ from ..functions.filters import quote_identifier
 Source = DataFrame | str
 
 
+def table_reference(name: str) -> str:
+    """A table or view name as SQL text: each dot-separated part quoted
+    (``db.detections`` -> two parts); a name already holding backticks is
+    taken as written."""
+    if "`" in name:
+        return name.replace("{", "{{").replace("}", "}}")
+    return ".".join(quote_identifier(part) for part in name.split("."))
+
+
 def run_statement(source: Source, text: str, args: dict[str, Any] | None = None) -> DataFrame:
     """``text`` with ``{d}`` bound to ``source``: a DataFrame, or the name of
     a table or temp view (e.g. a collection registered by
     ``CollectionRegistry``)."""
     if isinstance(source, str):
         spark = SparkSession.active()
-        return spark.sql(text.format(d=quote_identifier(source)), args=args or None)
+        return spark.sql(text.format(d=table_reference(source)), args=args or None)
     return source.sparkSession.sql(text, args=args or None, d=source)

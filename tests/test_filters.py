@@ -109,3 +109,19 @@ def test_fine_report_params():
     ):
         with pytest.raises(ValueError):
             fine_report_params(**bad)
+
+
+def test_table_reference():
+    from curbwatch.plans.statements import table_reference
+
+    assert table_reference("DETECTIONS") == "`DETECTIONS`"
+    assert table_reference("db.detections") == "`db`.`detections`"
+    assert table_reference("`odd.name`") == "`odd.name`"
+
+
+def test_report_on_view_name(spark, edge):
+    from curbwatch.operators import transaction_count
+
+    edge.createOrReplaceTempView("EDGE_VIEW")
+    assert transaction_count("EDGE_VIEW", {"TYPE": {"$in": [6, 7]}}).collect()[0][0] == 5
+    assert transaction_count("EDGE_VIEW").collect()[0][0] == 12
