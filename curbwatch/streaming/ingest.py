@@ -7,7 +7,10 @@ The pipeline is stateless (one output row per message). Unlike a bare
   committed offsets instead of skipping what arrived while it was down;
 * the sink is keyed on ``batch_id``: a path sink overwrites its
   ``batch_id=<id>`` folder, so a batch retried after a failure replaces its
-  own output instead of appending it twice.
+  own output instead of appending it twice. A connector sink (no path) can
+  keep a commit log in a shared folder, so a batch id already written is
+  skipped on replay, and can upsert on ``message_id`` (Kafka coordinates) so
+  a batch that died between write and log entry replaces its own rows.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,6 +27,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from ..schema import STREAM_SCHEMA
 
 CORRUPT_COLUMN = "_corrupt_record"
+MESSAGE_ID_COLUMN = "message_id"
+KAFKA_COORDINATES = ("topic", "partition", "offset")
 MALFORMED_COLUMN = "_malformed"
 MALFORMED_MODES = ("keep", "drop", "flag")
 
@@ -48,6 +54,7 @@ def decode_messages(
     schema: StructType = STREAM_SCHEMA,
     value_col: str = "value",
     on_malformed: str = "keep",
+    message_id: bool = False,
 ) -> DataFrame:
     """Decode JSON payloads into the fields of ``schema`` (works on batch and
     streaming DataFrames alike).
@@ -60,28 +67,49 @@ def decode_messages(
     ``on_malformed``: ``keep`` (default) keeps those rows; ``drop`` removes
     rows that failed to parse or had a field of the wrong type; ``flag``
     keeps all rows and adds ``_malformed`` (boolean) and the raw ``value``.
+
+    ``message_id=True`` adds ``message_id`` = ``topic/partition/offset`` of
+    a Kafka record: the same on every replay, so a connector sink can upsert
+    on it.
     """
     if on_malformed not in MALFORMED_MODES:
         raise ValueError(f"on_malformed must be one of {MALFORMED_MODES}")
     text = F.col(value_col).cast("string")
     fields = [F.col(f"data.{f.name}").alias(f.name) for f in schema.fields]
+    carried: list[Column] = []
+    if message_id:
+        missing = [c for c in KAFKA_COORDINATES if c not in messages.columns]
+        if missing:
+            raise ValueError(f"message_id needs the Kafka columns {KAFKA_COORDINATES}; missing {missing}")
+        carried.append(F.concat_ws("/", *[F.col(c).cast("string") for c in KAFKA_COORDINATES]).alias(MESSAGE_ID_COLUMN))
     if on_malformed == "keep":
-        return messages.select(F.from_json(text, schema).alias("data")).select(*fields)
+        return messages.select(F.from_json(text, schema).alias("data"), *carried).select(
+            *fields, *[F.col(MESSAGE_ID_COLUMN)] if message_id else []
+        )
     with_corrupt = StructType([*schema.fields, StructField(CORRUPT_COLUMN, StringType(), True)])
     parsed = messages.select(
         text.alias("value"),
         F.from_json(text, with_corrupt, {"columnNameOfCorruptRecord": CORRUPT_COLUMN}).alias("data"),
+        *carried,
     )
+    if message_id:
+        fields.append(F.col(MESSAGE_ID_COLUMN))
     malformed: Column = F.col("data").isNull() | F.col(f"data.{CORRUPT_COLUMN}").isNotNull()
     if on_malformed == "drop":
         return parsed.filter(~malformed).select(*fields)
     return parsed.select(*fields, malformed.alias(MALFORMED_COLUMN), F.col("value"))
 
 
-def write_collection(df: DataFrame, format: str, path: str | None = None, mode: str = "append", **options: str) -> None:
+def write_collection(
+    df: DataFrame,
+    format: str,
+    path: str | None = None,
+    mode: str = "append",
+    options: Mapping[str, str] | None = None,
+) -> None:
     """Write ``df`` to a collection (a path, or a connector addressed by
     options such as ``database`` / ``collection``)."""
-    writer = df.write.format(format).mode(mode).options(**options)
+    writer = df.write.format(format).mode(mode).options(**dict(options or {}))
     if path is None:
         writer.save()
     else:
@@ -93,22 +121,50 @@ class BatchSink:
 
     With ``path``: each batch is written to ``{path}/batch_id=<id>`` with
     overwrite, so a replayed batch replaces its earlier attempt; reading
-    ``path`` back yields a ``batch_id`` partition column. Without ``path``
-    (a connector addressed by options) rows are appended with a
-    ``batch_id`` column; idempotence then needs the connector's upsert
-    options (e.g. replace on id fields).
+    ``path`` back yields a ``batch_id`` partition column.
+
+    Without ``path`` (a connector addressed by ``options``, e.g.
+    ``{"database": ..., "collection": ...}``) rows are appended with a ``batch_id`` column. Give
+    ``commit_log`` (a folder in shared storage) to skip batch ids already
+    written; pair it with the connector's upsert options on ``message_id``
+    to cover a batch that died between its write and its log entry.
     """
 
-    def __init__(self, format: str = "parquet", path: str | None = None, **options: str):
+    def __init__(
+        self,
+        format: str = "parquet",
+        path: str | None = None,
+        *,
+        commit_log: str | None = None,
+        options: Mapping[str, str] | None = None,
+    ):
         self.format = format
         self.path = path.rstrip("/") if path else None
-        self.options = options
+        self.commit_log = commit_log.rstrip("/") if commit_log else None
+        self.options = dict(options or {})
+
+    def _committed(self, spark: SparkSession, batch_id: int) -> bool:
+        """Whether the log holds an entry for ``batch_id`` (one small read of
+        that entry only, however long the log)."""
+        if self.commit_log is None:
+            return False
+        try:
+            return not spark.read.text(f"{self.commit_log}/{batch_id}").isEmpty()
+        except AnalysisException:  # no entry
+            return False
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         if self.path is not None:
-            write_collection(batch, self.format, f"{self.path}/batch_id={batch_id}", "overwrite", **self.options)
-        else:
-            write_collection(batch.withColumn("batch_id", F.lit(batch_id)), self.format, None, "append", **self.options)
+            write_collection(batch, self.format, f"{self.path}/batch_id={batch_id}", "overwrite", self.options)
+            return
+        spark = batch.sparkSession
+        if self._committed(spark, batch_id):
+            return
+        write_collection(batch.withColumn("batch_id", F.lit(batch_id)), self.format, None, "append", self.options)
+        if self.commit_log is not None:
+            spark.createDataFrame([(str(batch_id),)], "value string").coalesce(1).write.mode("overwrite").text(
+                f"{self.commit_log}/{batch_id}"
+            )
 
 
 def _quarantine_router(sink: Callable, quarantine: Callable, fields: list[str]) -> Callable:
@@ -131,6 +187,7 @@ def start_ingest(
     schema: StructType = STREAM_SCHEMA,
     value_col: str = "value",
     on_malformed: str = "keep",
+    message_id: bool = False,
     quarantine: Callable[[DataFrame, int], None] | None = None,
     trigger: Mapping[str, Any] | None = None,
     output_mode: str = "append",
@@ -145,17 +202,19 @@ def start_ingest(
     ``DataStreamWriter.trigger`` (e.g. ``{"availableNow": True}``); the
     default is Spark's (next batch as soon as the previous one ends).
     ``output_mode`` ``update`` is accepted and, with no aggregation, gives the
-    same rows as ``append``.
+    same rows as ``append``. ``message_id`` carries each Kafka record's
+    coordinates (see ``decode_messages``).
     """
     if not checkpoint_location:
         raise ValueError("a checkpoint location is required")
     if on_malformed == "quarantine":
         if quarantine is None:
             raise ValueError("on_malformed='quarantine' needs a quarantine sink")
-        decoded = decode_messages(messages, schema, value_col, "flag")
-        callback = _quarantine_router(sink, quarantine, [f.name for f in schema.fields])
+        decoded = decode_messages(messages, schema, value_col, "flag", message_id)
+        fields = [f.name for f in schema.fields] + ([MESSAGE_ID_COLUMN] if message_id else [])
+        callback = _quarantine_router(sink, quarantine, fields)
     else:
-        decoded = decode_messages(messages, schema, value_col, on_malformed)
+        decoded = decode_messages(messages, schema, value_col, on_malformed, message_id)
         callback = sink
     writer = (
         decoded.writeStream.outputMode(output_mode)

@@ -149,3 +149,28 @@ def test_batch_replayed_after_crash_adds_no_duplicates(spark):
     _run(spark, inbox, sink_dir, checkpoint)  # restart: replays the same batch id
     assert spark.read.parquet(sink_dir).count() == 30
     assert sorted(int(r["imei"]) for r in spark.read.parquet(sink_dir).collect()) == list(range(30))
+
+
+def test_message_id_from_kafka_coordinates(spark):
+    rows = [(bytearray(_msg(i).encode()), "device-messages", i % 2, 100 + i) for i in range(4)]
+    kafka_like = spark.createDataFrame(rows, "value binary, topic string, partition int, offset long")
+    out = decode_messages(kafka_like, message_id=True)
+    assert out.columns == [f.name for f in STREAM_SCHEMA] + ["message_id"]
+    assert [r["message_id"] for r in out.collect()] == [f"device-messages/{i % 2}/{100 + i}" for i in range(4)]
+    flagged = decode_messages(kafka_like, on_malformed="flag", message_id=True)
+    assert "message_id" in flagged.columns
+    with pytest.raises(ValueError):
+        decode_messages(_payloads(spark), message_id=True)
+
+
+def test_connector_sink_commit_log_skips_replayed_batch(spark):
+    root = shared_dir(spark, "test_commit_log")
+    # a sink addressed by options only (no path argument), like a connector
+    sink = BatchSink("json", commit_log=f"{root}/log", options={"path": f"{root}/collection"})
+    batch = spark.createDataFrame([("1", 1), ("2", 2)], "imei string, status int")
+    sink(batch, 0)
+    sink(batch, 0)  # replay of a committed batch: skipped
+    sink(batch.limit(1), 1)
+    out = spark.read.json(f"{root}/collection")
+    assert out.count() == 3
+    assert sorted(r["batch_id"] for r in out.collect()) == [0, 0, 1]
