@@ -53,23 +53,20 @@ DOCUMENT_KEYS = (
 
 _KIND_COUNTS = ", ".join(f"count_if({type_in(codes)}) AS k{i}" for i, codes in enumerate(KINDS.values()))
 
-PARTIALS_SQL = f"""WITH keyed AS (
-  SELECT role,
-         CASE WHEN role = {ROLE_SECTOR_FINE} THEN SECTOR_NAME END AS sector,
-         CASE WHEN role = {ROLE_DROP} THEN DROP_REASON END AS reason,
-         in_type, TYPE, PLATE_SOURCE
-  FROM (
-    SELECT CASE WHEN ({{type_where}}) AND {IS_FINE} THEN {ROLE_SECTOR_FINE}
-                WHEN {IS_DROPPED} THEN {ROLE_DROP} ELSE {ROLE_OTHER} END AS role,
-           ({{type_where}}) AS in_type,
-           SECTOR_NAME, DROP_REASON, TYPE, PLATE_SOURCE
-    FROM {{{{d}}}} AS src WHERE {{base_where}} AND {{relevant}}))
-SELECT role, sector, reason,
+# One projection level: role 1 = fine passing t, role 2 = dropped (TYPE 5
+# can never be a fine, so "dropped" alone decides role 2 and its reason key).
+PARTIALS_SQL = f"""SELECT role, sector, reason,
        count(1) AS n,
        count_if(in_type) AS n_txn,
        count_if(in_type AND {IS_MANUAL}) AS n_manual,
        {_KIND_COUNTS}
-FROM keyed
+FROM (
+  SELECT CASE WHEN ({{type_where}}) AND {IS_FINE} THEN {ROLE_SECTOR_FINE}
+              WHEN {IS_DROPPED} THEN {ROLE_DROP} ELSE {ROLE_OTHER} END AS role,
+         CASE WHEN ({{type_where}}) AND {IS_FINE} THEN SECTOR_NAME END AS sector,
+         CASE WHEN {IS_DROPPED} THEN DROP_REASON END AS reason,
+         ({{type_where}}) AS in_type, TYPE, PLATE_SOURCE
+  FROM {{{{d}}}} AS src WHERE {{base_where}} AND {{relevant}})
 GROUP BY role, sector, reason"""
 
 _TYPE_DIST_TYPE = "ARRAY<STRUCT<name: STRING, value: BIGINT>>"
