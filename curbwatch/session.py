@@ -41,6 +41,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def _context(spark: SparkSession):
+    """The SparkContext, or ``None`` for a session without one (Spark Connect)."""
+    try:
+        return spark.sparkContext
+    except Exception:  # Spark Connect sessions have no SparkContext
+        return None
+
+
 def shared_dir(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     """A folder under the cluster's shared checkpoint folder.
 
@@ -49,15 +57,16 @@ def shared_dir(spark: SparkSession, *parts: str, unique: bool = True) -> str:
     is then also set as its checkpoint dir; on a cluster an unset base is an
     error, since a machine-local folder is not visible to executors.
     """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    context = _context(spark)
+    if not base and context is not None:
+        base = context.getCheckpointDir()
     if not base:
-        master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
+        master = context.master if context is not None else ""
+        if not (master or "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         base = tempfile.mkdtemp(prefix="curbwatch-")
-        spark.sparkContext.setCheckpointDir(base)
+        context.setCheckpointDir(base)
     path = "/".join([base.rstrip("/"), "curbwatch", *parts])
     if unique:
         path = f"{path}/{uuid.uuid4().hex}"
