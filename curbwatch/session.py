@@ -67,6 +67,8 @@ def shared_dir(spark: SparkSession, *parts: str, unique: bool = True) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         base = tempfile.mkdtemp(prefix="curbwatch-")
         context.setCheckpointDir(base)
+    if base.startswith("file:") and not base.startswith("file://"):
+        base = base[len("file:"):]  # a local folder given as a URI
     path = "/".join([base.rstrip("/"), "curbwatch", *parts])
     if unique:
         path = f"{path}/{uuid.uuid4().hex}"
