@@ -53,6 +53,9 @@ RUNS = int(os.environ.get("BENCH_RUNS", "7"))
 
 FILTERED = {"SECTOR_NAME": "SECTOR_3", "TYPE": {"$in": [1, 5, 6]}}
 
+# min and max of the timed rounds, per query
+RANGES: dict = {}
+
 
 def _time(fn) -> float:
     for _ in range(WARMUPS):
@@ -77,6 +80,7 @@ def _time_interleaved(fns: dict) -> dict:
             t0 = time.perf_counter()
             fn()
             samples[name].append(time.perf_counter() - t0)
+    RANGES.update({name: [round(min(v), 4), round(max(v), 4)] for name, v in samples.items()})
     return {name: round(statistics.median(v), 4) for name, v in samples.items()}
 
 
@@ -157,6 +161,7 @@ def main() -> None:
                 "value": round(sum(queries.values()), 4),
                 "unit": "sec",
                 "queries": queries,
+                "ranges": {name: RANGES[name] for name in queries},
                 "per_metric": per_metric,
                 "derived_on_the_fly": derived,
                 "streaming": streaming,
