@@ -86,6 +86,15 @@ class CollectionRegistry:
         self.spark.catalog.dropTempView(name)
         return True
 
+    def watch(self, name: str, changes: DataFrame, checkpoint_location: str, **kwargs: Any) -> StreamingQuery:
+        """Refresh ``name`` whenever ``changes`` (a streaming change feed)
+        reports an insert, update, replace or delete; see
+        ``streaming.watch_collection`` for ``report`` / ``report_path`` /
+        ``trigger``."""
+        from ..streaming.refresh import watch_collection
+
+        return watch_collection(self, name, changes, checkpoint_location, **kwargs)
+
     def attach_watch(self, name: str, query: StreamingQuery) -> None:
         """Remember the refresh query of ``name`` so ``remove``/``stop_all`` stop it."""
         self.stop_watch(name)

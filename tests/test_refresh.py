@@ -6,7 +6,7 @@ from curbwatch.operators import fine_counts
 from curbwatch.schema import DETECTIONS_SCHEMA
 from curbwatch.session import shared_dir
 from curbwatch.sources import CollectionRegistry
-from curbwatch.streaming import latest_report, read_changes, start_refresh, watch_collection
+from curbwatch.streaming import latest_report, read_changes, start_refresh
 
 from .fixtures import edge_detections
 
@@ -57,8 +57,8 @@ def test_report_follows_data_change(spark):
     registry.add("TEST_DETECTIONS", DETECTIONS_SCHEMA, path=collection)
 
     def run():
-        q = watch_collection(registry, "TEST_DETECTIONS", read_changes(spark, "json", changes_dir), f"{root}/ckpt",
-                             report=fine_counts, report_path=f"{root}/reports", trigger=AVAILABLE_NOW)
+        q = registry.watch("TEST_DETECTIONS", read_changes(spark, "json", changes_dir), f"{root}/ckpt",
+                           report=fine_counts, report_path=f"{root}/reports", trigger=AVAILABLE_NOW)
         q.awaitTermination()
 
     _write_changes(changes_dir, ["insert"])
