@@ -12,7 +12,7 @@ from ..functions.params import fine_report_params
 from ..plans.statements import Source, run_statement
 from ..schema import FINE_METRICS
 from .fine_report import FINE_REPORT_SQL
-from .master_report import DOCUMENT_KEYS, _report_sql
+from .master_report import DOCUMENT_KEYS, report_sql
 from .metrics import Filters
 
 _JSON_OPTIONS = "map('ignoreNullFields', 'false')"
@@ -32,7 +32,7 @@ def fine_report_document(source: Source) -> DataFrame:
 def master_report_document(source: Source, filters: Filters = None) -> DataFrame:
     """One row ``document`` with the eight master-report keys in order; the
     sector and reason lists sorted, the type list in report order."""
-    report, args = _report_sql(filters)
+    report, args = report_sql(filters)
     sorted_lists = ("sectorsFineDistribution", "droppedTransactionDistribution")
     fields = ", ".join(f"'{key}', {f'sort_array({key})' if key in sorted_lists else key}" for key in DOCUMENT_KEYS)
     text = f"SELECT to_json(named_struct({fields}), {_JSON_OPTIONS}) AS document\nFROM (\n{report})"

@@ -18,12 +18,9 @@ from ..plans.statements import Source, run_statement
 from ..schema import FINE_METRICS
 
 
-def _metric_counts() -> list[str]:
-    """``count`` expressions m0..m4 in FINE_METRICS order."""
-    return [
-        f"count(1) AS m{i}" if code == 0 else f"count_if({has_fine_code(code)}) AS m{i}"
-        for i, (_, code) in enumerate(FINE_METRICS)
-    ]
+def _count(code: int) -> str:
+    """The count behind one metric: all rows for id 0, else one fine code."""
+    return "count(1)" if code == 0 else f"count_if({has_fine_code(code)})"
 
 
 def _metric_rows(values: list[str]) -> str:
@@ -35,9 +32,7 @@ def _metric_rows(values: list[str]) -> str:
     return f"inline(array(\n  {rows}))"
 
 
-FINE_COUNTS_SQL = "SELECT " + _metric_rows(
-    [("count(1)" if code == 0 else f"count_if({has_fine_code(code)})") for _, code in FINE_METRICS]
-) + "\nFROM {d}"
+FINE_COUNTS_SQL = "SELECT " + _metric_rows([_count(code) for _, code in FINE_METRICS]) + "\nFROM {d}"
 
 SECTOR_COUNTS_SQL = f"SELECT {SECTOR_LABEL} AS name, count(1) AS value\nFROM {{d}}\nGROUP BY SECTOR_NAME"
 
@@ -46,7 +41,7 @@ _metric_structs = ",\n       ".join(
     for i, (key, code) in enumerate(FINE_METRICS)
 )
 FINE_REPORT_SQL = f"""WITH per_sector AS (
-  SELECT SECTOR_NAME, {', '.join(_metric_counts())}
+  SELECT SECTOR_NAME, {', '.join(f"{_count(code)} AS m{i}" for i, (_, code) in enumerate(FINE_METRICS))}
   FROM {{d}}
   GROUP BY SECTOR_NAME)
 SELECT {_metric_structs},

@@ -91,7 +91,8 @@ def master_partials(source: Source, filters: Filters = None) -> DataFrame:
     return run_statement(source, text, args)
 
 
-def _report_sql(filters: Filters) -> tuple[str, dict]:
+def report_sql(filters: Filters) -> tuple[str, dict]:
+    """Statement text and parameters of the master report row."""
     kinds = emitted_kinds(filters, KINDS)
     partials, args = _partials_sql(filters)
     totals = {name: f"coalesce(sum(k{i}), 0)" for i, name in enumerate(KINDS)}
@@ -125,13 +126,13 @@ def master_report(source: Source, filters: Filters = None) -> DataFrame:
     droppedTransactionDistribution ``array<struct<name: int, value: bigint>>``.
     Distribution order inside the arrays is unspecified.
     """
-    text, args = _report_sql(filters)
+    text, args = report_sql(filters)
     return run_statement(source, text, args)
 
 
 def master_scalars(source: Source, filters: Filters = None) -> DataFrame:
     """The five scalar metrics of ``master_report`` (one row)."""
-    text, args = _report_sql(filters)
+    text, args = report_sql(filters)
     return run_statement(source, f"SELECT {', '.join(SCALARS)} FROM (\n{text})", args)
 
 
