@@ -8,7 +8,10 @@ the query wrote, as a DataFrame.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.fine_report import fine_counts
 from ..schema import DETECTIONS_SCHEMA
@@ -17,7 +20,7 @@ from ..sources.collections import CollectionRegistry
 from ..sources.detections import load_detections
 from ..sources.messages import changes_from_events, payloads_from_events
 from .ingest import BatchSink, decode_messages, read_messages, start_ingest
-from .refresh import latest_report, read_changes, watch_collection
+from .refresh import latest_report, read_changes
 
 AVAILABLE_NOW = {"availableNow": True}
 
@@ -50,24 +53,27 @@ def refresh_on_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     change feed derived from events.
 
     The detections are written as a parquet collection and registered with
-    the declared schema; change records are recorded as JSON files and
-    streamed one file per batch. Every batch with an insert / update /
-    replace / delete re-reads the collection and recomputes the fine counts;
-    the result is the report of the last refresh.
+    the declared schema (under a view name of its own). The change records
+    arrive in two runs on one checkpoint: first those of every event but
+    signups (inserts, updates, replaces, deletes: one refresh), then those of
+    the signups ("drop": ignored). Each refresh re-reads the collection and
+    recomputes the fine counts once per micro-batch, so the work stays
+    linear in the data. The result is the report of the last refresh.
     """
     root = shared_dir(spark, "refresh_on_change")
     collection, changes_dir = f"{root}/DETECTIONS", f"{root}/changes"
     reports, checkpoint = f"{root}/reports", f"{root}/checkpoint"
     events = _events(spark, sf_dir)
     load_detections(spark, sf_dir).write.mode("error").parquet(collection)
-    changes_from_events(events).repartition(4).write.mode("error").json(changes_dir)
 
+    name = f"DETECTIONS_{uuid.uuid4().hex}"
     registry = CollectionRegistry(spark, format="parquet")
-    registry.add("DETECTIONS", DETECTIONS_SCHEMA, path=collection)
-    changes = read_changes(spark, "json", changes_dir, maxFilesPerTrigger="1")
-    query = watch_collection(
-        registry, "DETECTIONS", changes, checkpoint, report=fine_counts, report_path=reports, trigger=AVAILABLE_NOW
-    )
-    query.awaitTermination()
-    registry.remove("DETECTIONS")
+    registry.add(name, DETECTIONS_SCHEMA, path=collection)
+    signup = F.col("event_type").eqNullSafe("signup")
+    for part in (events.filter(~signup), events.filter(signup)):
+        changes_from_events(part).write.mode("append").json(changes_dir)
+        changes = read_changes(spark, "json", changes_dir)
+        query = registry.watch(name, changes, checkpoint, report=fine_counts, report_path=reports, trigger=AVAILABLE_NOW)
+        query.awaitTermination()
+    registry.remove(name)
     return latest_report(spark, reports)
