@@ -53,9 +53,11 @@ def main(argv: list[str]) -> int:
             f"- ReadSchema: `{'`, `'.join(read_schemas(df))}`",
             f"- PushedFilters: {', '.join(f'`{p}`' for p in pushed_filters(df) if p.strip('[] ')) or 'none'}",
             f"- every exchange fed by a partial aggregate: {exchanges_after_partial_aggregates(df)}",
+            "- final adaptive plan after one run (`[codegen id : n]` marks whole-stage codegen):",
             "",
             "```",
         ]
+        df.collect()
         for line in plan_text(df).rstrip().splitlines():
             lines.append(line if len(line) <= MAX_LINE else line[:MAX_LINE] + " ...")
         lines += ["```", ""]
