@@ -141,3 +141,14 @@ def test_fine_report_matches_model(edge, edge_rows, f2, f2_rows):
             "sectors": Counter((d["name"], d["value"]) for d in row["sectors"]),
         }
         assert got == model_fine(rows)
+
+
+@settings(max_examples=25, deadline=None, derandomize=True, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(filters=filters_strategy)
+def test_column_and_sql_filter_forms_agree(spark, edge, edge_rows, filters):
+    from curbwatch.functions import apply_filters, filter_clause
+
+    by_column = sorted(r["ID"] for r in apply_filters(edge, filters).select("ID").collect())
+    where, args = filter_clause(filters)
+    by_sql = sorted(r["ID"] for r in spark.sql(f"SELECT ID FROM {{d}} AS src WHERE {where}", args=args, d=edge).collect())
+    assert by_column == by_sql == sorted(r["ID"] for r in _where(edge_rows, filters))
