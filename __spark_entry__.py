@@ -125,6 +125,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "master_report_type_distribution": _master_part(F_SECTOR_PAID_FINE, "transactionTypesDistribution"),
         "master_report_drop_reasons": _master_part(F_AUTO_TYPE_IN, "droppedTransactionDistribution"),
         "master_report_empty_filter": _with(master_scalars, F_IN_EMPTY),
+        "master_report_lower_type_key": _with(master_scalars, {"type": {"$in": [6]}}),
+        "drop_reason_distribution_type_only": _with(drop_reason_distribution, F_TYPE_IN_FINE),
         # Report documents (exact JSON text)
         "fine_report_document": _with(fine_report_document),
         "master_report_document": _with(master_report_document),
@@ -331,6 +333,11 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT DROP_REASON AS name, count(*) AS value FROM detections "
         "WHERE TYPE = 5 AND PLATE_SOURCE = 'AUTO' GROUP BY DROP_REASON",
         "master_report_empty_filter": _master_sql("false", "true", False, False),
+        # only the exact key TYPE is special: "type" filters every metric like any column
+        "master_report_lower_type_key": _master_sql("TYPE IN (6)", "TYPE IN (6)", False, False),
+        # drops per reason ignore the TYPE entry
+        "drop_reason_distribution_type_only": _CTE
+        + "SELECT DROP_REASON AS name, count(*) AS value FROM detections WHERE TYPE = 5 GROUP BY DROP_REASON",
         "fine_report_document": _FINE_DOCUMENT_SQL,
         "master_report_document": _master_document_sql("true", "true", ["PaidTransaction", "dropped", "fine"]),
         "master_report_document_filtered": _master_document_sql(
