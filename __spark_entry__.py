@@ -40,6 +40,15 @@ from curbwatch.schema import DETECTIONS_SCHEMA
 from curbwatch.sources import DETECTIONS_FROM_EVENTS_SQL, load_detections
 from curbwatch.streaming.replay import refresh_on_change, stream_decode, stream_ingest
 
+# The corpus operators are optional: without their folder (and the pipeline file) all else works.
+try:
+    import corpus_pipeline
+    from curbwatch.llm import queries as corpus_queries
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "curbwatch.llm"):
+        raise
+    corpus_pipeline = corpus_queries = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # Filters used by the registered queries.
@@ -81,6 +90,16 @@ def _master_part(filters, column) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return _report_queries() | _corpus_queries()
+
+
+def _corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    if corpus_queries is None:
+        return {}
+    return corpus_queries.queries() | {"pipeline": corpus_pipeline.run}
+
+
+def _report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # The collection scan with the declared schema
         "detections_scan": lambda spark, sf_dir: _detections(spark, sf_dir),
@@ -276,6 +295,13 @@ FROM events
 
 
 def oracle_sql() -> dict[str, str]:
+    if corpus_queries is None:
+        return _report_sql()
+    pipeline_sql = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return _report_sql() | corpus_queries.oracle_sql() | pipeline_sql
+
+
+def _report_sql() -> dict[str, str]:
     sector3 = "SECTOR_NAME = 'SECTOR_3'"
     return {
         "detections_scan": _rows("true"),
