@@ -8,9 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table
+from .piece_codec import encode_documents
 from .ring_shards import ring_shards
 
 
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = ring_shards(spark, read_table(spark, sf_dir, "documents"), shards=24)
     return placed.select(
@@ -24,9 +31,20 @@ def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+    return encoded.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_ring_shards": op4_ring_shards,
+        "op10_piece_codec": op10_piece_codec,
     }
 
 
