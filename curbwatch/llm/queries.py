@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import inline_rows, read_table
 from .piece_codec import encode_documents
 from .ring_shards import ring_shards
+from .risk_rules import judge_documents
+from .url_equivalence import judge_pages
 
 
 def tokenizer_path(name: str) -> str:
@@ -31,6 +34,29 @@ def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# host, path, verdict
+URL_RULES = (
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+)
+
+
+def op7_url_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = json.dumps([dict(zip(("host", "path", "verdict"), r)) for r in URL_RULES])
+    rules = inline_rows(spark, rules, "host: string, path: string, verdict: string")
+    judged = judge_pages(read_table(spark, sf_dir, "pages"), rules)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    facts = [f"facts.{f}" for f in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judge_documents(docs, labels).select("doc_id", *facts, "base_failed", "kept")
+
+
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = encode_documents(read_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
     return encoded.select(
@@ -44,9 +70,34 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_ring_shards": op4_ring_shards,
+        "op7_url_equivalence": op7_url_equivalence,
+        "op9_risk_rules": op9_risk_rules,
         "op10_piece_codec": op10_piece_codec,
     }
 
 
+_RULE_FITS = "\n    UNION ALL ".join(
+    f"SELECT '{host}' AS h, '{path}' AS p, '{verdict}' AS ruled" for host, path, verdict in URL_RULES
+)
+
+# the given pages hold no canonical link and no refresh, so aliases are pages equal up to scheme and
+# fragment, which share host, path and rule: what no rule fits is allowed
+OP7_SQL = f"""
+WITH rules AS ({_RULE_FITS}),
+parts AS (
+  SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path,
+         row_number() OVER () AS row_no
+  FROM pages),
+fits AS (
+  SELECT row_no, arg_max(h || p, length(h || p)) AS rule, arg_max(ruled, length(h || p)) AS ruled
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY row_no)
+SELECT page_id, host, path, rule, coalesce(ruled, 'allow') AS verdict
+FROM parts LEFT JOIN fits USING (row_no)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_equivalence": OP7_SQL}
