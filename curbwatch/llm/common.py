@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +16,28 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SHIPPED: set[str] = set()  # applications whose workers have this package
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, as ``--py-files`` would. The zip
+    file is sent by Spark, so it need not lie where executors can read."""
+    context = spark.sparkContext
+    if context.applicationId in SHIPPED:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    package = os.path.basename(top)
+    path = os.path.join(tempfile.mkdtemp(), f"{package}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join(package, os.path.relpath(full, top)))
+    context.addPyFile(path)
+    SHIPPED.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir`` (or the context's checkpoint
     folder). Unset is an error: a machine-local folder is not shared."""

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import text_blocks
+from .common import ship_package, text_blocks
 
 MARK = "▁"  # fixed value: what stands for a space in pieces
 UNKNOWN_TEXT = " ⁇ "  # fixed value: what an unknown piece decodes to
@@ -258,6 +258,7 @@ def codec_for(digest: str, vocabulary: Vocabulary) -> Codec:
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """(doc_id, ids, decoded) of every row: all ids with begin and end as
     little-endian unsigned 32-bit numbers, and the text they decode to."""
+    ship_package(docs.sparkSession)
     with open(model_path, "rb") as f:
         model = f.read()
     digest, vocabulary = hashlib.sha256(model).hexdigest(), Vocabulary(model)

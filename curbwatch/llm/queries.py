@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import inline_rows, read_table
+from .dominance_pack import pack_documents
 from .piece_codec import encode_documents
 from .ring_shards import ring_shards
 from .risk_rules import judge_documents
+from .token_blocks import token_blocks
 from .url_equivalence import judge_pages
 
 
@@ -34,6 +36,15 @@ def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_blocks(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), width=2048)
+
+
+def op5_dominance_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
+
+
 # host, path, verdict
 URL_RULES = (
     ("org", "/", "allow"),
@@ -69,7 +80,9 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_token_blocks": op3_token_blocks,
         "op4_ring_shards": op4_ring_shards,
+        "op5_dominance_pack": op5_dominance_pack,
         "op7_url_equivalence": op7_url_equivalence,
         "op9_risk_rules": op9_risk_rules,
         "op10_piece_codec": op10_piece_codec,
