@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import inline_rows, read_table
 from .dominance_pack import pack_documents
+from .license_scan import label_list, scan_licenses
 from .piece_codec import encode_documents
 from .ring_shards import ring_shards
 from .risk_rules import judge_documents
@@ -45,6 +46,20 @@ def op5_dominance_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(docs, tokenizer_path("word_bpe_49k.json"), capacity=2048, end_id=0)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = scan_licenses(read_table(spark, sf_dir, "documents"))
+    return scanned.select(
+        "doc_id",
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        label_list(F.col("base_labels")).alias("base_labels"),
+        label_list(F.concat("base_labels", "found.label")).alias("labels"),
+        F.coalesce(F.array_max("found.containment"), F.lit(0.0)).alias("score"),
+    )
+
+
 # host, path, verdict
 URL_RULES = (
     ("org", "/", "allow"),
@@ -83,6 +98,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_blocks": op3_token_blocks,
         "op4_ring_shards": op4_ring_shards,
         "op5_dominance_pack": op5_dominance_pack,
+        "op6_license_scan": op6_license_scan,
         "op7_url_equivalence": op7_url_equivalence,
         "op9_risk_rules": op9_risk_rules,
         "op10_piece_codec": op10_piece_codec,
