@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .byte_cnn import held_out, score_rows, train_classifier
 from .common import inline_rows, read_table
 from .dominance_pack import pack_documents
 from .license_scan import label_list, scan_licenses
@@ -77,6 +78,17 @@ def op7_url_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = train_classifier(docs, read_table(spark, sf_dir, "labels"))
+    return score_rows(docs, model, ["doc_id"]).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op9_risk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     facts = [f"facts.{f}" for f in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -100,6 +112,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_dominance_pack": op5_dominance_pack,
         "op6_license_scan": op6_license_scan,
         "op7_url_equivalence": op7_url_equivalence,
+        "op8_byte_cnn": op8_byte_cnn,
         "op9_risk_rules": op9_risk_rules,
         "op10_piece_codec": op10_piece_codec,
     }
