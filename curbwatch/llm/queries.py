@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .byte_cnn import held_out, score_rows, train_classifier
 from .common import inline_rows, read_table
 from .dominance_pack import pack_documents
+from .jaccard_matrix import jaccard_components
 from .license_scan import label_list, scan_licenses
 from .piece_codec import encode_documents
 from .ring_shards import ring_shards
@@ -38,6 +39,10 @@ def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_jaccard_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read_table(spark, sf_dir, "documents"), words=5, percent=75)
+
+
 def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks(read_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), width=2048)
 
@@ -107,6 +112,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_jaccard_matrix": op2_jaccard_matrix,
         "op3_token_blocks": op3_token_blocks,
         "op4_ring_shards": op4_ring_shards,
         "op5_dominance_pack": op5_dominance_pack,
