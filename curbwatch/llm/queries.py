@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .byte_cnn import held_out, score_rows, train_classifier
 from .common import inline_rows, read_table
 from .dominance_pack import pack_documents
+from .forest_search import nearest
 from .jaccard_matrix import jaccard_components
 from .license_scan import label_list, scan_licenses
 from .piece_codec import encode_documents
@@ -39,6 +40,10 @@ def op4_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_forest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_jaccard_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), words=5, percent=75)
 
@@ -112,6 +117,7 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_forest_search": op1_forest_search,
         "op2_jaccard_matrix": op2_jaccard_matrix,
         "op3_token_blocks": op3_token_blocks,
         "op4_ring_shards": op4_ring_shards,
