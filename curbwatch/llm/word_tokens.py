@@ -2,7 +2,8 @@
 
 The tokenizer drops white space, and none of its steps (NFC, lower case, split,
 merges) looks across it; so the ids of a text are those of its space-separated
-chunks, which repeat. Each worker keeps a bounded table of chunks.
+chunks, which repeat. Each worker keeps bounded tables of words and
+other chunks; a word with punctuation behind it is looked up in two parts.
 """
 
 from __future__ import annotations
@@ -22,13 +23,22 @@ UNPLAIN = re.compile("[İɐ-\U0010ffff]").search
 PROBES = ("", "A  b\tc", "The CAT's 12 café x　y", "́a é İΣ", "<|endoftext|>!?..\n")
 
 
+# a word and what follows it up to the next space; apostrophes may belong to either
+WORD_AND_REST = re.compile(r"([a-zß-öø-ÿ]+)([^A-Za-zß-öø-ÿ0-9ªµºÀ-ÖØ-Þ²³¹¼½¾Ā-\U0010ffff'\s]*)").fullmatch
+
+
 class WordTokens:
-    def __init__(self, definition: str, kept: int = 300_000, longest_kept: int = 64):
-        from tokenizers import Tokenizer
+    def __init__(self, definition: str, kept: int = 500_000, longest_kept: int = 64):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(definition)
+        # for single lower-case words the steps before the merges change nothing
+        self.words_only = Tokenizer.from_str(definition)
+        self.words_only.normalizer = normalizers.Sequence([])
+        self.words_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.kept, self.longest_kept = kept, longest_kept
-        self.table: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def verify(self) -> None:
         for probe in PROBES:
@@ -38,10 +48,25 @@ class WordTokens:
     def plain(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def __word(self, word: str) -> bytes:
+        ids = self.words.get(word)
+        if ids is None:
+            ids = array("I", self.words_only.encode(word, add_special_tokens=False).ids).tobytes()
+            if len(self.words) < self.kept and len(word) <= self.longest_kept:
+                self.words[word] = ids
+        return ids
+
     def __missing(self, chunk: str) -> bytes:
-        ids = array("I", self.plain(chunk)).tobytes()
-        if len(self.table) < self.kept and len(chunk) <= self.longest_kept:
-            self.table[chunk] = ids
+        if parts := WORD_AND_REST(chunk):
+            word, rest = parts.groups()
+            ids = self.__word(word)
+            if not rest:
+                return ids
+            ids += self.chunks.get(rest) or self.__missing(rest)
+        else:
+            ids = array("I", self.plain(chunk)).tobytes()
+        if len(self.chunks) < self.kept and len(chunk) <= self.longest_kept:
+            self.chunks[chunk] = ids
         return ids
 
     def encode(self, text: str) -> bytes:
@@ -50,8 +75,8 @@ class WordTokens:
             return array("I", self.plain(text)).tobytes()
         if not UNPLAIN(text):
             text = text.lower()
-        get, missing = self.table.get, self.__missing
-        return b"".join([get(c) or missing(c) for c in text.split()])
+        get, word, missing = self.chunks.get, self.words.get, self.__missing
+        return b"".join([word(c) or get(c) or missing(c) for c in text.split()])
 
 
 ENCODERS: dict[str, WordTokens] = {}  # this worker's encoders, by the definition's digest
