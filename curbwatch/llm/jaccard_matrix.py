@@ -40,8 +40,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .common import ship_package, written
 from .components import components
@@ -242,14 +244,9 @@ def wanted_sets(docs: DataFrame, survey: DataFrame, nodes: DataFrame, words: int
     doc_id = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")
     chosen = survey.where("node is not null").join(nodes, "node").groupBy("node").agg(F.min(doc_id).alias("doc_id"))
 
-    def cell_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            key, node = b["doc_id"].to_numpy(np.int64).view(np.uint64), b["node"].to_numpy(np.int64).view(np.uint64)
-            yield pd.DataFrame({"cell": (mixed(mixed(key) ^ node) >> np.uint64(64 - NEED_BITS)).astype(np.int64)})
-
     chosen = written(chosen)
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(bitmap(spark, chosen.mapInPandas(cell_of, "cell bigint")))  # fixed size
+    shared = spark.sparkContext.broadcast(bitmap(spark, chosen.mapInPandas(cells_of, "cell bigint")))  # fixed size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits, rows, held = shared.value, [], 0
@@ -304,6 +301,12 @@ def linked(docs: DataFrame, survey: DataFrame, pairs: DataFrame, words: int, per
 
 def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``."""
+    return named(shingle_classes(docs, words, percent))
+
+
+def shingle_classes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """(doc_id, n, node, class) of every row: its set's size and key, and the key of
+    its component (null without words)."""
     ship_package(docs.sparkSession)
     survey = written(surveyed(docs, words))
     rows = survey.where("block is null")
@@ -313,7 +316,63 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 75) -> Da
     tied = components(first)
     rest = written(linked(docs, rows, remaining_pairs(entries, tied, percent), words, percent))
     tied = components(first.union(rest))
-    return named(rows.join(tied, "node", "left").withColumn("class", F.coalesce("component", "node")))
+    return rows.join(tied, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("class"))
+
+
+def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
+    """``docs`` with one row of every component, that of the smallest doc_id;
+    rows without words all stay.
+
+    Texts are not shuffled for it: a bitmap of fixed size tells the rows that
+    are alone in their component for sure; only the others are joined with the
+    rows to keep.
+    """
+    last = F.lit((1 << 63) - 1)
+    classes = written(shingle_classes(docs, words, percent).where("class is not null"))
+    rows = classes.select("class", F.struct(F.coalesce("doc_id", last).alias("doc_id"), "node").alias("row"))
+    groups = written(rows.groupBy("class").agg(F.min("row").alias("first"), F.count("*").alias("size")))
+    spark = docs.sparkSession
+    several = rows.join(groups.where("size > 1").select("class"), "class").select("row.*")
+    shared = spark.sparkContext.broadcast(bitmap(spark, several.mapInPandas(cells_of, "cell bigint")))  # fixed size
+    node, doubt = free_names(docs.columns, "node", "doubt")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, bits, no_id = ShingleHasher(words), shared.value, (1 << 63) - 1
+        for batch in batches:
+            nodes, doubts = [], []
+            keys = batch.column(id_at).to_pylist()
+            for i, members in hasher.sets(batch.column(text_at).to_pylist()):
+                nodes.append(set_key(members) if len(members) else None)
+                cell = row_cell(no_id if keys[i] is None else keys[i], nodes[-1]) if len(members) else -1
+                doubts.append(cell >= 0 and bool(bits[cell >> 3] >> (7 - (cell & 7)) & 1))
+            more = [pa.array(nodes, pa.int64()), pa.array(doubts, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, node, doubt])
+
+    id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
+    schema = StructType([*docs.schema.fields, StructField(node, LongType()), StructField(doubt, BooleanType())])
+    marked = docs.mapInArrow(run, schema)
+    keys = groups.select(F.col("first.doc_id").alias("_keep_id"), F.col("first.node").alias("_keep_node"))
+    same = (F.coalesce(F.col("doc_id"), last) == F.col("_keep_id")) & (F.col(node) == F.col("_keep_node"))
+    kept = marked.where(F.col(doubt)).join(keys, same, "left_semi").dropDuplicates(["doc_id", node])
+    return marked.where(~F.col(doubt)).union(kept).drop(node, doubt)
+
+
+def cells_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The bitmap cells of (doc_id, node) rows."""
+    for b in batches:
+        key, node = (b[c].to_numpy(np.int64).view(np.uint64) for c in ("doc_id", "node"))
+        yield pd.DataFrame({"cell": (mixed(mixed(key) ^ node) >> np.uint64(64 - NEED_BITS)).astype(np.int64)})
+
+
+def free_names(taken: list[str], *names: str) -> list[str]:
+    """The names, with underscores before those that a column has already."""
+    lower = {t.lower() for t in taken}
+    out = []
+    for name in names:
+        while name in lower:
+            name = f"_{name}"
+        out.append(name)
+    return out
 
 
 def named(rows: DataFrame) -> DataFrame:

@@ -200,7 +200,18 @@ def judged(rows: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFr
         for fact in ("n_symbols", "word_chars", "n_repeat_words", "n_words", "n_dup_lines", "n_lines", "n_capitals"):
             value = value.replace(fact, f"facts.{fact}")
         over = over | F.coalesce(F.expr(value) > F.col(f"_cuts.cut_{rule}"), F.lit(False))
-    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~over).drop("_stratum", "_cuts")
+    # as one CASE over both sides of the join, a filter on ``kept`` is not split and moved below the facts
+    kept = F.when(base_failed(), F.lit(False)).otherwise(~over)
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", kept).drop("_stratum", "_cuts")
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", **risk) -> DataFrame:
+    """The rows of ``docs`` that pass, with their own columns. Texts are not shuffled: the
+    facts are written narrow to find the cutoffs and counted again where the rows are judged."""
+    facts = written(with_facts(docs.select("text", "doc_id", stratum)).drop("text"))
+    cutoffs = written(certified_cutoffs(facts, labels, stratum, **risk))
+    packed = docs.select(F.struct("*").alias("row"), "text", "doc_id", stratum)  # own names can't clash
+    return judged(with_facts(packed), cutoffs, stratum).where("kept").select("row.*")
 
 
 def judge_documents(docs: DataFrame, labels: DataFrame, columns: Sequence[str] = ("doc_id", "lang"), **risk) -> DataFrame:
