@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 from collections.abc import Callable
 
 # The package sits next to this file; make it importable however this file is loaded.
@@ -20,15 +21,15 @@ from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, Long
 
 from curbwatch.operators import (  # noqa: E402
     drop_reason_distribution,
-    explode_distribution,
     fine_counts,
-    fine_counts_from_report,
-    fine_report,
+    fine_counts_from_rows,
     fine_report_document,
+    fine_report_rows,
     manual_review_count,
-    master_report,
     master_report_document,
+    master_report_rows,
     master_scalars,
+    section_rows,
     sector_counts,
     sector_fine_distribution,
     sectors_count,
@@ -37,8 +38,21 @@ from curbwatch.operators import (  # noqa: E402
 )
 from curbwatch.functions import apply_filters
 from curbwatch.schema import DETECTIONS_SCHEMA
-from curbwatch.sources import DETECTIONS_FROM_EVENTS_SQL, load_detections
-from curbwatch.streaming.replay import refresh_on_change, stream_decode, stream_ingest
+from curbwatch.session import shared_dir
+from curbwatch.sources import (
+    DETECTIONS_FROM_EVENTS_SQL,
+    CollectionRegistry,
+    full_detections_sql,
+    load_detections,
+    load_full_detections,
+)
+from curbwatch.streaming.replay import (
+    refresh_on_change,
+    stream_decode,
+    stream_ingest,
+    stream_ingest_two_feeds,
+    stream_ingest_two_feeds_log,
+)
 
 # The corpus operators are optional: without their folder (and the pipeline file) all else works.
 try:
@@ -56,13 +70,12 @@ F_EQUALS = {"TYPE": 6}
 F_IN = {"TYPE": {"$in": [1, 5]}}
 F_IN_NULL = {"TYPE": {"$in": [6, None]}}
 F_IN_EMPTY = {"TYPE": {"$in": []}}
-F_NULL = {"SECTOR_NAME": None}
 F_COMBINED = {"SECTOR_NAME": "SECTOR_3", "PLATE_SOURCE": "MANUAL_VALIDATION", "TYPE": {"$in": [6, 7]}}
 F_KEY_CASE = {"sector_name": "SECTOR_3"}
 F_TYPE_IN_FINE = {"TYPE": {"$in": [6]}}
 F_SECTOR_PAID_DROPPED = {"SECTOR_NAME": "SECTOR_3", "TYPE": {"$in": [1, 5]}}
 F_SECTOR_PAID_FINE = {"SECTOR_NAME": "SECTOR_3", "TYPE": {"$in": [1, 6]}}
-F_SECTOR = {"SECTOR_NAME": "SECTOR_3"}
+F_IN_AND_SOURCE = {"TYPE": {"$in": [1, 6]}, "PLATE_SOURCE": "AUTO"}
 F_AUTO_TYPE_IN = {"PLATE_SOURCE": "AUTO", "TYPE": {"$in": [6]}}
 
 
@@ -75,6 +88,29 @@ def entry(spark: SparkSession) -> DataFrame:
     return fine_counts(_detections(spark, SMOKE_DIR))
 
 
+def _scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The detections stored as a collection, registered with the declared schema, got by name."""
+    path = shared_dir(spark, "detections_scan")
+    load_full_detections(spark, sf_dir).write.parquet(path)
+    registry = CollectionRegistry(spark, format="parquet")
+    registry.add("parking.detections-2024", DETECTIONS_SCHEMA, path=path)
+    return registry.get("parking.detections-2024")
+
+
+def _with_checkpoints(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """``query`` in a session that has a checkpoint folder. A local session
+    without one gets a temporary one; on a cluster the setting must be there."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        context = spark.sparkContext
+        unset = not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir()
+        if unset and (context.master == "local" or context.master.startswith("local[")):
+            context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        return query(spark, sf_dir)
+
+    return run
+
+
 def _with(fn, filters=None) -> Callable[[SparkSession, str], DataFrame]:
     if filters is None:
         return lambda spark, sf_dir: fn(_detections(spark, sf_dir))
@@ -85,12 +121,14 @@ def _filtered(filters) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: apply_filters(_detections(spark, sf_dir), filters)
 
 
-def _master_part(filters, column) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, sf_dir: explode_distribution(master_report(_detections(spark, sf_dir), filters), column)
+def _master_part(filters, section, name_type="string") -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: section_rows(
+        master_report_rows(_detections(spark, sf_dir), filters), section, name_type
+    )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return _report_queries() | _corpus_queries()
+    return {name: _with_checkpoints(query) for name, query in (_report_queries() | _corpus_queries()).items()}
 
 
 def _corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -102,24 +140,23 @@ def _corpus_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def _report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         # The collection scan with the declared schema
-        "detections_scan": lambda spark, sf_dir: _detections(spark, sf_dir),
+        "detections_scan": _scan,
         # Filter dictionaries
         "filter_equals": _filtered(F_EQUALS),
         "filter_in": _filtered(F_IN),
         "filter_in_null": _filtered(F_IN_NULL),
-        "filter_in_empty": _filtered(F_IN_EMPTY),
-        "filter_null": _filtered(F_NULL),
         "filter_combined": _filtered(F_COMBINED),
         "filter_key_case": _filtered(F_KEY_CASE),
         # A1, A2, F8, P5: fine report
         "fine_report_counts": _with(fine_counts),
         "fine_report_sectors": _with(sector_counts),
-        "fine_report_single_scan_counts": lambda spark, sf_dir: fine_counts_from_report(
-            fine_report(_detections(spark, sf_dir))
+        "fine_report_single_scan_counts": lambda spark, sf_dir: fine_counts_from_rows(
+            fine_report_rows(_detections(spark, sf_dir))
         ),
-        "fine_report_single_scan_sectors": lambda spark, sf_dir: explode_distribution(
-            fine_report(_detections(spark, sf_dir)), "sectors"
+        "fine_report_single_scan_sectors": lambda spark, sf_dir: section_rows(
+            fine_report_rows(_detections(spark, sf_dir)), "sectors"
         ),
+        "fine_report_rows": _with(fine_report_rows),
         # Master-report metrics one at a time
         "transaction_count": _with(transaction_count),
         "transaction_count_filtered": _with(transaction_count, F_COMBINED),
@@ -133,8 +170,6 @@ def _report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "drop_reason_distribution_filtered": _with(drop_reason_distribution, F_AUTO_TYPE_IN),
         "transaction_type_distribution": _with(transaction_type_distribution),
         "transaction_type_distribution_type_in": _with(transaction_type_distribution, F_SECTOR_PAID_FINE),
-        "transaction_type_distribution_other_filter": _with(transaction_type_distribution, F_SECTOR),
-        "transaction_type_distribution_scalar_type": _with(transaction_type_distribution, F_EQUALS),
         # Master report in one scan
         "master_report": _with(master_scalars),
         "master_report_type_in": _with(master_scalars, F_TYPE_IN_FINE),
@@ -142,7 +177,9 @@ def _report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "master_report_scalar_type": _with(master_scalars, F_EQUALS),
         "master_report_sector_fines": _master_part(F_TYPE_IN_FINE, "sectorsFineDistribution"),
         "master_report_type_distribution": _master_part(F_SECTOR_PAID_FINE, "transactionTypesDistribution"),
-        "master_report_drop_reasons": _master_part(F_AUTO_TYPE_IN, "droppedTransactionDistribution"),
+        "master_report_drop_reasons": _master_part(F_AUTO_TYPE_IN, "droppedTransactionDistribution", "int"),
+        "master_report_rows": _with(master_report_rows),
+        "transaction_type_distribution_in_and_source": _with(transaction_type_distribution, F_IN_AND_SOURCE),
         "master_report_empty_filter": _with(master_scalars, F_IN_EMPTY),
         "master_report_lower_type_key": _with(master_scalars, {"type": {"$in": [6]}}),
         "drop_reason_distribution_type_only": _with(drop_reason_distribution, F_TYPE_IN_FINE),
@@ -150,10 +187,13 @@ def _report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fine_report_document": _with(fine_report_document),
         "master_report_document": _with(master_report_document),
         "master_report_document_filtered": _with(master_report_document, F_SECTOR_PAID_FINE),
+        "master_report_document_empty_in": _with(master_report_document, F_IN_EMPTY),
         "master_report_document_other_filter": _with(master_report_document, {"PLATE_SOURCE": "AUTO"}),
         # Device-message decode and ingest
         "stream_decode": stream_decode,
         "stream_ingest": stream_ingest,
+        "stream_ingest_two_feeds": stream_ingest_two_feeds,
+        "stream_ingest_two_feeds_log": stream_ingest_two_feeds_log,
         # Recompute the report when the change feed says the data changed
         "refresh_on_change": refresh_on_change,
     }
@@ -183,6 +223,13 @@ _ALL_COLUMNS = ",\n       ".join(
     for f in DETECTIONS_SCHEMA.fields
 )
 
+_FULL_COLUMNS = _F2_COLUMNS | {"CONFIDENCE_LEVEL", "DETECTION_TIME", "COORDINATES", "STATUS", "IMEI"}
+
+_SCAN_SQL = "SELECT " + ",\n       ".join(
+    f'"{f.name}"' if f.name in _FULL_COLUMNS else f'CAST(NULL AS {_duck_type(f.dataType)}) AS "{f.name}"'
+    for f in DETECTIONS_SCHEMA.fields
+) + f"\nFROM ({full_detections_sql('duckdb')})"
+
 _CTE = f"WITH detections AS ({DETECTIONS_FROM_EVENTS_SQL})\n"
 
 _FINE = "TYPE IN (6, 7)"
@@ -225,8 +272,6 @@ def _master_sql(where_all: str, where_base: str, fines: bool, dropped: bool) ->
     )
 
 
-_EMPTY_DIST = "SELECT CAST(NULL AS VARCHAR) AS name, CAST(NULL AS BIGINT) AS value WHERE false"
-
 _LABEL = "CASE WHEN SECTOR_NAME IS NULL OR SECTOR_NAME = '' THEN 'Unknown' ELSE SECTOR_NAME END"
 
 _FINE_DOCUMENT_SQL = (
@@ -294,6 +339,47 @@ FROM events
 """
 
 
+def _refresh_sql() -> str:
+    """The report after each of the four relevant runs, over the parts stored so far."""
+    counted = _fine_counts_sql().removeprefix(_CTE)
+    runs = []
+    for run in range(1, 5):
+        part = f"(SELECT * FROM detections WHERE CAST(ID AS BIGINT) % 5 < {run})"
+        runs.append(f"SELECT CAST({run} AS INTEGER) AS sequence, * FROM ({counted.replace('FROM detections', f'FROM {part}')})")
+    return _CTE + "\nUNION ALL ".join(runs)
+
+
+def _fine_rows_sql() -> str:
+    counts, sectors = (x.removeprefix(_CTE) for x in (_fine_counts_sql(), _SECTORS_SQL))
+    return (
+        _CTE + f"SELECT 'fineCounts' AS section, metric AS name, value FROM ({counts})\n"
+        f"UNION ALL SELECT 'sectors', name, value FROM ({sectors})"
+    )
+
+
+def _master_rows_sql() -> str:
+    scalars = {
+        "transactionCount": "count(*)",
+        "sectors": f"(SELECT count(*) FROM (SELECT DISTINCT SECTOR_NAME FROM detections WHERE {_FINE}))",
+        "manualReviewedTransactionCount": f"count(*) FILTER (WHERE {_MANUAL})",
+        "finesCount": f"count(*) FILTER (WHERE {_FINE})",
+        "droppedCount": "count(*) FILTER (WHERE TYPE = 5)",
+    }
+    parts = [
+        f"SELECT '{k}' AS section, CAST(NULL AS VARCHAR) AS name, (SELECT {v} FROM detections LIMIT 1) AS value"
+        for k, v in scalars.items()
+    ]
+    parts += [
+        f"SELECT 'transactionTypesDistribution', '{k}', count(*) FILTER (WHERE {w}) FROM detections" for k, w in _KIND_SQL.items()
+    ]
+    parts.append(f"SELECT 'sectorsFineDistribution', SECTOR_NAME, count(*) FROM detections WHERE {_FINE} GROUP BY SECTOR_NAME")
+    parts.append(
+        "SELECT 'droppedTransactionDistribution', CAST(DROP_REASON AS VARCHAR), count(*) "
+        "FROM detections WHERE TYPE = 5 GROUP BY DROP_REASON"
+    )
+    return _CTE + "\nUNION ALL ".join(parts)
+
+
 def oracle_sql() -> dict[str, str]:
     if corpus_queries is None:
         return _report_sql()
@@ -304,12 +390,10 @@ def oracle_sql() -> dict[str, str]:
 def _report_sql() -> dict[str, str]:
     sector3 = "SECTOR_NAME = 'SECTOR_3'"
     return {
-        "detections_scan": _rows("true"),
+        "detections_scan": _SCAN_SQL,
         "filter_equals": _rows("TYPE = 6"),
         "filter_in": _rows("TYPE IN (1, 5)"),
         "filter_in_null": _rows("TYPE IN (6, NULL)"),
-        "filter_in_empty": _rows("false"),
-        "filter_null": _rows("SECTOR_NAME = NULL"),
         "filter_combined": _rows(f"{sector3} AND {_MANUAL} AND {_FINE}"),
         "filter_key_case": _rows(sector3),
         "fine_report_counts": _fine_counts_sql(),
@@ -344,8 +428,6 @@ def _report_sql() -> dict[str, str]:
         "transaction_type_distribution_type_in": _CTE
         + f"SELECT 'PaidTransaction' AS name, count(*) AS value FROM detections WHERE {sector3} AND TYPE = 1\n"
         f"UNION ALL SELECT 'fine', count(*) FROM detections WHERE {sector3} AND {_FINE}",
-        "transaction_type_distribution_other_filter": _EMPTY_DIST,
-        "transaction_type_distribution_scalar_type": _EMPTY_DIST,
         "master_report": _master_sql("true", "true", True, True),
         "master_report_type_in": _master_sql("TYPE IN (6)", "true", True, False),
         "master_report_sector_type_in": _master_sql(f"{sector3} AND TYPE IN (1, 5)", sector3, False, True),
@@ -372,5 +454,13 @@ def _report_sql() -> dict[str, str]:
         "master_report_document_other_filter": _master_document_sql("PLATE_SOURCE = 'AUTO'", "PLATE_SOURCE = 'AUTO'", []),
         "stream_decode": _PAYLOAD_SQL,
         "stream_ingest": _PAYLOAD_SQL,
-        "refresh_on_change": _fine_counts_sql(),
+        "stream_ingest_two_feeds": _PAYLOAD_SQL,
+        "stream_ingest_two_feeds_log": _PAYLOAD_SQL,
+        "refresh_on_change": _refresh_sql(),
+        "fine_report_rows": _fine_rows_sql(),
+        "master_report_rows": _master_rows_sql(),
+        "transaction_type_distribution_in_and_source": _CTE
+        + "SELECT 'PaidTransaction' AS name, count(*) AS value FROM detections WHERE PLATE_SOURCE = 'AUTO' AND TYPE = 1\n"
+        f"UNION ALL SELECT 'fine', count(*) FROM detections WHERE PLATE_SOURCE = 'AUTO' AND {_FINE}",
+        "master_report_document_empty_in": _master_document_sql("false", "true", []),
     }

@@ -1,12 +1,10 @@
-from .codes import IS_COUNTED_KIND, IS_DROPPED, IS_FINE, IS_MANUAL, IS_PAID, KINDS, SECTOR_LABEL, has_fine_code, type_in
+from .codes import IS_COUNTED_KIND, IS_DROPPED, IS_FINE, IS_MANUAL, KINDS, SECTOR_LABEL, has_fine_code, type_in
 from .filters import (
     IN,
     TYPE_KEY,
     apply_filters,
-    compile_filters,
     emitted_kinds,
     filter_clause,
-    predicate,
     quote_identifier,
     split_type_filter,
 )
@@ -18,17 +16,14 @@ __all__ = [
     "IS_DROPPED",
     "IS_FINE",
     "IS_MANUAL",
-    "IS_PAID",
     "KINDS",
     "SECTOR_LABEL",
     "TYPE_KEY",
     "apply_filters",
-    "compile_filters",
     "emitted_kinds",
     "filter_clause",
     "fine_report_params",
     "has_fine_code",
-    "predicate",
     "quote_identifier",
     "split_type_filter",
     "type_in",

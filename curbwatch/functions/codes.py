@@ -28,7 +28,6 @@ def type_in(codes: tuple[int, ...]) -> str:
 
 IS_FINE = type_in(TYPE_FINE)
 IS_DROPPED = type_in((TYPE_DROPPED,))
-IS_PAID = type_in((TYPE_PAID,))
 
 # Rows of any transaction kind.
 IS_COUNTED_KIND = type_in(tuple(code for codes in KINDS.values() for code in codes))

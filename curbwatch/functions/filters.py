@@ -16,10 +16,10 @@ Semantics kept on purpose (three-valued SQL logic):
 Rejected up front with ``ValueError``: lists/sets/dicts as an equality value,
 an ``$in`` that is not a list, and operators other than ``$in``.
 
-Two equivalent forms: ``predicate``/``compile_filters`` build Column
-expressions, ``filter_clause`` builds SQL text with named parameter markers
-(values are bound, never spliced into the text) for the reports, which are
-single SQL statements.
+One compiler: ``filter_clause`` builds SQL text with named parameter markers
+(values are bound, never spliced into the text). The reports put it into their
+statements and ``apply_filters`` runs it on its own, so a key means the same
+column everywhere: the column of exactly this name, whatever characters it has.
 """
 
 from __future__ import annotations
@@ -27,11 +27,9 @@ from __future__ import annotations
 import datetime
 import decimal
 from collections.abc import Mapping
-from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 IN = "$in"
 TYPE_KEY = "TYPE"
@@ -59,14 +57,6 @@ def _members(key: str, value: Any) -> list | None:
     return None
 
 
-def predicate(key: str, value: Any) -> Column:
-    """One filter entry as a Column predicate."""
-    members = _members(key, value)
-    if members is not None:
-        return F.col(key).isin(members)
-    return F.col(key) == F.lit(value)
-
-
 def quote_identifier(name: str) -> str:
     """``name`` as a quoted SQL identifier, safe inside a ``{}``-formatted
     statement (braces doubled)."""
@@ -99,17 +89,12 @@ def filter_clause(filters: Mapping[str, Any] | None, prefix: str = "f") -> tuple
     return " AND ".join(parts), args
 
 
-def compile_filters(filters: Mapping[str, Any] | None) -> Column | None:
-    """Conjunction of all entries, or ``None`` when there is no condition."""
-    if not filters:
-        return None
-    return reduce(lambda acc, p: acc & p, (predicate(k, v) for k, v in filters.items()))
-
-
 def apply_filters(df: DataFrame, filters: Mapping[str, Any] | None) -> DataFrame:
     """``df`` restricted to rows matching every entry; unchanged when empty."""
-    condition = compile_filters(filters)
-    return df if condition is None else df.filter(condition)
+    if not filters:
+        return df
+    where, args = filter_clause(filters)
+    return df.sparkSession.sql(f"SELECT * FROM {{d}} AS src WHERE {where}", args=args or None, d=df)
 
 
 def split_type_filter(filters: Mapping[str, Any] | None) -> tuple[dict[str, Any] | None, dict[str, Any]]:

@@ -1,6 +1,20 @@
 from .documents import fine_report_document, fine_report_response, master_report_document
-from .fine_report import fine_counts, fine_counts_from_report, fine_report, sector_counts
-from .master_report import explode_distribution, master_partials, master_report, master_scalars
+from .fine_report import (
+    fine_counts,
+    fine_counts_from_report,
+    fine_counts_from_rows,
+    fine_report,
+    fine_report_rows,
+    sector_counts,
+)
+from .master_report import (
+    explode_distribution,
+    master_partials,
+    master_report,
+    master_report_rows,
+    master_scalars,
+    section_rows,
+)
 from ..functions.codes import KINDS
 from .metrics import (
     drop_reason_distribution,
@@ -17,15 +31,19 @@ __all__ = [
     "explode_distribution",
     "fine_counts",
     "fine_counts_from_report",
+    "fine_counts_from_rows",
     "fine_report",
     "fine_report_document",
     "fine_report_response",
+    "fine_report_rows",
     "manual_review_count",
     "master_partials",
     "master_report",
     "master_report_document",
+    "master_report_rows",
     "master_scalars",
     "sector_counts",
+    "section_rows",
     "sector_fine_distribution",
     "sectors_count",
     "transaction_count",

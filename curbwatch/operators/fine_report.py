@@ -5,8 +5,7 @@ The report takes no filter: request parameters are validated by
 subset compose ``apply_filters`` first). The total is over all rows; the
 code counts look at FINE_TYPE alone, so they need not add up to the total.
 
-Every function takes a DataFrame or the name of a registered view and
-returns a DataFrame built from one SQL statement.
+Every function takes a DataFrame and returns one built from one SQL statement.
 """
 
 from __future__ import annotations
@@ -49,6 +48,26 @@ SELECT {_metric_structs},
 FROM per_sector"""
 
 
+# Rows straight from the pre-aggregate: no list, no single task. The zero rows
+# keep every metric there on empty input.
+_partial_rows = ", ".join(
+    f"named_struct('section', 'fineCounts', 'raw', '{key}', 'name', '{key}', 'value', m{i})"
+    for i, (key, _) in enumerate(FINE_METRICS)
+)
+_zero_rows = ", ".join(
+    f"named_struct('section', 'fineCounts', 'raw', '{key}', 'name', '{key}', 'value', 0L)" for key, _ in FINE_METRICS
+)
+FINE_ROWS_SQL = f"""WITH per_sector AS (
+  SELECT SECTOR_NAME, {', '.join(f"{_count(code)} AS m{i}" for i, (_, code) in enumerate(FINE_METRICS))}
+  FROM {{d}}
+  GROUP BY SECTOR_NAME),
+parts AS (
+  SELECT inline(array({_partial_rows},
+    named_struct('section', 'sectors', 'raw', SECTOR_NAME, 'name', {SECTOR_LABEL}, 'value', m0))) FROM per_sector
+  UNION ALL SELECT inline(array({_zero_rows})))
+SELECT section, name, sum(value) AS value FROM parts GROUP BY section, raw, name"""
+
+
 def fine_counts(source: Source) -> DataFrame:
     """Five rows ``(metric, id, value)``: total (id 0) and one per fine code.
 
@@ -68,8 +87,18 @@ def sector_counts(source: Source) -> DataFrame:
     return run_statement(source, SECTOR_COUNTS_SQL)
 
 
+def fine_report_rows(source: Source) -> DataFrame:
+    """The whole fine report as rows ``(section, name, value)``, from one scan:
+    section ``fineCounts`` with a row per metric, ``sectors`` with a row per
+    raw sector (labelled as in ``sector_counts``). Any number of sectors
+    stays spread over the shuffle partitions."""
+    return run_statement(source, FINE_ROWS_SQL)
+
+
 def fine_report(source: Source) -> DataFrame:
-    """The whole fine report as one row, from one scan.
+    """The whole fine report as one row, from one scan. The row holds every
+    sector in a list, since that row is the document; for tables use
+    ``fine_report_rows``.
 
     Columns: one ``struct<value: bigint, id: int>`` per metric (document keys
     as column names) and ``sectors: array<struct<name, value>>``.
@@ -82,3 +111,10 @@ def fine_report(source: Source) -> DataFrame:
 def fine_counts_from_report(report: DataFrame) -> DataFrame:
     """The five ``(metric, id, value)`` rows of a ``fine_report`` row."""
     return report.selectExpr(_metric_rows([f"{key}.value" for key, _ in FINE_METRICS]))
+
+
+def fine_counts_from_rows(report: DataFrame) -> DataFrame:
+    """The five ``(metric, id, value)`` rows of a ``fine_report_rows`` result."""
+    ids = " ".join(f"WHEN '{key}' THEN {code}" for key, code in FINE_METRICS)
+    rows = report.where("section = 'fineCounts'")
+    return rows.selectExpr("name AS metric", f"CASE name {ids} END AS id", "value")

@@ -39,7 +39,7 @@ SCALARS = ("transactionCount", "sectors", "manualReviewedTransactionCount", "fin
 
 DISTRIBUTIONS = ("sectorsFineDistribution", "transactionTypesDistribution", "droppedTransactionDistribution")
 
-# Key order of the report document.
+# --- Fixed values: keys of the report document, in order.
 DOCUMENT_KEYS = (
     "transactionCount",
     "sectors",
@@ -116,8 +116,52 @@ FROM partials"""
     return text, args
 
 
+def report_rows_sql(filters: Filters) -> tuple[str, dict]:
+    """Statement text and parameters of the master report as rows."""
+    kinds = emitted_kinds(filters, KINDS)
+    partials, args = _partials_sql(filters)
+    counts = {name: f"k{i}" for i, name in enumerate(KINDS)}
+    scalars = {
+        "transactionCount": "n_txn",
+        "sectors": f"CAST(role = {ROLE_SECTOR_FINE} AS BIGINT)",
+        "manualReviewedTransactionCount": "n_manual",
+        "finesCount": counts[KIND_FINE] if KIND_FINE in kinds else "0L",
+        "droppedCount": counts[KIND_DROPPED] if KIND_DROPPED in kinds else "0L",
+    }
+
+    def row(section: str, name: str, value: str) -> str:
+        return f"named_struct('section', '{section}', 'name', {name}, 'value', {value})"
+
+    fixed = [(key, "CAST(NULL AS STRING)", value) for key, value in scalars.items()]
+    fixed += [("transactionTypesDistribution", f"'{name}'", counts[name]) for name in KINDS if name in kinds]
+    lists = [
+        f"IF(role = {ROLE_SECTOR_FINE}, array({row('sectorsFineDistribution', 'sector', 'n')}), array())",
+        f"IF(role = {ROLE_DROP}, array({row('droppedTransactionDistribution', 'CAST(reason AS STRING)', 'n')}), array())",
+    ]
+    text = f"""WITH partials AS (
+{partials}),
+parts AS (
+  SELECT inline(concat(array({', '.join(row(*f) for f in fixed)}), {', '.join(lists)})) FROM partials
+  UNION ALL SELECT inline(array({', '.join(row(s, n, '0L') for s, n, _ in fixed)})))
+SELECT section, name, sum(value) AS value FROM parts GROUP BY section, name"""
+    return text, args
+
+
+def master_report_rows(source: Source, filters: Filters = None) -> DataFrame:
+    """The whole master report as rows ``(section, name, value)``, from one scan.
+
+    A scalar is a section with one row (name NULL); a distribution is a
+    section with a row per sector, kind or reason (as a string). Straight from
+    the pre-aggregate: any number of sectors or reasons stays spread.
+    """
+    text, args = report_rows_sql(filters)
+    return run_statement(source, text, args)
+
+
 def master_report(source: Source, filters: Filters = None) -> DataFrame:
-    """The whole master report as one row, from one scan.
+    """The whole master report as one row, from one scan. The row holds every
+    sector and reason in lists, since that row is the document; for tables use
+    ``master_report_rows``.
 
     Scalars (bigint): transactionCount, sectors, manualReviewedTransactionCount,
     finesCount, droppedCount. Distributions: sectorsFineDistribution
@@ -139,3 +183,8 @@ def master_scalars(source: Source, filters: Filters = None) -> DataFrame:
 def explode_distribution(report: DataFrame, name: str) -> DataFrame:
     """Rows ``(name, value)`` of one distribution column of a report row."""
     return report.selectExpr(f"inline({name})")
+
+
+def section_rows(rows: DataFrame, section: str, name_type: str = "string") -> DataFrame:
+    """Rows ``(name, value)`` of one section of ``master_report_rows`` or ``fine_report_rows``."""
+    return rows.where(rows["section"] == section).selectExpr(f"CAST(name AS {name_type}) AS name", "value")

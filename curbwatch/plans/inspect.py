@@ -22,7 +22,7 @@ def plan_text(df: DataFrame, mode: str = "formatted") -> str:
 
 def scan_count(df: DataFrame) -> int:
     """Number of file-scan nodes in the physical plan."""
-    return len(re.findall(r"^\(\d+\) Scan \w+", plan_text(df), flags=re.MULTILINE))
+    return len(re.findall(r"^\(\d+\) Scan (?!OneRowRelation)\w+", plan_text(df), flags=re.MULTILINE))
 
 
 def read_schemas(df: DataFrame) -> list[str]:

@@ -1,36 +1,23 @@
-"""Run one SQL statement over a DataFrame or a registered view.
+"""Run one SQL statement over a DataFrame.
 
 A report is a single statement: Spark parses and analyses it in one call,
 instead of one driver round trip per Column object, and Catalyst plans it
 exactly as the equivalent DataFrame code. ``{d}`` in the text stands for the
 source; values come in as named parameters (``:name``), never as text.
+
+The statement runs in the DataFrame's own session. A collection known by name
+is fetched from its registry first (``CollectionRegistry.get``).
 """
 
 from __future__ import annotations
 
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
-
-from ..functions.filters import quote_identifier
-
-Source = DataFrame | str
-
+from pyspark.sql import DataFrame
 
-def table_reference(name: str) -> str:
-    """A table or view name as SQL text: each dot-separated part quoted
-    (``db.detections`` -> two parts); a name already holding backticks is
-    taken as written."""
-    if "`" in name:
-        return name.replace("{", "{{").replace("}", "}}")
-    return ".".join(quote_identifier(part) for part in name.split("."))
+Source = DataFrame
 
 
 def run_statement(source: Source, text: str, args: dict[str, Any] | None = None) -> DataFrame:
-    """``text`` with ``{d}`` bound to ``source``: a DataFrame, or the name of
-    a table or temp view (e.g. a collection registered by
-    ``CollectionRegistry``)."""
-    if isinstance(source, str):
-        spark = SparkSession.active()
-        return spark.sql(text.format(d=table_reference(source)), args=args or None)
+    """``text`` with ``{d}`` bound to ``source``."""
     return source.sparkSession.sql(text, args=args or None, d=source)

@@ -96,7 +96,7 @@ KIND_PAID = "PaidTransaction"
 KIND_DROPPED = "dropped"
 KIND_FINE = "fine"
 
-# Fine-report metrics in document order: (document key, id). Id 0 is the
+# --- Fixed values: fine-report metrics in document order: (document key, id). Id 0 is the
 # total over all rows; the others are FINE_TYPE codes. The first key is
 # spelled as in the report documents consumers already parse.
 FINE_METRICS = (
@@ -107,8 +107,5 @@ FINE_METRICS = (
     ("overStayViolationCount", FINE_TYPES["OverStay"]),
 )
 
-# Columns the reports read; everything else is pruned at the scan.
-REPORT_COLUMNS = ("TYPE", "FINE_TYPE", "SECTOR_NAME", "DROP_REASON", "PLATE_SOURCE")
-
-# Change-feed operation types that trigger a refresh.
+# --- Fixed values: change-feed operation types that trigger a refresh.
 REFRESH_OPERATIONS = ("insert", "update", "replace", "delete")

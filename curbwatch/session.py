@@ -7,23 +7,22 @@ owns it. ``local_session`` exists for tests, the bench and examples.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-# Settings that matter for the report jobs at any scale: AQE re-plans the
-# (tiny) post-aggregation shuffles and coalesces their partitions; UTC keeps
+# Re-plan the small shuffles behind partial aggregates at run time; UTC keeps
 # timestamps comparable with other engines.
-SCALE_CONF = {
+LOCAL_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
 }
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "curbwatch") -> SparkSession:
+def local_session(
+    cores: int | str = "*", shuffle_partitions: int = 8, app: str = "curbwatch", checkpoint_dir: str | None = None
+) -> SparkSession:
     """A local-mode session for tests and benches (UI off, UTC, AQE on)."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -34,41 +33,28 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", os.environ.get("CURBWATCH_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    for key, value in SCALE_CONF.items():
+    for key, value in LOCAL_CONF.items():
         builder = builder.config(key, value)
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
-def _context(spark: SparkSession):
-    """The SparkContext, or ``None`` for a session without one (Spark Connect)."""
-    try:
-        return spark.sparkContext
-    except Exception:  # Spark Connect sessions have no SparkContext
-        return None
-
-
 def shared_dir(spark: SparkSession, *parts: str, unique: bool = True) -> str:
-    """A folder under the cluster's shared checkpoint folder.
+    """A folder under the cluster's shared checkpoint folder:
+    ``spark.checkpoint.dir``, or the context's checkpoint dir.
 
-    The base is ``spark.checkpoint.dir`` (or the context's checkpoint dir).
-    Only a local-mode session without one gets a fresh temporary base, which
-    is then also set as its checkpoint dir; on a cluster an unset base is an
-    error, since a machine-local folder is not visible to executors.
+    Sets nothing and invents nothing: an unset folder is an error, and so is a
+    ``file:`` folder on a cluster, which its machines do not share. Checkpoint
+    folders are kept as given, scheme included.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    context = _context(spark)
-    if not base and context is not None:
-        base = context.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        master = context.master if context is not None else ""
-        if not (master or "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
-        base = tempfile.mkdtemp(prefix="curbwatch-")
-        context.setCheckpointDir(base)
-    if base.startswith("file:") and not base.startswith("file://"):
-        base = base[len("file:"):]  # a local folder given as a URI
+        raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
+    if base.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError(f"{base} is a local folder of each machine; set spark.checkpoint.dir to a shared one")
     path = "/".join([base.rstrip("/"), "curbwatch", *parts])
     if unique:
         path = f"{path}/{uuid.uuid4().hex}"

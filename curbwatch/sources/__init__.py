@@ -1,5 +1,12 @@
 from .collections import CollectionRegistry
-from .detections import DETECTIONS_FROM_EVENTS_SQL, conform, detections_from_events, load_detections
+from .detections import (
+    DETECTIONS_FROM_EVENTS_SQL,
+    conform,
+    detections_from_events,
+    full_detections_sql,
+    load_detections,
+    load_full_detections,
+)
 from .messages import changes_from_events, payloads_from_events
 
 __all__ = [
@@ -8,6 +15,8 @@ __all__ = [
     "changes_from_events",
     "conform",
     "detections_from_events",
+    "full_detections_sql",
     "load_detections",
+    "load_full_detections",
     "payloads_from_events",
 ]

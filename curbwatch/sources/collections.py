@@ -1,4 +1,4 @@
-"""Named collections read with a declared schema and registered as temp views.
+"""Named collections read with a declared schema, held by any name.
 
 A collection is read with ``spark.read.format(f).options(...).schema(S)``:
 ``f`` is ``mongodb`` with ``database`` / ``collection`` options in a
@@ -10,6 +10,7 @@ DataFrame (and its file listing) after the source changed.
 from __future__ import annotations
 
 import logging
+import uuid
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,13 +21,19 @@ log = logging.getLogger(__name__)
 
 
 class CollectionRegistry:
-    """Collections by name; each one is also a temp view of that name."""
+    """Collections by name: any string, as in a document store.
+
+    The registry holds each collection's DataFrame under its own name, in its
+    own session. For SQL each one also has a temp view with a generated name,
+    ``view_name(name)``.
+    """
 
     def __init__(self, spark: SparkSession, format: str = "parquet", **options: Any):
         self.spark = spark
         self.format = format
         self.options = options
         self._entries: dict[str, dict[str, Any]] = {}
+        self._frames: dict[str, DataFrame] = {}
         self._watches: dict[str, StreamingQuery] = {}
 
     def _read(self, entry: dict[str, Any]) -> DataFrame:
@@ -44,15 +51,24 @@ class CollectionRegistry:
         if entry["format"] == "mongodb":
             entry["options"].setdefault("collection", name)
         df = self._read(entry)
-        df.createOrReplaceTempView(name)
+        entry["view"] = self._entries.get(name, {}).get("view") or f"collection_{uuid.uuid4().hex}"
         self._entries[name] = entry
+        return self._hold(name, df)
+
+    def _hold(self, name: str, df: DataFrame) -> DataFrame:
+        df.createOrReplaceTempView(self._entries[name]["view"])
+        self._frames[name] = df
         return df
 
+    def view_name(self, name: str) -> str:
+        """The temp view of a registered collection in the registry's session."""
+        return self._entries[name]["view"]
+
     def add(self, name: str, schema: StructType, path: str | None = None, format: str | None = None, **options: Any) -> DataFrame:
         """Register ``name`` unless it is already known (then: warning, no-op)."""
         if name in self._entries:
             log.warning("collection %r is already registered", name)
-            return self.spark.table(name)
+            return self._frames[name]
         return self.set(name, schema, path, format, **options)
 
     def get(self, name: str) -> DataFrame | None:
@@ -60,7 +76,7 @@ class CollectionRegistry:
         if name not in self._entries:
             log.warning("collection %r is not registered", name)
             return None
-        return self.spark.table(name)
+        return self._frames[name]
 
     def schema(self, name: str) -> StructType:
         return self._entries[name]["schema"]
@@ -70,10 +86,7 @@ class CollectionRegistry:
 
     def refresh(self, name: str) -> DataFrame:
         """Re-read a registered collection (new file listing, same schema)."""
-        entry = self._entries[name]
-        df = self._read(entry)
-        df.createOrReplaceTempView(name)
-        return df
+        return self._hold(name, self._read(self._entries[name]))
 
     def remove(self, name: str) -> bool:
         """Unregister ``name`` and stop its watch; ``False`` (with a warning)
@@ -82,8 +95,8 @@ class CollectionRegistry:
             log.warning("collection %r is not registered", name)
             return False
         self.stop_watch(name)
-        del self._entries[name]
-        self.spark.catalog.dropTempView(name)
+        del self._frames[name]
+        self.spark.catalog.dropTempView(self._entries.pop(name)["view"])
         return True
 
     def watch(self, name: str, changes: DataFrame, checkpoint_location: str, **kwargs: Any) -> StreamingQuery:

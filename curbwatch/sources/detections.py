@@ -30,6 +30,22 @@ SELECT CAST(event_id AS STRING) AS ID,
 FROM events
 """
 
+# The same with values of the remaining types: double, long, int and an array
+# of doubles. The two engines spell epoch milliseconds and arrays differently.
+_SPELLING = {"spark": ("timestampdiff(MILLISECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)", "array(value, user_id / 2.0D)"),
+             "duckdb": ("epoch_us(ts) // 1000", "[value, user_id / 2.0::DOUBLE]")}
+
+
+def full_detections_sql(engine: str = "spark") -> str:
+    """``DETECTIONS_FROM_EVENTS_SQL`` with CONFIDENCE_LEVEL, DETECTION_TIME,
+    COORDINATES, STATUS and IMEI, for ``spark`` or ``duckdb``."""
+    millis, pair = _SPELLING[engine]
+    more = f""",
+       value AS CONFIDENCE_LEVEL, {millis} AS DETECTION_TIME, {pair} AS COORDINATES,
+       CAST(event_id % 10 AS INT) AS STATUS, CAST(user_id AS {'STRING' if engine == 'spark' else 'VARCHAR'}) AS IMEI
+FROM events"""
+    return DETECTIONS_FROM_EVENTS_SQL.replace("\nFROM events", more)
+
 
 def _projection(columns: list[str], schema: StructType) -> list[str]:
     present = {name.lower(): name for name in columns}
@@ -72,3 +88,9 @@ def detections_from_events(spark: SparkSession, events: DataFrame) -> DataFrame:
 def load_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detections derived from ``{sf_dir}/events.parquet``."""
     return detections_from_events(spark, spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def load_full_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections with values of every type of the schema."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return conform(spark.sql(full_detections_sql().replace("FROM events", "FROM {events}"), events=events))

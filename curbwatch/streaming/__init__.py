@@ -1,9 +1,10 @@
-from .ingest import BatchSink, decode_messages, read_messages, start_ingest, write_collection
+from .ingest import BatchSink, decode_messages, read_messages, sink_rows, start_ingest, write_collection
 from .refresh import (
     CHANGE_SCHEMA,
     latest_report,
     read_changes,
     relevant_changes,
+    report_history,
     start_refresh,
     watch_collection,
     write_report,
@@ -17,6 +18,8 @@ __all__ = [
     "read_changes",
     "read_messages",
     "relevant_changes",
+    "report_history",
+    "sink_rows",
     "start_ingest",
     "start_refresh",
     "watch_collection",

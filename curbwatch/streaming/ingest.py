@@ -5,12 +5,14 @@ The pipeline is stateless (one output row per message). Unlike a bare
 
 * a checkpoint location is required, so a restart resumes from the last
   committed offsets instead of skipping what arrived while it was down;
-* the sink is keyed on ``batch_id``: a path sink overwrites its
-  ``batch_id=<id>`` folder, so a batch retried after a failure replaces its
-  own output instead of appending it twice. A connector sink (no path) can
-  keep a commit log in a shared folder, so a batch id already written is
-  skipped on replay, and can upsert on ``message_id`` (Kafka coordinates) so
-  a batch that died between write and log entry replaces its own rows.
+* the sink is keyed on the streaming query's persistent id (kept in its
+  checkpoint) and ``batch_id``: a path sink overwrites its
+  ``query=<id>/batch_id=<n>`` folder, so a batch retried after a failure
+  replaces its own output instead of appending it twice, and batches of
+  another checkpoint never meet it. A connector sink (no path) can keep a
+  commit log in a shared folder, so a batch already written is skipped on
+  replay, and can upsert on ``message_id`` (Kafka coordinates) so a batch that
+  died between write and log entry replaces its own rows.
 """
 
 from __future__ import annotations
@@ -116,18 +118,29 @@ def write_collection(
         writer.save(path)
 
 
+def run_key(spark: SparkSession) -> str:
+    """The persistent id of the streaming query whose batch is being handled:
+    the same on every restart from one checkpoint, another one per checkpoint."""
+    key = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+    if not key:
+        raise RuntimeError("only the batches of a streaming query have a query id")
+    return key
+
+
 class BatchSink:
     """A ``foreachBatch`` callback that writes each micro-batch once.
 
-    With ``path``: each batch is written to ``{path}/batch_id=<id>`` with
-    overwrite, so a replayed batch replaces its earlier attempt; reading
-    ``path`` back yields a ``batch_id`` partition column.
+    With ``path``: each batch is written to ``{path}/query=<id>/batch_id=<n>``
+    with overwrite, so a replayed batch replaces its earlier attempt; reading
+    ``path`` back yields the partition columns ``query`` and ``batch_id``
+    (``sink_rows`` leaves them out).
 
     Without ``path`` (a connector addressed by ``options``, e.g.
-    ``{"database": ..., "collection": ...}``) rows are appended with a ``batch_id`` column. Give
-    ``commit_log`` (a folder in shared storage) to skip batch ids already
-    written; pair it with the connector's upsert options on ``message_id``
-    to cover a batch that died between its write and its log entry.
+    ``{"database": ..., "collection": ...}``) rows are appended with the
+    columns ``query_id`` and ``batch_id``. Give ``commit_log`` (a folder in
+    shared storage) to skip batches already written; pair it with the
+    connector's upsert options on ``message_id`` to cover a batch that died
+    between its write and its log entry.
     """
 
     def __init__(
@@ -143,36 +156,46 @@ class BatchSink:
         self.commit_log = commit_log.rstrip("/") if commit_log else None
         self.options = dict(options or {})
 
-    def _committed(self, spark: SparkSession, batch_id: int) -> bool:
-        """Whether the log holds an entry for ``batch_id`` (one small read of
-        that entry only, however long the log)."""
-        if self.commit_log is None:
-            return False
+    def _committed(self, spark: SparkSession, entry: str) -> bool:
+        """Whether the log holds ``entry`` (one small read of that entry only,
+        however long the log)."""
         try:
-            return not spark.read.text(f"{self.commit_log}/{batch_id}").isEmpty()
-        except AnalysisException:  # no entry
+            return not spark.read.text(f"{self.commit_log}/{entry}").isEmpty()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return False
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        key = run_key(spark)
         if self.path is not None:
-            write_collection(batch, self.format, f"{self.path}/batch_id={batch_id}", "overwrite", self.options)
+            folder = f"{self.path}/query={key}/batch_id={batch_id}"
+            write_collection(batch, self.format, folder, "overwrite", self.options)
             return
-        spark = batch.sparkSession
-        if self._committed(spark, batch_id):
+        entry = f"{key}/{batch_id}"
+        if self.commit_log is not None and self._committed(spark, entry):
             return
-        write_collection(batch.withColumn("batch_id", F.lit(batch_id)), self.format, None, "append", self.options)
+        rows = batch.withColumns({"query_id": F.lit(key), "batch_id": F.lit(batch_id)})
+        write_collection(rows, self.format, None, "append", self.options)
         if self.commit_log is not None:
-            spark.createDataFrame([(str(batch_id),)], "value string").coalesce(1).write.mode("overwrite").text(
-                f"{self.commit_log}/{batch_id}"
+            spark.range(1).select(F.lit(entry).alias("value")).coalesce(1).write.mode("overwrite").text(
+                f"{self.commit_log}/{entry}"
             )
 
 
+def sink_rows(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+    """All rows of a path sink, without the columns that key its folders."""
+    return spark.read.format(format).load(path).drop("query", "batch_id")
+
+
 def _quarantine_router(sink: Callable, quarantine: Callable, fields: list[str]) -> Callable:
     def route(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         try:
             sink(batch.filter(~F.col(MALFORMED_COLUMN)).select(*fields), batch_id)
-            quarantine(batch.filter(F.col(MALFORMED_COLUMN)).select("value"), batch_id)
+            traced = ["value", *(c for c in fields if c == MESSAGE_ID_COLUMN)]
+            quarantine(batch.filter(F.col(MALFORMED_COLUMN)).select(*traced), batch_id)
         finally:
             batch.unpersist()
 
@@ -197,8 +220,8 @@ def start_ingest(
     to ``sink(batch_df, batch_id)``.
 
     ``on_malformed``: ``keep`` / ``drop`` as in ``decode_messages``, or
-    ``quarantine`` to send the raw text of malformed messages to
-    ``quarantine(batch_df, batch_id)``. ``trigger`` is passed to
+    ``quarantine`` to send the raw text of malformed messages (and their
+    ``message_id``, if carried) to ``quarantine(batch_df, batch_id)``. ``trigger`` is passed to
     ``DataStreamWriter.trigger`` (e.g. ``{"availableNow": True}``); the
     default is Spark's (next batch as soon as the previous one ends).
     ``output_mode`` ``update`` is accepted and, with no aggregation, gives the

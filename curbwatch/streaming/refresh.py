@@ -21,6 +21,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schema import REFRESH_OPERATIONS
 from ..sources.collections import CollectionRegistry
+from .ingest import run_key
 
 CHANGE_SCHEMA = StructType([StructField("operationType", StringType(), True)])
 
@@ -75,17 +76,25 @@ def start_refresh(
 
 
 def write_report(report: DataFrame, path: str, batch_id: int, format: str = "parquet") -> None:
-    """Write one refresh's report to ``{path}/batch_id=<id>`` (overwrite: a
-    replayed batch replaces its own output)."""
-    report.write.format(format).mode("overwrite").save(f"{path.rstrip('/')}/batch_id={batch_id}")
+    """Write one refresh's report twice: to
+    ``{path}/history/query=<id>/batch_id=<n>`` (overwrite: a replayed batch
+    replaces its own output) and, from there, over ``{path}/current``."""
+    base = path.rstrip("/")
+    folder = f"{base}/history/query={run_key(report.sparkSession)}/batch_id={batch_id}"
+    report.write.format(format).mode("overwrite").save(folder)
+    written = report.sparkSession.read.format(format).schema(report.schema).load(folder)
+    written.write.format(format).mode("overwrite").save(f"{base}/current")
 
 
 def latest_report(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """Rows of the most recent report written by ``write_report``."""
-    reports = spark.read.format(format).load(path)
-    return spark.sql(
-        "SELECT * EXCEPT (batch_id) FROM {r} WHERE batch_id = (SELECT max(batch_id) FROM {r})", r=reports
-    )
+    """Rows of the report that ``write_report`` wrote last, by whichever query:
+    one read of one folder, however many reports there were."""
+    return spark.read.format(format).load(f"{path.rstrip('/')}/current")
+
+
+def report_history(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+    """Rows of every report, with the columns ``query`` and ``batch_id``."""
+    return spark.read.format(format).load(f"{path.rstrip('/')}/history")
 
 
 def watch_collection(

@@ -8,19 +8,17 @@ the query wrote, as a DataFrame.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.fine_report import fine_counts
-from ..schema import DETECTIONS_SCHEMA
+from ..schema import DETECTIONS_SCHEMA, REFRESH_OPERATIONS
 from ..session import shared_dir
 from ..sources.collections import CollectionRegistry
 from ..sources.detections import load_detections
-from ..sources.messages import changes_from_events, payloads_from_events
-from .ingest import BatchSink, decode_messages, read_messages, start_ingest
-from .refresh import latest_report, read_changes
+from ..sources.messages import payloads_from_events
+from .ingest import BatchSink, decode_messages, read_messages, sink_rows, start_ingest
+from .refresh import read_changes, report_history
 
 AVAILABLE_NOW = {"availableNow": True}
 
@@ -34,46 +32,79 @@ def stream_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_messages(payloads_from_events(_events(spark, sf_dir)))
 
 
+def _ingest(spark: SparkSession, inbox: str, sink: BatchSink, checkpoint: str) -> None:
+    messages = read_messages(spark, "text", inbox)
+    start_ingest(messages, sink, checkpoint, trigger=AVAILABLE_NOW).awaitTermination()
+
+
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Record payloads as text files, ingest them with the streaming
     pipeline into a per-batch parquet sink, run it a second time on the same
     checkpoint (adds nothing), and return the sink's rows."""
     root = shared_dir(spark, "stream_ingest")
-    inbox, outbox, checkpoint = f"{root}/inbox", f"{root}/sink", f"{root}/checkpoint"
-    payloads_from_events(_events(spark, sf_dir)).write.mode("error").text(inbox)
+    payloads_from_events(_events(spark, sf_dir)).write.mode("error").text(f"{root}/inbox")
     for _ in range(2):
-        messages = read_messages(spark, "text", inbox, maxFilesPerTrigger="4")
-        query = start_ingest(messages, BatchSink("parquet", outbox), checkpoint, trigger=AVAILABLE_NOW)
-        query.awaitTermination()
-    return spark.read.parquet(outbox).drop("batch_id")
+        _ingest(spark, f"{root}/inbox", BatchSink("parquet", f"{root}/sink"), f"{root}/checkpoint")
+    return sink_rows(spark, f"{root}/sink")
+
+
+def _two_feeds(spark: SparkSession, sf_dir: str, root: str, sink: BatchSink) -> None:
+    """Two halves of the events as feeds with a checkpoint each, into one sink;
+    the second feed's query runs twice."""
+    events = _events(spark, sf_dir)
+    odd = F.coalesce(F.col("event_id") % 2 != 0, F.lit(False))
+    for feed, part in (("even", events.where(~odd)), ("odd", events.where(odd))):
+        payloads_from_events(part).write.mode("error").text(f"{root}/{feed}")
+    for feed in ("even", "odd", "odd"):
+        _ingest(spark, f"{root}/{feed}", sink, f"{root}/checkpoint_{feed}")
+
+
+def stream_ingest_two_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two feeds with a checkpoint each into one path sink: all rows of both."""
+    root = shared_dir(spark, "stream_ingest_two_feeds")
+    _two_feeds(spark, sf_dir, root, BatchSink("parquet", f"{root}/sink"))
+    return sink_rows(spark, f"{root}/sink")
+
+
+def stream_ingest_two_feeds_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same into one connector-style sink (append) with a commit log."""
+    root = shared_dir(spark, "stream_ingest_two_feeds_log")
+    sink = BatchSink("parquet", commit_log=f"{root}/log", options={"path": f"{root}/sink"})
+    _two_feeds(spark, sf_dir, root, sink)
+    return spark.read.parquet(f"{root}/sink").drop("query_id", "batch_id")
+
+
+# the change each run of the feed tells of; the last one calls for no refresh
+CHANGE_RUNS = (*REFRESH_OPERATIONS, "drop")
 
 
 def refresh_on_change(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keep the detections collection and its fine report fresh from a
     change feed derived from events.
 
-    The detections are written as a parquet collection and registered with
-    the declared schema (under a view name of its own). The change records
-    arrive in two runs on one checkpoint: first those of every event but
-    signups (inserts, updates, replaces, deletes: one refresh), then those of
-    the signups ("drop": ignored). Each refresh re-reads the collection and
-    recomputes the fine counts once per micro-batch, so the work stays
-    linear in the data. The result is the report of the last refresh.
+    The events are dealt over as many parts as there are runs. Each run first
+    adds a part to the stored collection, then feeds one kind of change record
+    (one per event of the part) through the watch: every relevant kind must
+    give a new report over all parts so far, read from the new files; the last
+    kind is ignored, so the last part must not show up. Returns all reports:
+    ``sequence`` (from 1), ``metric``, ``id`` and ``value``.
     """
     root = shared_dir(spark, "refresh_on_change")
-    collection, changes_dir = f"{root}/DETECTIONS", f"{root}/changes"
-    reports, checkpoint = f"{root}/reports", f"{root}/checkpoint"
+    collection, reports = f"{root}/DETECTIONS", f"{root}/reports"
+    detections = load_detections(spark, sf_dir)
     events = _events(spark, sf_dir)
-    load_detections(spark, sf_dir).write.mode("error").parquet(collection)
-
-    name = f"DETECTIONS_{uuid.uuid4().hex}"
     registry = CollectionRegistry(spark, format="parquet")
-    registry.add(name, DETECTIONS_SCHEMA, path=collection)
-    signup = F.col("event_type").eqNullSafe("signup")
-    for part in (events.filter(~signup), events.filter(signup)):
-        changes_from_events(part).write.mode("append").json(changes_dir)
-        changes = read_changes(spark, "json", changes_dir)
-        query = registry.watch(name, changes, checkpoint, report=fine_counts, report_path=reports, trigger=AVAILABLE_NOW)
+    for run, operation in enumerate(CHANGE_RUNS):
+        part = F.pmod(F.col("event_id"), F.lit(len(CHANGE_RUNS))) == run
+        stored = F.pmod(F.col("ID").cast("long"), F.lit(len(CHANGE_RUNS))) == run
+        detections.where(stored).write.mode("append").parquet(collection)
+        registry.add("DETECTIONS", DETECTIONS_SCHEMA, path=collection)
+        records = events.where(part).select(F.lit(operation).alias("operationType"))
+        records.write.mode("append").json(f"{root}/changes")
+        changes = read_changes(spark, "json", f"{root}/changes")
+        query = registry.watch(
+            "DETECTIONS", changes, f"{root}/checkpoint", report=fine_counts, report_path=reports, trigger=AVAILABLE_NOW
+        )
         query.awaitTermination()
-    registry.remove(name)
-    return latest_report(spark, reports)
+    registry.remove("DETECTIONS")
+    return report_history(spark, reports).select((F.col("batch_id") + 1).alias("sequence"), "metric", "id", "value")

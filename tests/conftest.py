@@ -15,8 +15,8 @@ SF01 = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session(8, shuffle_partitions=8, app="curbwatch-tests")
-    session.sparkContext.setCheckpointDir(str(tmp_path_factory.mktemp("checkpoints")))
+    checkpoints = str(tmp_path_factory.mktemp("checkpoints"))
+    session = local_session(8, shuffle_partitions=8, app="curbwatch-tests", checkpoint_dir=checkpoints)
     yield session
     session.stop()
 

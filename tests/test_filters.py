@@ -111,17 +111,27 @@ def test_fine_report_params():
             fine_report_params(**bad)
 
 
-def test_table_reference():
-    from curbwatch.plans.statements import table_reference
+@pytest.mark.parametrize("key", ["a.b", "a`b", "a{b}", "{d}", "src.TYPE", "`TYPE`", "x y", ":p"])
+def test_odd_keys_mean_the_column_of_that_name_everywhere(spark, edge, key):
+    """The filter and the reports agree: the named column if there is one, else the same error."""
+    from curbwatch.operators import transaction_count
 
-    assert table_reference("DETECTIONS") == "`DETECTIONS`"
-    assert table_reference("db.detections") == "`db`.`detections`"
-    assert table_reference("`odd.name`") == "`odd.name`"
+    with_column = edge.withColumn(key, edge["TYPE"])
+    assert _ids(apply_filters(with_column, {key: 6})) == [1, 2]
+    assert transaction_count(with_column, {key: 6}).collect()[0][0] == 2
+    for run in (apply_filters, transaction_count):
+        with pytest.raises(AnalysisException) as e:
+            run(edge, {key: 6}).collect()
+        assert e.value.getCondition().startswith("UNRESOLVED_COLUMN")
 
 
-def test_report_on_view_name(spark, edge):
-    from curbwatch.operators import transaction_count
+@pytest.mark.parametrize("filters", [{"TYPE": {"$in": []}}, {"SECTOR_NAME": None}])
+def test_filters_that_nothing_passes(edge, filters):
+    assert apply_filters(edge, filters).count() == 0
+
+
+@pytest.mark.parametrize("filters", [{"SECTOR_NAME": "North"}, {"TYPE": 6}])
+def test_type_distribution_needs_a_type_list(edge, filters):
+    from curbwatch.operators import transaction_type_distribution
 
-    edge.createOrReplaceTempView("EDGE_VIEW")
-    assert transaction_count("EDGE_VIEW", {"TYPE": {"$in": [6, 7]}}).collect()[0][0] == 5
-    assert transaction_count("EDGE_VIEW").collect()[0][0] == 12
+    assert transaction_type_distribution(edge, filters).collect() == []

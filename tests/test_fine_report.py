@@ -1,6 +1,14 @@
 from collections import Counter
 
-from curbwatch.operators import fine_counts, fine_counts_from_report, fine_report, sector_counts
+from curbwatch.operators import (
+    fine_counts,
+    fine_counts_from_report,
+    fine_counts_from_rows,
+    fine_report,
+    fine_report_rows,
+    section_rows,
+    sector_counts,
+)
 from curbwatch.operators.master_report import explode_distribution
 
 from .fixtures import empty_detections
@@ -34,6 +42,9 @@ def test_single_scan_report_equals_parts(f2):
     parts = Counter(tuple(r) for r in explode_distribution(report, "sectors").collect())
     assert parts == Counter(tuple(r) for r in sector_counts(f2).collect())
     report.unpersist()
+    rows = fine_report_rows(f2)
+    assert _counts(fine_counts_from_rows(rows)) == _counts(fine_counts(f2))
+    assert Counter(tuple(r) for r in section_rows(rows, "sectors").collect()) == parts
 
 
 def test_conservation_sectors_sum_to_total(f2):
@@ -46,6 +57,7 @@ def test_empty_input(spark):
     got = _counts(fine_counts(empty))
     assert len(got) == 5 and set(got.values()) == {0}
     assert sector_counts(empty).count() == 0
+    assert sorted(r["value"] for r in fine_report_rows(empty).collect()) == [0] * 5
     row = fine_report(empty).collect()[0]
     assert row["toratalViolationCount"]["value"] == 0 and row["sectors"] == []
 

@@ -3,11 +3,13 @@
 import pytest
 
 import __spark_entry__ as contract
+from curbwatch.plans import scan_count
 from tools.oracle_check import compare, duck_connection
 
 from .conftest import SF001
 
-NAMES = list(contract.queries())
+REPORTS = contract._report_queries()  # the corpus operators have tests of their own
+NAMES = list(REPORTS)
 
 
 @pytest.fixture(scope="module")
@@ -16,15 +18,26 @@ def con():
 
 
 def test_every_query_has_an_oracle():
-    assert set(contract.oracle_sql()) == set(NAMES)
+    assert set(contract._report_sql()) == set(NAMES)
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
-    ok, msg = compare(spark, SF001, name, contract.queries()[name], contract.oracle_sql().get(name), con)
+    ok, msg = compare(spark, SF001, name, contract.queries()[name], contract._report_sql().get(name), con)
     assert ok, msg
 
 
+@pytest.mark.parametrize("name", [n for n in NAMES if not n.startswith(("stream_", "refresh_", "detections_"))])
+def test_every_query_scans_a_table(spark, name):
+    """The others read files that they derived from the table themselves."""
+    assert scan_count(REPORTS[name](spark, SF001)) >= 1
+
+
+def test_queries_without_checkpoint_setting(spark):
+    wrapped = contract._with_checkpoints(lambda s, d: s.range(1))
+    assert wrapped(spark, SF001).count() == 1  # the folder that is set stays
+
+
 def test_entry(spark):
     df = contract.entry(spark)
     assert df.columns == ["metric", "id", "value"]

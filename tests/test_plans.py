@@ -7,8 +7,10 @@ from curbwatch.operators import (
     fine_counts,
     fine_report,
     fine_report_document,
+    fine_report_rows,
     master_report,
     master_report_document,
+    master_report_rows,
     transaction_type_distribution,
 )
 from curbwatch.plans import (
@@ -90,3 +92,32 @@ def test_partial_aggregate_before_each_shuffle(table):
 
 def test_type_distribution_without_kinds_reads_nothing(table):
     assert scan_count(transaction_type_distribution(table, {"SECTOR_NAME": "North"})) == 0
+
+
+@pytest.mark.parametrize("build", [fine_report_rows, master_report_rows])
+def test_report_rows_hold_no_list_and_scan_once(table, build):
+    df = build(table)
+    assert scan_count(df) == 1 and _read_columns(df) <= REPORT_READ
+    assert "collect_list" not in plan_text(df) and "SinglePartition" not in plan_text(df)
+
+
+def test_shared_dir_sets_and_invents_nothing(spark):
+    from curbwatch.session import shared_dir
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        def __init__(self, base):
+            self.conf = {"spark.checkpoint.dir": base}
+
+    with pytest.raises(RuntimeError):
+        shared_dir(Session(None))
+    with pytest.raises(RuntimeError):
+        shared_dir(Session("file:///tmp/x"))
+    assert shared_dir(Session("hdfs://n/x"), "a", unique=False) == "hdfs://n/x/curbwatch/a"

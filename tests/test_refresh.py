@@ -3,10 +3,11 @@ import os
 import uuid
 
 from curbwatch.operators import fine_counts
+from curbwatch.plans import scan_count
 from curbwatch.schema import DETECTIONS_SCHEMA
 from curbwatch.session import shared_dir
 from curbwatch.sources import CollectionRegistry
-from curbwatch.streaming import latest_report, read_changes, start_refresh
+from curbwatch.streaming import latest_report, read_changes, report_history, start_refresh
 
 from .fixtures import edge_detections
 
@@ -83,7 +84,8 @@ def test_registry_add_is_idempotent_and_stop_all(spark):
     first = registry.add("REG_A", DETECTIONS_SCHEMA, path=f"{root}/c")
     again = registry.add("REG_A", DETECTIONS_SCHEMA, path=f"{root}/other-path-ignored")
     assert first.count() == again.count() == 12
-    assert spark.table("REG_A").schema == DETECTIONS_SCHEMA
+    view = registry.view_name("REG_A")
+    assert spark.table(view).schema == DETECTIONS_SCHEMA
     os.makedirs(f"{root}/changes-none")
     q = start_refresh(read_changes(spark, "json", f"{root}/changes-none"), lambda b: None, f"{root}/ckpt")
     registry.attach_watch("REG_A", q)
@@ -92,4 +94,39 @@ def test_registry_add_is_idempotent_and_stop_all(spark):
     assert not q.isActive
     assert registry.names() == ["REG_A"]
     registry.remove("REG_A")
-    assert "REG_A" not in [t.name for t in spark.catalog.listTables()]
+    assert view not in [t.name for t in spark.catalog.listTables()]
+
+
+def test_any_collection_name_in_any_session(spark):
+    root = shared_dir(spark, "test_names")
+    edge_detections(spark).write.parquet(f"{root}/c")
+    other = CollectionRegistry(spark.newSession())
+    for name in ("a.b", "my-coll", "with `ticks`", "DETECTIONS"):
+        other.add(name, DETECTIONS_SCHEMA, path=f"{root}/c")
+        assert other.get(name).count() == 12
+        assert fine_counts(other.get(name)).where("id = 0").first()["value"] == 12
+        assert other.refresh(name).count() == 12
+        assert other.remove(name) is True
+        assert other.get(name) is None
+
+
+def test_latest_report_after_a_checkpoint_reset(spark):
+    """A new checkpoint counts its batches from 0 again; the report written last is the latest."""
+    root = shared_dir(spark, "test_reset")
+    edge = edge_detections(spark)
+    edge.write.parquet(f"{root}/c")
+    registry = CollectionRegistry(spark)
+    registry.add("RESET", DETECTIONS_SCHEMA, path=f"{root}/c")
+
+    def run(checkpoint):
+        _write_changes(f"{root}/changes", ["insert"])
+        registry.watch("RESET", read_changes(spark, "json", f"{root}/changes"), f"{root}/{checkpoint}",
+                       report=fine_counts, report_path=f"{root}/reports", trigger=AVAILABLE_NOW).awaitTermination()
+        return {r["id"]: r["value"] for r in latest_report(spark, f"{root}/reports").collect()}[0]
+
+    assert [run("one"), run("one")] == [12, 12]
+    edge.limit(3).write.mode("append").parquet(f"{root}/c")
+    assert run("two") == 15
+    assert report_history(spark, f"{root}/reports").select("query", "batch_id").distinct().count() == 3
+    assert scan_count(latest_report(spark, f"{root}/reports")) == 1
+    registry.remove("RESET")

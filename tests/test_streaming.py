@@ -6,7 +6,7 @@ import pytest
 
 from curbwatch.schema import STREAM_SCHEMA
 from curbwatch.session import shared_dir
-from curbwatch.streaming import BatchSink, decode_messages, read_messages, start_ingest
+from curbwatch.streaming import BatchSink, decode_messages, read_messages, sink_rows, start_ingest
 
 AVAILABLE_NOW = {"availableNow": True}
 
@@ -92,12 +92,20 @@ def test_update_mode_same_rows(spark):
     _write_lines(inbox, [_msg(i) for i in range(20)])
     _run(spark, inbox, f"{root}/a", f"{root}/ca")
     _run(spark, inbox, f"{root}/u", f"{root}/cu", output_mode="update")
-    a = sorted(tuple(r) for r in spark.read.parquet(f"{root}/a").drop("batch_id").collect())
-    u = sorted(tuple(r) for r in spark.read.parquet(f"{root}/u").drop("batch_id").collect())
+    a = sorted(tuple(r) for r in sink_rows(spark, f"{root}/a").collect())
+    u = sorted(tuple(r) for r in sink_rows(spark, f"{root}/u").collect())
     assert a == u and len(a) == 20
 
 
-def test_replayed_batch_is_not_appended_twice(spark):
+@pytest.fixture
+def in_query(spark):
+    """As inside a streaming query's batch."""
+    spark.sparkContext.setLocalProperty("sql.streaming.queryId", "query-1")
+    yield
+    spark.sparkContext.setLocalProperty("sql.streaming.queryId", None)
+
+
+def test_replayed_batch_is_not_appended_twice(spark, in_query):
     root = shared_dir(spark, "test_sink")
     sink = BatchSink("parquet", f"{root}/out")
     batch = spark.createDataFrame([("1", 1), ("2", 2)], "imei string, status int")
@@ -163,7 +171,7 @@ def test_message_id_from_kafka_coordinates(spark):
         decode_messages(_payloads(spark), message_id=True)
 
 
-def test_connector_sink_commit_log_skips_replayed_batch(spark):
+def test_connector_sink_commit_log_skips_replayed_batch(spark, in_query):
     root = shared_dir(spark, "test_commit_log")
     # a sink addressed by options only (no path argument), like a connector
     sink = BatchSink("json", commit_log=f"{root}/log", options={"path": f"{root}/collection"})
@@ -174,3 +182,42 @@ def test_connector_sink_commit_log_skips_replayed_batch(spark):
     out = spark.read.json(f"{root}/collection")
     assert out.count() == 3
     assert sorted(r["batch_id"] for r in out.collect()) == [0, 0, 1]
+
+
+def test_a_second_checkpoint_neither_overwrites_nor_skips(spark):
+    """Batch ids start at 0 for every checkpoint; both feeds' rows must be there."""
+    root = shared_dir(spark, "test_two_checkpoints")
+    _write_lines(f"{root}/in1", [_msg(i) for i in range(10)])
+    _write_lines(f"{root}/in2", [_msg(i) for i in range(10, 25)])
+    sinks = {
+        "path": BatchSink("parquet", f"{root}/path"),
+        "log": BatchSink("parquet", commit_log=f"{root}/log", options={"path": f"{root}/rows"}),
+    }
+    for kind, sink in sinks.items():
+        for feed in ("in1", "in2", "in1"):
+            messages = read_messages(spark, "text", f"{root}/{feed}")
+            start_ingest(messages, sink, f"{root}/{kind}-{feed}", trigger=AVAILABLE_NOW).awaitTermination()
+    for rows in (sink_rows(spark, f"{root}/path"), spark.read.parquet(f"{root}/rows")):
+        assert sorted(int(r["imei"]) for r in rows.collect()) == list(range(25))
+
+
+def test_sink_outside_a_query_is_an_error(spark):
+    with pytest.raises(RuntimeError):
+        BatchSink("parquet", "/nowhere")(spark.range(1), 0)
+
+
+def test_quarantined_rows_keep_their_message_id(spark):
+    from curbwatch.streaming.ingest import _quarantine_router
+
+    rows = [(bytearray(x.encode()), "t", 0, i) for i, x in enumerate([_msg(1), "{bad"])]
+    flagged = decode_messages(
+        spark.createDataFrame(rows, "value binary, topic string, partition int, offset long"), on_malformed="flag", message_id=True
+    )
+    got = {}
+    fields = [f.name for f in STREAM_SCHEMA] + ["message_id"]
+    route = _quarantine_router(
+        lambda b, i: got.update(good=b.collect()), lambda b, i: got.update(bad=b.collect()), fields
+    )
+    route(flagged, 0)
+    assert [(r["value"], r["message_id"]) for r in got["bad"]] == [("{bad", "t/0/1")]
+    assert [r["message_id"] for r in got["good"]] == ["t/0/0"]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -23,19 +24,19 @@ def main(argv: list[str]) -> int:
 
     sf_dir = argv[0] if argv else "/root/testdata/sf0.01"
     out = argv[1] if len(argv) > 1 else os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "PLANS.md")
-    spark = local_session(8)
+    spark = local_session(8, checkpoint_dir=tempfile.mkdtemp(prefix="curbwatch-plans-"))
     stored = shared_dir(spark, "plans_collection")
     load_detections(spark, sf_dir).write.parquet(stored)
-    CollectionRegistry(spark).add("DETECTIONS", DETECTIONS_SCHEMA, path=stored)
+    detections = CollectionRegistry(spark).add("DETECTIONS", DETECTIONS_SCHEMA, path=stored)
 
     cases = [
-        ("fine counts", fine_counts("DETECTIONS")),
-        ("rows per sector", sector_counts("DETECTIONS")),
-        ("fine report document", fine_report_document("DETECTIONS")),
-        ("master report document, no filter", master_report_document("DETECTIONS")),
+        ("fine counts", fine_counts(detections)),
+        ("rows per sector", sector_counts(detections)),
+        ("fine report document", fine_report_document(detections)),
+        ("master report document, no filter", master_report_document(detections)),
         (
             'master report document, filter {"SECTOR_NAME": "SECTOR_3", "TYPE": {"$in": [1, 5, 6]}}',
-            master_report_document("DETECTIONS", {"SECTOR_NAME": "SECTOR_3", "TYPE": {"$in": [1, 5, 6]}}),
+            master_report_document(detections, {"SECTOR_NAME": "SECTOR_3", "TYPE": {"$in": [1, 5, 6]}}),
         ),
     ]
     lines = [
