@@ -1,0 +1,81 @@
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from curbwatch.llm.components import components
+from curbwatch.llm.jaccard_matrix import jaccard_components, one_of_each
+from curbwatch.llm.shingles import ShingleHasher, set_key
+
+from .data import edge_rows, jaccard_groups, near_copies, shingles
+
+
+def expected(rows):
+    out = []
+    for group in jaccard_groups(rows):
+        ids = [rows[i][0] for i in group if rows[i][0] is not None]
+        for i in group:
+            n = len(shingles(rows[i][1]))
+            out.append((rows[i][0], n, (min(ids) if ids else None) if n else rows[i][0]))
+    return Counter(out)
+
+
+def test_shingle_sets_equal_those_of_words():
+    rows = edge_rows() + near_copies(1, 3, 4)
+    keys = {}
+    for i, members in ShingleHasher().sets([t for _, t in rows]):
+        own = shingles(rows[i][1])
+        assert len(members) == len(own)
+        keys.setdefault(set_key(members), []).append(own)
+    assert all(x == group[0] for group in keys.values() for x in group)
+
+
+def test_edge_cases(edge_docs):
+    got = Counter(tuple(r) for r in jaccard_components(edge_docs).collect())
+    assert got == expected(edge_rows())
+
+
+def test_near_copies_against_brute_force(spark):
+    rows = near_copies(2, 12, 12)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert Counter(tuple(r) for r in jaccard_components(docs).collect()) == expected(rows)
+
+
+def test_one_of_each_keeps_the_smallest_id_and_all_columns(edge_docs):
+    kept = one_of_each(edge_docs)
+    assert kept.columns == edge_docs.columns
+    rows = edge_rows()
+    want = Counter()
+    for group in jaccard_groups(rows):
+        with_words = [i for i in group if shingles(rows[i][1])]
+        want.update([rows[i][0] for i in group if i not in with_words])
+        if with_words:
+            ids = [rows[i][0] for i in with_words if rows[i][0] is not None]
+            want[min(ids) if ids else None] += 1
+    assert Counter(r["doc_id"] for r in kept.collect()) == want
+
+
+def test_empty_table(no_docs):
+    assert jaccard_components(no_docs).collect() == []
+    assert one_of_each(no_docs).collect() == []
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_random_graphs(spark, seed):
+    rng = np.random.default_rng(seed)
+    pairs = [tuple(map(int, p)) for p in rng.integers(0, 60, (45, 2))] + [(100 + i, 101 + i) for i in range(40)]
+    pairs += [(500, 500 + i) for i in range(1, 30)]
+    parent: dict[int, int] = {}
+
+    def find(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        if a != b:
+            a, b = find(a), find(b)
+            parent[max(a, b)] = min(a, b)
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert got == {x: find(x) for x in parent}
