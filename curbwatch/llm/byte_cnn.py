@@ -16,7 +16,7 @@ scored on its whole text, without a shuffle.
 Defined cases: null and empty texts are one chunk of padding and get its
 score; a very long text is scored chunk by chunk in bounded memory; labels
 that contradict each other for an id are not used, nor are labels without a
-row; repeated rows get equal scores; without labels of both classes every
+row; repeated rows get equal scores (to six decimals); without labels of both classes every
 score is the share of label 1 (0.5 without any).
 """
 
@@ -84,7 +84,7 @@ class ByteCnn:
             out[i : i + GROUP] = response.max(axis=1)
             if places:
                 at[i : i + GROUP] = response.argmax(axis=1)
-        out = np.tanh(out + self.p["bias"])
+        out = np.tanh(out + self.p["bias"]).astype(np.float32)
         return (out, at) if places else out
 
     def probability(self, pooled: np.ndarray) -> np.ndarray:
@@ -103,7 +103,7 @@ class ByteCnn:
             pooled[short] = pool(self.responses(chunks), first)
         for i in set(range(len(raws))) - set(short):
             pooled[i] = self.pool_long(raws[i], starts[i])
-        return self.probability(pooled)
+        return self.probability(pooled).round(6)
 
     def pool_long(self, raw: bytes, starts: np.ndarray) -> np.ndarray:
         """The same for one long text, a group of chunks at a time."""

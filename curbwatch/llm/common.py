@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -40,8 +41,13 @@ def ship_package(spark: SparkSession) -> None:
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir`` (or the context's checkpoint
-    folder). Unset is an error: a machine-local folder is not shared."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    folder). Where neither is set, a session in one process gets a temporary
+    one; on a cluster it is an error, as a machine-local folder is not shared."""
+    context = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not base and (context.master == "local" or context.master.startswith("local[")):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+        base = context.getCheckpointDir()
     if not base:
         raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
@@ -52,12 +58,17 @@ def written(df: DataFrame) -> DataFrame:
 
     Cuts the lineage: what follows reads the committed files, so a lost
     executor never recomputes (or re-decides) what was written. The folder's
-    owner is whoever owns ``spark.checkpoint.dir``.
+    owner is whoever owns ``spark.checkpoint.dir``. Shuffle files of finished
+    steps go when the driver collects its garbage; that is asked for here, as
+    steps follow each other faster than it would come to it by itself.
     """
-    spark = df.sparkSession
+    spark, schema = df.sparkSession, df.schema
     path = shared_folder(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def ascii_lower(column):

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from curbwatch.llm.byte_cnn import SPAN, ByteCnn, chunk_bytes, chunk_starts, held_out, pool, score_rows, train_classifier
 
@@ -66,7 +67,7 @@ def test_long_texts_score_the_same_in_pieces():
 def test_held_out_accuracy(spark):
     docs, labels = corpus(spark)
     model = train_classifier(docs, labels, steps=120)
-    scored = score_rows(docs, model, ["doc_id"]).join(labels, "doc_id").where(held_out(docs["doc_id"])).collect()
+    scored = score_rows(docs, model, ["doc_id"]).join(labels, "doc_id").where(held_out(F.col("doc_id"))).collect()
     assert len(scored) > 30
     assert np.mean([(r["score"] >= 0.3) == (r["quality"] == 1) for r in scored]) >= 0.95
 
@@ -87,7 +88,8 @@ def test_edge_cases(spark, edge_docs, no_docs):
     assert scored.columns == [*edge_docs.columns, "quality_score"]
     rows = scored.collect()
     assert len(rows) == len(edge_rows()) and all(0 <= r["quality_score"] <= 1 for r in rows)
-    assert len({r["quality_score"] for r in rows if r["text"] in (None, "")}) == 1
+    empty = [r["quality_score"] for r in rows if r["text"] in (None, "")]
+    assert max(empty) - min(empty) <= 2e-6
     assert score_rows(no_docs, model, ["doc_id"]).collect() == []
 
 

@@ -18,7 +18,7 @@ def brute(rows, k):
     out = {}
     for q in range(len(rows)):
         s = (v * v[q]).sum(axis=1) / (n * n[q])
-        near = [(int(ids[i]), s[i]) for i in np.lexsort((ids, -s.round(12))) if ids[i] != ids[q]][:k]
+        near = [(int(ids[i]), s[i]) for i in np.lexsort((ids, -s)) if ids[i] != ids[q]][:k]
         out[int(ids[q])] = near
     return out
 
