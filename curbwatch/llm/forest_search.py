@@ -38,7 +38,7 @@ class Forest:
         """``sample``: unit vectors. Node 1 is a tree's root, node n has the children 2n and 2n + 1."""
         rng = np.random.default_rng(seed)
         self.depth, self.leaves, dim = depth, 1 << depth, sample.shape[1]
-        self.directions, self.splits = [], []
+        self.directions, self.splits, self.lists = [], [], None
         for _ in range(trees):
             # more levels than dimensions: further sets of orthonormal directions
             sets = [np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-depth // dim))]
@@ -65,13 +65,16 @@ class Forest:
     def search(self, unit: np.ndarray, leaves: int) -> list[int]:
         """The bins of the ``leaves`` most promising leaves of all trees, by one shared queue."""
         at = [(unit @ d).tolist() for d in self.directions]
-        queue = [(0.0, t, 1) for t in range(len(self.splits))]
+        if self.lists is None:
+            self.lists = [s.tolist() for s in self.splits]
+        splits = self.lists
+        queue = [(0.0, t, 1) for t in range(len(splits))]
         found: list[int] = []
         while queue and len(found) < leaves:
             cost, t, node = heapq.heappop(queue)
             while node < self.leaves:
-                margin = at[t][node.bit_length() - 1] - self.splits[t][node]
-                near = 2 * node + (margin > 0)
+                margin = at[t][node.bit_length() - 1] - splits[t][node]
+                near = 2 * node + int(margin > 0)
                 heapq.heappush(queue, (cost + margin * margin, t, near ^ 1))
                 node = near
             found.append(node - self.leaves + t * self.leaves)
