@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package, text_blocks
+from .common import drop_worker_tables, ship_package, text_blocks
 
 WIDTH, STRIDE, STEP = 8, 2, 512  # bytes of a filter, between windows, between chunks
 SPAN = STEP + WIDTH - STRIDE  # bytes of a chunk
@@ -233,8 +233,9 @@ def score_rows(docs: DataFrame, model: ByteCnn, columns: Sequence[str], name: st
     source = docs.select(*(F.col(f"`{c}`") for c in columns), F.col("text").alias("_scored_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_tables()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
+            texts = (x.as_py() for x in batch.column(batch.num_columns - 1))  # a block of them at a time
             scores = [model.score(block) for _, block in text_blocks(texts)]
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             scores = pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64())

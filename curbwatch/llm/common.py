@@ -39,6 +39,22 @@ def ship_package(spark: SparkSession) -> None:
     SHIPPED.add(context.applicationId)
 
 
+WORKER_TABLES: dict[str, object] = {}  # what a Python worker keeps from task to task; one entry
+
+
+def worker_table(name: str, make):
+    """This worker's table of that name, made if need be; tables of other operators go."""
+    if name not in WORKER_TABLES:
+        WORKER_TABLES.clear()
+        WORKER_TABLES[name] = make()
+    return WORKER_TABLES[name]
+
+
+def drop_worker_tables() -> None:
+    """For operators that keep none: the memory is theirs."""
+    WORKER_TABLES.clear()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir`` (or the context's checkpoint
     folder). Where neither is set, a session in one process gets a temporary

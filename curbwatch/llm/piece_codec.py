@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import ship_package, text_blocks
+from .common import ship_package, text_blocks, worker_table
 
 MARK = "▁"  # fixed value: what stands for a space in pieces
 UNKNOWN_TEXT = " ⁇ "  # fixed value: what an unknown piece decodes to
@@ -245,14 +245,8 @@ def le32(ids: list[int]) -> bytes:
     return array("I", ids).tobytes()
 
 
-CODECS: dict[str, Codec] = {}  # this worker's codecs, by the model's digest
-
-
 def codec_for(digest: str, vocabulary: Vocabulary) -> Codec:
-    if digest not in CODECS:
-        CODECS.clear()
-        CODECS[digest] = Codec(vocabulary)
-    return CODECS[digest]
+    return worker_table(f"pieces {digest}", lambda: Codec(vocabulary))
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:

@@ -16,6 +16,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 
+from .common import worker_table
+
 # Python's str.split also cuts at these; the tokenizer's pattern does not.
 NOT_BLANK = "\x1c\x1d\x1e\x1f"
 # letters that lower-case one by one, whatever is around them
@@ -28,7 +30,7 @@ WORD_AND_REST = re.compile(r"([a-zß-öø-ÿ]+)([^A-Za-zß-öø-ÿ0-9ªµºÀ-Ö
 
 
 class WordTokens:
-    def __init__(self, definition: str, kept: int = 500_000, longest_kept: int = 64):
+    def __init__(self, definition: str, kept: int = 200_000, longest_kept: int = 64):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -79,15 +81,9 @@ class WordTokens:
         return b"".join([word(c) or get(c) or missing(c) for c in text.split()])
 
 
-ENCODERS: dict[str, WordTokens] = {}  # this worker's encoders, by the definition's digest
-
-
 def encoder_for(definition: str) -> WordTokens:
     digest = hashlib.sha256(definition.encode()).hexdigest()
-    if digest not in ENCODERS:
-        ENCODERS.clear()
-        ENCODERS[digest] = WordTokens(definition)
-    return ENCODERS[digest]
+    return worker_table(f"words {digest}", lambda: WordTokens(definition))
 
 
 def read_definition(path: str) -> str:
