@@ -203,9 +203,10 @@ def train_classifier(
     sample = sample[0].union(sample[1]).select("doc_id", "quality")  # at most 2 * per_class ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_worker_tables()
         for batch in batches:
             cuts = []
-            for text in batch.column("text").to_pylist():
+            for text in (x.as_py() for x in batch.column("text")):
                 raw = text.encode("utf-8", "surrogatepass") if text else b""
                 starts = chunk_starts(len(raw))
                 some = np.unique(np.linspace(0, len(starts) - 1, min(train_chunks, len(starts))).astype(int))
