@@ -7,6 +7,7 @@ Usage: python tools/show_plans.py [sf_dir] [out.md]
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 
@@ -59,7 +60,9 @@ def main(argv: list[str]) -> int:
             "```",
         ]
         df.collect()
-        for line in plan_text(df).rstrip().splitlines():
+        # the plan that ran, without the tree of the first one
+        final = re.sub(r"\+- == Initial Plan ==\n(?:.+\n)*", "", plan_text(df))
+        for line in final.replace(stored, "<collection>").rstrip().splitlines():
             lines.append(line if len(line) <= MAX_LINE else line[:MAX_LINE] + " ...")
         lines += ["```", ""]
     with open(out, "w") as fh:
