@@ -8,23 +8,24 @@ as the sizes say that its overlap cannot reach the threshold:
 
 * columns are ordered, frequent ones last (a sketch of bounded size counts all
   shingles of all documents); of a row with n shingles only the first
-  ``n - ceil(t n) + 1`` entries take part against smaller rows and the first
-  ``n - ceil(2 t n / (1 + t)) + 1`` against larger ones - any pair that links
-  has a common entry among those;
-* a pair's sizes must lie within a factor t, and what can still follow its
-  common entries must reach ``ceil(t (n1 + n2) / (1 + t))``.
+  ``n - ceil(t n) + 1`` entries take part - any pair that links has a common
+  entry among those;
+* a pair's sizes must lie within a factor t, and its common entries, together
+  with what lies behind the last of them (and behind the leading entries) in
+  either row, must reach ``ceil(t (n1 + n2) / (1 + t))``.
 
 What survives is counted exactly on the whole sets.
 
-Groups of near copies would be quadratic, so the product runs twice. First
-each column is multiplied with its smallest entry only (a star per column and
-size class); the best exact links give preliminary components. Then the full
-product is taken between entries of *different* components: inside a component
-no pair can change the result. Every link between different components is
-found, so the components are those of all links.
+Groups of near copies would be quadratic, so the product does not run on all
+entries at once. First each column is multiplied with a few of its entries only
+(stars); the best star of every row, and then all stars that still lie between
+two components, are counted exactly. Then the full product is taken between
+entries of *different* components: inside a component no pair can change the
+result. Every link between different components is found, so the components
+are those of all links.
 
-Columns that the sketch finds frequent are salted in the first run, verified
-stars are salted by their size, and nothing but sketches, bitmaps (of fixed
+Columns that the sketch finds frequent are salted where their entries meet,
+large stars are dealt over parts, and nothing but sketches, bitmaps (of fixed
 size) and counters goes to the driver. Identity of shingles and sets is that of
 64-bit hashes.
 
@@ -41,11 +42,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from .common import ship_package, written
+from .common import drop_worker_tables, ship_package, written
 from .components import components
 from .shingles import ShingleHasher, mixed, set_key
 
@@ -53,12 +54,14 @@ CELL_BITS = 22  # cells of the frequency sketch
 BLOCK_BITS = 16  # cells of a block of the sketch
 NEED_BITS = 27  # bits of the bitmap of wanted rows
 SALTS = 64
+LEADERS = 6  # entries of a column that the others are compared with first
 STAR = 256  # members that are compared with one copy of a star's centre
 NO_ID = -(1 << 63)
 
 
 def distinct_sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[tuple[object, int | None, np.ndarray, bool]]:
     """(doc_id, node, members, whether the task sees the node for the first time) of every row."""
+    drop_worker_tables()
     hasher, seen = ShingleHasher(words), set()
     for batch in batches:
         keys = batch["doc_id"].tolist()
@@ -153,22 +156,14 @@ def postings(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> D
 
 
 def shared_columns(entries: DataFrame) -> DataFrame:
-    """Entries of columns with several nodes, each with the smallest of its size class
-    in the column: (h, node, n, pos, salt, leader, leader_n)."""
-    entries = entries.withColumns({"n": F.shiftright("spot", 32).cast("int"), "pos": F.expr("cast(spot & 4294967295 as int)")})
-    entries = entries.withColumn("class", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
-    entries.createOrReplaceTempView("corpus_entries")
-    seen = entries.sparkSession.sql(
-        """
-        SELECT h, node, n, pos, salt, first(node) OVER star AS leader, first(n) OVER star AS leader_n,
-               min(node) OVER (PARTITION BY h, salt) AS low, max(node) OVER (PARTITION BY h, salt) AS high
-        FROM corpus_entries
-        WINDOW star AS (PARTITION BY h, salt, class ORDER BY n, node)
-        """
-    )
-    entries.sparkSession.catalog.dropTempView("corpus_entries")
+    """Entries of columns with several nodes: (h, node, n, pos, salt)."""
+    column = Window.partitionBy("h", "salt")
+    entries = entries.select(
+        "h", "node", F.shiftright("spot", 32).cast("int").alias("n"), F.expr("cast(spot & 4294967295 as int)").alias("pos"),
+        "salt", F.min("node").over(column).alias("low"), F.max("node").over(column).alias("high"),
+    )
     # salt stays: the rows are dealt by (h, salt) already, so making them distinct moves none
-    return seen.where("salt > 0 OR low < high").drop("low", "high").distinct()
+    return entries.where("salt > 0 OR low < high").drop("low", "high").distinct()
 
 
 def required(a: str, b: str, percent: int) -> Column:
@@ -177,11 +172,35 @@ def required(a: str, b: str, percent: int) -> Column:
 
 
 def stars(entries: DataFrame, percent: int) -> DataFrame:
-    """For each node the leader it shares most leading entries with: (node, centre)."""
-    near = entries.where(f"node != leader AND leader_n * 100L >= {percent}L * n")
-    shared = near.groupBy("node", "leader").agg(F.count("*").alias("c"))
-    best = shared.groupBy("node").agg(F.max(F.struct("c", "leader")).alias("b"))
-    return best.select("node", F.col("b.leader").alias("centre"))
+    """(node, centre, c): the product of every column with ``LEADERS`` of its entries only.
+
+    The leaders of a column and size class are the first nodes by as many
+    random orders, so a family of near copies meets in the same few members.
+    ``c`` is the number of leading entries shared; kept are pairs that share as
+    many as linked rows of one size must. What this leaves out is found by
+    ``remaining_pairs``.
+    """
+    entries = entries.withColumn("class", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
+    firsts = [F.min(F.struct(F.xxhash64("node", F.lit(r)), "node")).alias(f"l{r}") for r in range(LEADERS)]
+    leaders = entries.groupBy("h", "class").agg(*firsts)  # partial minima: a hot column is a row per task
+    leaders = leaders.select("h", "class", F.array_distinct(F.array(*[f"l{r}.node" for r in range(LEADERS)])).alias("all"))
+    near = entries.join(leaders, ["h", "class"]).select("node", "n", F.explode("all").alias("centre"))
+    shared = near.where("node != centre").groupBy("node", "centre").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    behind = F.ceil(F.expr(f"{percent} * cast(n as bigint) / 100")) - 1
+    return shared.where(F.col("c") + behind >= required("n", "n", percent)).select("node", "centre", "c")
+
+
+def best_of(pairs: DataFrame) -> DataFrame:
+    """(node, centre): of each node's pairs that with most in common."""
+    best = pairs.groupBy("node").agg(F.max(F.struct("c", "centre")).alias("b"))
+    return best.select("node", F.col("b.centre").alias("centre"))
+
+
+def between(pairs: DataFrame, tied: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    ends = [tied.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in")) for end in ("node", "centre")]
+    pairs = pairs.join(ends[0], "node", "left").join(ends[1], "centre", "left")
+    return pairs.where(F.coalesce("node_in", "node") != F.coalesce("centre_in", "centre")).select("node", "centre")
 
 
 def remaining_pairs(entries: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
@@ -192,17 +211,17 @@ def remaining_pairs(entries: DataFrame, tied: DataFrame, percent: int) -> DataFr
     rows = rows.withColumn("label", F.coalesce("label", "node"))
     several = rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
     rows = written(rows.join(several, "h"))
-    small = rows.where(f"pos < n + floor(-({2 * percent} * cast(n as bigint)) / {100 + percent}) + 1").alias("s")
-    both = rows.alias("l").join(small, F.expr("l.h = s.h AND l.label != s.label"))
+    both = rows.alias("l").join(rows.alias("s"), F.expr("l.h = s.h AND l.label != s.label"))
     both = both.where("s.n < l.n OR (s.n = l.n AND s.node < l.node)").where(f"s.n * 100L >= {percent}L * l.n")
     need = required("l.n", "s.n", percent)
-    both = both.where(F.least(F.expr("l.n - l.pos"), F.expr("s.n - s.pos")) >= need)
     pairs = both.groupBy(F.col("l.node").alias("node"), F.col("s.node").alias("centre")).agg(
         F.count("*").alias("c"),
         F.max(need).alias("need"),
         F.min(F.least(F.expr("l.n - l.pos"), F.expr("s.n - s.pos"))).alias("rest"),
+        # what lies behind the leading entries of the one that has more behind them
+        F.max(F.ceil(F.expr(f"{percent} * cast(l.n as bigint) / 100")) - 1).alias("behind"),
     )
-    return pairs.where("c + rest - 1 >= need").select("node", "centre")
+    return pairs.where("c + least(rest - 1, behind) >= need").select("node", "centre")
 
 
 def bitmap(spark: SparkSession, cells: DataFrame) -> np.ndarray:
@@ -312,10 +331,11 @@ def shingle_classes(docs: DataFrame, words: int = 5, percent: int = 75) -> DataF
     rows = survey.where("block is null")
     levels = frequency_levels(survey)
     entries = written(shared_columns(postings(docs, levels, words, percent)))
-    first = written(linked(docs, rows, stars(entries, percent), words, percent))
-    tied = components(first)
-    rest = written(linked(docs, rows, remaining_pairs(entries, tied, percent), words, percent))
-    tied = components(first.union(rest))
+    pairs = written(stars(entries, percent))
+    links = written(linked(docs, rows, best_of(pairs), words, percent))
+    links = written(links.union(linked(docs, rows, between(pairs, components(links)), words, percent)))
+    rest = remaining_pairs(entries, components(links), percent)
+    tied = components(links.union(linked(docs, rows, rest, words, percent)))
     return rows.join(tied, "node", "left").select("doc_id", "n", "node", F.coalesce("component", "node").alias("class"))
 
 
