@@ -133,9 +133,10 @@ def nearest(
     if top is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
     rows = rows.where(F.size("embedding") == top["d"])
-    # entries: distinct vectors with their k + 1 smallest ids (row_number <= n is cut down before the shuffle)
+    # entries: distinct vectors with their k + 1 smallest ids (row_number <= n is cut down before the shuffle);
+    # repeated rows go first, or they would take the places of other ids
     place = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
-    few = rows.select("vec_id", "embedding").withColumn("place", place).where(F.col("place") <= k + 1)
+    few = rows.select("vec_id", "embedding").distinct().withColumn("place", place).where(F.col("place") <= k + 1)
     entries = few.groupBy("embedding").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"))
     entries = written(entries.withColumn("key", F.monotonically_increasing_id()))
     n = entries.count()

@@ -40,6 +40,16 @@ def test_edge_vectors(spark):
         assert np.allclose([r[2] for r in rows], [s for _, s in near], atol=1e-12)
 
 
+def test_rows_repeated_more_often_than_k_count_once(spark):
+    rows = [(1, [1.0, 0.0])] * 9 + [(2, [1.0, 0.0])] + [(3, [0.0, 1.0])] * 9 + [(4, [0.0, 1.0]), (5, [0.5, 1.0])]
+    frame = spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA).repartition(3)
+    near = nearest(frame, F.lit(True), k=2).collect()
+    want = brute(rows, 2)
+    for q in range(1, 6):
+        found = sorted((r["rank"], r["vec_id"]) for r in near if r["query_id"] == q)
+        assert found == [(i + 1, v) for i, (v, _) in enumerate(want[q])]
+
+
 def test_one_vector_for_a_third_of_the_rows(spark):
     rng = np.random.default_rng(4)
     hot = [float(x) for x in rng.normal(size=8)]
