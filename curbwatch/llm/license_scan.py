@@ -12,8 +12,11 @@ counted and collected). Then
 * positional filter: what can still follow after the first shared word, on
   either side, must reach ``need``;
 
-what is left is compared exactly, so no matching block is missed. Beside the
-join, fixed phrases are found where their words stand consecutively.
+what is left is compared exactly, so no matching block is missed. With ``names``
+the exact comparison also asks that the block says which licence it is: the
+template's pattern (``NAMES``) must stand in it, and the ``need`` words must lie
+around it, within twice the template's words, not scattered over a long line.
+A template without a pattern is matched by its words alone. Beside the join, fixed phrases are found where their words stand consecutively.
 
 Both jobs are maps over the documents (plus a tiny aggregation); the templates
 are a parameter of the job and travel with the tasks.
@@ -27,7 +30,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator, Mapping
 
 import pandas as pd
@@ -62,6 +65,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
         "Public License as published by the Free Software Foundation",
     ),
     ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0."),
+    ("cc-by-4.0", "Licensed under CC BY 4.0."),
     ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     (
         "bsd",
@@ -70,6 +74,27 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ),
 )
 
+# What a notice must say to be of that licence, as patterns over lower-case words between single
+# spaces; each gap may hold a few words, but no other version's number and no other variant's name
+GAP = r"(?:[^ 0-9]+ ){0,4}?"
+APACHE = rf"\bapache {GAP}v?2\b(?! [1-9])|\bv?2 (?:0 )?of the apache\b|\bapache org (?:[^ ]+ )?license 2 0\b"
+GPL = r"(?<!lesser )(?<!library )(?<!affero )general public licen[cs]e"
+GPL3 = rf"{GPL} {GAP}(?:v?2 or {GAP})?(?:gpl)?v?3\b(?! [1-9])|\bv?3 (?:0 )?of the (?:gnu )?{GPL}"
+OTHER_CC = r"(?!(?:nc|nd|sa|non|no|share)\b|noncommercial|noderiv|sharealike)"
+CC_BY = rf"\b(?:cc by|attribution) (?:{OTHER_CC}[^ 0-9]+ ){{0,4}}?v?4\b(?! [1-9])"
+CC_BY_NC = rf"\bby nc (?:{OTHER_CC}[^ 0-9]+ ){{0,4}}?v?4\b(?! [1-9])"
+NAMES: Mapping[str, str] = {
+    "Released under the MIT License.": r"\bmit\b",
+    "This project is licensed under the terms of the MIT license.": r"\bmit\b",
+    "Licensed under the Apache License, Version 2.0.": APACHE,
+    "This work is licensed under the GNU General Public License, version 3.": GPL3,
+    "Licensed under CC BY-NC 4.0.": CC_BY_NC,
+    "Licensed under CC BY 4.0.": CC_BY,
+    "This work is licensed under a Creative Commons Attribution 4.0 International License.": CC_BY,
+    **{t: APACHE for label, t in TEMPLATES if label == "apache-2.0" and t.startswith("you may")},
+    **{t: GPL for label, t in TEMPLATES if label == "gpl"},
+}
+
 SCANNED = (
     "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels array<string>, "
     "found array<struct<block: int, label: string, containment: double>>"
@@ -114,7 +139,11 @@ def blocks(text: bytes) -> Iterator[list[bytes]]:
 class TemplateIndex:
     """Templates as frequency-ordered word lists, indexed by their prefix words."""
 
-    def __init__(self, templates, frequency: Mapping[bytes, int], threshold: float):
+    def __init__(
+        self, templates, frequency: Mapping[bytes, int], threshold: float, names: Mapping[str, str] | None = None
+    ):
+        self.names = [re.compile(names[t].encode()) if names and t in names else None for _, t in templates]
+        self.spread = [2 * len(plain(t).split()) for _, t in templates]
         self.labels = [label for label, _ in templates]
         self.sets = [word_set(text) for _, text in templates]
         self.need = [max(1, math.ceil(threshold * len(s) - 1e-9)) for s in self.sets]
@@ -141,10 +170,37 @@ class TemplateIndex:
                 if 1 + min(len(members) - i - 1, len(block) - j - 1) < need:
                     continue  # not enough can follow its first shared word
                 shared = len(members & present)
+                if shared >= need and self.names[t]:
+                    shared = most_around(words, members, self.names[t], self.spread[t])
                 if shared >= need:
                     yield t, shared / len(members)
 
 
+def most_around(words: list[bytes], members: frozenset[bytes], name: re.Pattern[bytes], spread: int) -> int:
+    """The most ``members`` among ``spread`` consecutive words that hold a match of ``name``."""
+    line = b" ".join(words)
+    spans = deque()
+    at = seen = 0  # words up to the character ``seen``
+    for match in name.finditer(line):
+        first = at + line.count(b" ", seen, match.start())
+        at, seen = first + line.count(b" ", match.start(), match.end()), match.end()
+        spans.append((first, at))
+    most, named, held = 0, -1, Counter()
+    for end, word in enumerate(words if spans else ()):
+        if word in members:
+            held[word] += 1
+        start = end - spread + 1
+        if start > 0 and (gone := words[start - 1]) in members:
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
+        while spans and spans[0][1] <= end:
+            named = spans.popleft()[0]
+        if named >= max(0, start):
+            most = max(most, len(held))
+    return most
+
+
 class PhraseFinder:
     def __init__(self, phrases: Mapping[str, str]):
         self.phrases = [(plain(p).split(), label) for p, label in phrases.items()]
@@ -177,14 +233,16 @@ def scan_licenses(
     templates: tuple[tuple[str, str], ...] = TEMPLATES,
     phrases: Mapping[str, str] = PHRASES,
     threshold: float = 0.8,
+    names: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Per row: word count, phrase places and every matching block (its number
-    among the lines, then paragraphs, of the text) with label and containment."""
+    among the lines, then paragraphs, of the text) with label and containment.
+    ``names``: patterns by template text, such as ``NAMES``."""
     ship_package(docs.sparkSession)
     frequency = word_frequency(docs, frozenset().union(*(word_set(text) for _, text in templates)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, finder = TemplateIndex(templates, frequency, threshold), PhraseFinder(phrases)
+        index, finder = TemplateIndex(templates, frequency, threshold, names), PhraseFinder(phrases)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):

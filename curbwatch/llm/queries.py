@@ -13,7 +13,7 @@ from .common import inline_rows, read_table
 from .dominance_pack import pack_documents
 from .forest_search import nearest
 from .jaccard_matrix import jaccard_components
-from .license_scan import label_list, scan_licenses
+from .license_scan import NAMES, label_list, scan_licenses
 from .piece_codec import encode_documents
 from .ring_shards import ring_shards
 from .risk_rules import judge_documents
@@ -58,7 +58,7 @@ def op5_dominance_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scanned = scan_licenses(read_table(spark, sf_dir, "documents"))
+    scanned = scan_licenses(read_table(spark, sf_dir, "documents"), names=NAMES)
     return scanned.select(
         "doc_id",
         "n_words",

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from curbwatch.llm.license_scan import PHRASES, TEMPLATES, scan_licenses
+from curbwatch.llm.license_scan import NAMES, PHRASES, TEMPLATES, TemplateIndex, blocks, plain, scan_licenses
 
 from .data import LOWER, edge_rows, prose
 
@@ -65,3 +65,46 @@ def test_other_thresholds(spark, threshold):
 def test_edge_tables(edge_docs, no_docs):
     assert scan_licenses(edge_docs).count() == len(edge_rows())
     assert scan_licenses(no_docs).collect() == []
+
+
+NOTICES = [
+    ("Licensed under CC BY 4.0.", {"cc-by-4.0"}),
+    ("Licensed under CC BY-NC 4.0.", {"cc-by-nc-4.0"}),
+    ("Licensed under CC BY-SA 4.0.", set()),
+    ("Licensed under CC BY-NC-SA 4.0.", set()),
+    ("Licensed under CC BY-NC 3.0.", set()),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", set()),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", {"cc-by-4.0"}),
+    ("Released under the Apache License.", set()),
+    ("Released under the MIT License.", {"mit"}),
+    ("This project is licensed under the terms of the BSD license.", set()),
+    ("Licensed under the Apache License, Version 1.1.", set()),
+    ("Licensed under version 2.0 of the Apache License.", {"apache-2.0"}),
+    ("This work is licensed under the GNU General Public License, version 2.", set()),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", set()),
+    ("This work is licensed under the GNU General Public License (GPL), version 3 or later.", {"gpl-3.0"}),
+    ("This work is licensed under version 3 of the GNU General Public License.", {"gpl-3.0"}),
+    # scattered over a long line; near each other in one
+    ("MIT " + "word " * 30 + "released " + "word " * 30 + "under the " + "word " * 30 + "license", set()),
+    ("word " * 99 + "the license, released under " + "word " * 99, set()),
+    ("word " * 99 + "Released by its authors under the MIT License. " + "word " * 99, {"mit"}),
+    ("some text\n\nReleased under\nthe MIT License.\n\nmore", {"mit"}),
+    *((template, {label}) for label, template in TEMPLATES),
+]
+
+
+def test_a_notice_must_name_its_licence(spark):
+    rows = [(i, text) for i, (text, _) in enumerate(NOTICES)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for r in scan_licenses(docs, names=NAMES).collect():
+        text, labels = NOTICES[r["doc_id"]]
+        assert {f["label"] for f in r["found"]} == labels, text
+
+
+def test_names_are_of_templates_and_only_drop_matches():
+    assert set(NAMES) <= {t for _, t in TEMPLATES}
+    every, named = TemplateIndex(TEMPLATES, {}, 0.8), TemplateIndex(TEMPLATES, {}, 0.8, NAMES)
+    for text in texts():
+        for block in blocks(plain(text or "")):
+            found = dict(every.matches(block))
+            assert all(c <= found[t] for t, c in named.matches(block))
