@@ -7,9 +7,11 @@ width, so no window is lost at a cut). Mean, largest and smallest of the
 chunks' responses are combined into one probability.
 
 Training (Adam, on the driver) uses a bounded sample: ``per_class`` labelled
-rows of each class, in the order of a hash of their ids, and at most
-``train_chunks`` evenly spread chunks of each. Only bytes are inputs. Classes
-are weighted back to their share among all labels, so scores are probabilities.
+rows of each class, in the order of a hash of their ids, each with all of its
+chunks, as in scoring. The texts come one partition at a time and wait in a
+temporary file of the driver; a step reads a group of chunks at a time, so
+memory stays small however long they are. Only bytes are inputs. Classes are
+weighted back to their share among all labels, so scores are probabilities.
 The model is a few kilobytes and travels with the scoring tasks; every row is
 scored on its whole text, without a shuffle.
 
@@ -22,6 +24,7 @@ score is the share of label 1 (0.5 without any).
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -36,6 +39,7 @@ WIDTH, STRIDE, STEP = 8, 2, 512  # bytes of a filter, between windows, between c
 SPAN = STEP + WIDTH - STRIDE  # bytes of a chunk
 DEPTH, FILTERS = 8, 32
 GROUP = 256  # chunks that are computed together
+HELD = 64 * GROUP  # chunks of a training step whose responses are held; with more they are computed twice
 
 
 def chunk_starts(n_bytes: int) -> np.ndarray:
@@ -117,29 +121,43 @@ class ByteCnn:
 
     def gradients(self, chunks: np.ndarray, first: np.ndarray, labels: np.ndarray, weights: np.ndarray):
         """Loss gradients of a batch of texts; chunks of text i start at ``first[i]``."""
-        response, at = self.responses(chunks, places=True)
-        pooled = pool(response, first)
+        return self.text_gradients(np.split(chunks, first[1:]), labels, weights)
+
+    def text_gradients(self, texts: Sequence[np.ndarray], labels: np.ndarray, weights: np.ndarray):
+        """The same for the (chunks, SPAN) bytes of each text, a group of chunks at a time."""
+        sizes = np.array([len(t) for t in texts])
+        total, high = np.zeros((len(texts), FILTERS)), np.full((len(texts), FILTERS), -np.inf, np.float32)
+        low, held = -high, []
+        for chunks, text in chunk_groups(texts):
+            response, at = self.responses(chunks, places=True)
+            first = np.flatnonzero(np.diff(text, prepend=-1))
+            some = text[first]
+            total[some] += np.add.reduceat(response, first)
+            high[some] = np.maximum(high[some], np.maximum.reduceat(response, first))
+            low[some] = np.minimum(low[some], np.minimum.reduceat(response, first))
+            if sizes.sum() <= HELD:
+                held.append((response, at))
+        pooled = np.concatenate([total / sizes[:, None], high, low], axis=1).astype(np.float32)
         error = ((self.probability(pooled) - labels) * weights / weights.sum()).astype(np.float32)
         grad = {"combine": pooled.T @ error, "offset": error.sum(keepdims=True)}
+        grad |= {k: np.zeros_like(self.p[k]) for k in ("bias", "filter", "embed")}
         back = error[:, None] * self.p["combine"].reshape(3, 1, FILTERS)
-        sizes = np.diff([*first, len(chunks)])
-        text = np.repeat(np.arange(len(first)), sizes)
-        mean, high, low = pooled[:, :FILTERS], pooled[:, FILTERS : 2 * FILTERS], pooled[:, 2 * FILTERS :]
-        d = back[0][text] / sizes[text][:, None]
-        d = d + back[1][text] * (response == high[text]) + back[2][text] * (response == low[text])
-        d *= 1 - response**2
-        grad["bias"] = d.sum(axis=0)
-        # only the window with the largest response of a chunk and filter takes part
         taps = np.arange(WIDTH)
-        bytes_at = chunks[np.arange(len(chunks))[:, None, None], at[:, :, None] * STRIDE + taps]
-        embedded = self.p["embed"][bytes_at]
-        grad["filter"] = np.einsum("cf,cftd->tdf", d, embedded, optimize=True).reshape(WIDTH * DEPTH, FILTERS)
-        through = d[:, :, None, None] * self.p["filter"].reshape(WIDTH, DEPTH, FILTERS).transpose(2, 0, 1)[None]
-        grad["embed"] = np.zeros_like(self.p["embed"])
-        np.add.at(grad["embed"], bytes_at.ravel(), through.reshape(-1, DEPTH))
+        for group, (chunks, text) in enumerate(chunk_groups(texts)):
+            response, at = held[group] if held else self.responses(chunks, places=True)
+            d = back[0][text] / sizes[text][:, None]
+            d = d + back[1][text] * (response == high[text]) + back[2][text] * (response == low[text])
+            d *= 1 - response**2
+            grad["bias"] += d.sum(axis=0)
+            # only the window with the largest response of a chunk and filter takes part
+            bytes_at = chunks[np.arange(len(chunks))[:, None, None], at[:, :, None] * STRIDE + taps]
+            embedded = self.p["embed"][bytes_at]
+            grad["filter"] += np.einsum("cf,cftd->tdf", d, embedded, optimize=True).reshape(WIDTH * DEPTH, FILTERS)
+            through = d[:, :, None, None] * self.p["filter"].reshape(WIDTH, DEPTH, FILTERS).transpose(2, 0, 1)[None]
+            np.add.at(grad["embed"], bytes_at.ravel(), through.reshape(-1, DEPTH))
         return grad
 
-    def train(self, texts: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, steps: int, seed: int, rate: float):
+    def train(self, texts: Sequence[np.ndarray], labels: np.ndarray, weights: np.ndarray, steps: int, seed: int, rate: float):
         """``texts``: (chunks, SPAN) bytes of each labelled text."""
         rng = np.random.default_rng(seed)
         moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
@@ -148,9 +166,7 @@ class ByteCnn:
             order = rng.permutation(len(texts))
             for i in range(0, min(len(texts), (steps - step) * batch), batch):
                 some = order[i : i + batch]
-                chunks = np.concatenate([texts[k] for k in some])
-                first = np.cumsum([0, *(len(texts[k]) for k in some[:-1])])
-                grad = self.gradients(chunks, first, labels[some], weights[some])
+                grad = self.text_gradients([texts[k] for k in some], labels[some], weights[some])
                 step += 1
                 speed = rate * min(1.0, 2 * (1 - (step - 1) / steps))
                 for k, g in grad.items():
@@ -162,6 +178,23 @@ class ByteCnn:
         return self
 
 
+def chunk_groups(texts: Sequence[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(chunks, index of the text of each): all chunks of all texts, at most GROUP at a time."""
+    parts, owners, held = [], [], 0
+    for i, text in enumerate(texts):
+        at = 0
+        while at < len(text):
+            part = text[at : at + GROUP - held]
+            parts.append(part)
+            owners.append(np.full(len(part), i))
+            at, held = at + len(part), held + len(part)
+            if held == GROUP:
+                yield np.concatenate(parts), np.concatenate(owners)
+                parts, owners, held = [], [], 0
+    if held:
+        yield np.concatenate(parts), np.concatenate(owners)
+
+
 def pool(response: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Mean, largest and smallest response of each text's chunks."""
     sizes = np.diff([*first, len(response)])[:, None]
@@ -184,7 +217,6 @@ def train_classifier(
     docs: DataFrame,
     labels: DataFrame,
     per_class: int = 2000,
-    train_chunks: int = 12,
     steps: int = 400,
     seed: int = 7,
     rate: float = 0.01,
@@ -202,30 +234,27 @@ def train_classifier(
     sample = [known.where(F.col("quality") == q).orderBy(mixed, "doc_id").limit(per_class) for q in (0, 1)]
     sample = sample[0].union(sample[1]).select("doc_id", "quality")  # at most 2 * per_class ids
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        drop_worker_tables()
-        for batch in batches:
-            cuts = []
-            for text in (x.as_py() for x in batch.column("text")):
-                raw = text.encode("utf-8", "surrogatepass") if text else b""
-                starts = chunk_starts(len(raw))
-                some = np.unique(np.linspace(0, len(starts) - 1, min(train_chunks, len(starts))).astype(int))
-                spread = [chunk_bytes(raw[s : s + SPAN], starts[:1]) for s in starts[some].tolist()]
-                cuts.append(np.concatenate(spread).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("quality"), pa.array(cuts, pa.binary())], ["doc_id", "quality", "cut"]
-            )
-
-    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")
-    rows = texts.mapInArrow(cut, f"doc_id bigint, quality {dict(sample.dtypes)['quality']}, cut binary")
-    rows = rows.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("cut").alias("cut")).collect()
-    rows = sorted(rows, key=lambda r: r["doc_id"])
-    y = np.array([r["quality"] for r in rows], dtype=np.float64)
-    if len(set(y.tolist())) < 2:
-        return ByteCnn(prior)
-    weights = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum())) * len(y)
-    cuts = [np.frombuffer(r["cut"], np.uint8).reshape(-1, SPAN) for r in rows]
-    return ByteCnn(prior).start(seed).train(cuts, y, weights, steps, seed, rate)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("text").alias("text"))
+    with tempfile.TemporaryFile() as file:
+        rows = []  # (doc_id, quality, first byte, chunks)
+        for r in texts.toLocalIterator():
+            raw, at, n = r["text"].encode("utf-8", "surrogatepass"), file.tell(), 0
+            starts = chunk_starts(len(raw))
+            for i in range(0, len(starts), GROUP):
+                some = starts[i : i + GROUP]
+                n += len(some)
+                file.write(chunk_bytes(raw[some[0] : some[-1] + SPAN], some - some[0]).tobytes())
+            rows.append((r["doc_id"], r["quality"], at, n))
+        file.flush()
+        rows.sort()
+        y = np.array([r[1] for r in rows], dtype=np.float64)
+        if len(set(y.tolist())) < 2:
+            return ByteCnn(prior)
+        weights = np.where(y == 1, prior / max(1, (y == 1).sum()), (1 - prior) / max(1, (y == 0).sum())) * len(y)
+        stored = np.memmap(file, np.uint8, "r")
+        cuts = [stored[at : at + n * SPAN].reshape(n, SPAN) for _, _, at, n in rows]
+        return ByteCnn(prior).start(seed).train(cuts, y, weights, steps, seed, rate)
 
 
 def score_rows(docs: DataFrame, model: ByteCnn, columns: Sequence[str], name: str = "score") -> DataFrame:

@@ -1,10 +1,11 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from curbwatch.llm.byte_cnn import SPAN, ByteCnn, chunk_bytes, chunk_starts, held_out, pool, score_rows, train_classifier
+from curbwatch.llm.byte_cnn import GROUP, SPAN, ByteCnn, chunk_bytes, chunk_groups, chunk_starts, held_out, pool, score_rows, train_classifier
 
 from .data import edge_rows, prose
 
@@ -22,6 +23,10 @@ def corpus(spark, n=240):
     return docs, spark.createDataFrame([(i, q, 0) for i, _, q in rows], LABELS)
 
 
+def is_held_out(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 5 == 0
+
+
 def test_chunks_cover_the_whole_text():
     for n in (0, 1, 5, 511, 512, 518, 519, 1030, 9999):
         raw = bytes(i % 251 + 1 for i in range(n))
@@ -56,6 +61,41 @@ def test_gradients_are_those_of_the_loss():
             assert (up - down) / (2 * step) == pytest.approx(grad[name][at], rel=0.1, abs=1e-3)
 
 
+def test_training_takes_every_chunk_of_a_text(spark, monkeypatch):
+    rng = random.Random(4)
+    # longer than 12 chunks, than a group, and one with a repeated row
+    texts = {1: prose(rng, 5000), 2: prose(rng, 20), 3: prose(rng, 60_000), 4: "", 5: None}
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in texts if not is_held_out(i)], LABELS)
+    docs = spark.createDataFrame([*texts.items(), (1, texts[1])], "doc_id bigint, text string")
+    seen = {}
+
+    def train(self, cuts, labels, weights, steps, seed, rate):
+        seen["cuts"] = [np.array(c) for c in cuts]
+        return self
+
+    monkeypatch.setattr(ByteCnn, "train", train)
+    train_classifier(docs, labels)
+    want = [(t or "").encode() for i, t in texts.items() if not is_held_out(i)]
+    assert len(seen["cuts"]) == len(want) and max(len(c) for c in seen["cuts"]) > GROUP
+    for cut, raw in zip(seen["cuts"], want):
+        assert np.array_equal(cut, chunk_bytes(raw, chunk_starts(len(raw))))
+
+
+def test_gradients_are_the_same_in_groups(monkeypatch):
+    rng = np.random.default_rng(3)
+    net = ByteCnn().start(4)
+    texts = [rng.integers(1, 256, (n, SPAN)).astype(np.uint8) for n in (3, 2 * GROUP + 7, 1, GROUP)]
+    labels, weights = np.array([1.0, 0.0, 1.0, 0.0]), np.array([1.0, 2.0, 0.5, 1.0])
+    assert [len(c) for c, _ in chunk_groups(texts)] == [GROUP, GROUP, GROUP, 11]
+    grads = [net.text_gradients(texts, labels, weights)]
+    monkeypatch.setattr("curbwatch.llm.byte_cnn.HELD", 0)  # responses computed twice
+    grads.append(net.text_gradients(texts, labels, weights))
+    monkeypatch.setattr("curbwatch.llm.byte_cnn.GROUP", 10_000)  # all at once
+    grads.append(net.text_gradients(texts, labels, weights))
+    for other in grads[1:]:
+        assert all(np.allclose(grads[0][k], other[k], rtol=1e-3, atol=1e-5) for k in other)
+
+
 def test_long_texts_score_the_same_in_pieces():
     net = ByteCnn().start(3)
     raw = bytes(random.Random(1).randrange(1, 255) for _ in range(700_000))
