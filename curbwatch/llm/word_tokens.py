@@ -4,6 +4,8 @@ The tokenizer drops white space, and none of its steps (NFC, lower case, split,
 merges) looks across it; so the ids of a text are those of its space-separated
 chunks, which repeat. Each worker keeps bounded tables of words and
 other chunks; a word with punctuation behind it is looked up in two parts.
+Special tokens are matched on the raw text, ahead of lower case, so a chunk that
+holds one in any case goes to the tokenizer as it stands.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from .common import worker_table
 NOT_BLANK = "\x1c\x1d\x1e\x1f"
 # letters that lower-case one by one, whatever is around them
 UNPLAIN = re.compile("[İɐ-\U0010ffff]").search
-PROBES = ("", "A  b\tc", "The CAT's 12 café x　y", "́a é İΣ", "<|endoftext|>!?..\n")
+PROBES = ("", "A  b\tc", "The CAT's 12 café x　y", "́a é İΣ", "<|endoftext|>!?..\n", "A<|EndOfText|> <|STARTOFTEXT|>b <|StartOfText|> C")
 
 
 # a word and what follows it up to the next space; apostrophes may belong to either
@@ -38,12 +40,15 @@ class WordTokens:
         self.words_only = Tokenizer.from_str(definition)
         self.words_only.normalizer = normalizers.Sequence([])
         self.words_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        any_case = "|".join(map(re.escape, self.specials)) or "(?!)"
+        self.special = re.compile(any_case, re.IGNORECASE).search
         self.kept, self.longest_kept = kept, longest_kept
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
     def verify(self) -> None:
-        for probe in PROBES:
+        for probe in (*PROBES, *(f"a {x}B C{x} d" for t in self.specials for x in (t, t.upper(), t.title()))):
             if array("I", self.encode(probe)).tolist() != self.plain(probe):
                 raise ValueError("this tokenizer's ids depend on more than space-separated chunks")
 
@@ -76,7 +81,10 @@ class WordTokens:
         if any(c in text for c in NOT_BLANK):
             return array("I", self.plain(text)).tobytes()
         if not UNPLAIN(text):
-            text = text.lower()
+            if self.special(text):
+                text = " ".join([c if self.special(c) else c.lower() for c in text.split()])
+            else:
+                text = text.lower()
         get, word, missing = self.chunks.get, self.words.get, self.__missing
         return b"".join([word(c) or get(c) or missing(c) for c in text.split()])
 

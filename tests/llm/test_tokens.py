@@ -33,6 +33,18 @@ def test_ids_of_edge_texts(tokens):
         assert array("I", tokens.encode(text or "")).tolist() == tokens.plain(text or "")
 
 
+@pytest.mark.parametrize("token", ["<|endoftext|>", "<|EndOfText|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|startoftexT|>"])
+def test_special_tokens_in_any_case(tokens, token):
+    for text in (token, f"The CAT {token} Sat", f"Word{token}Word! OK", f"{token}{token.lower()}", f"É{token.upper()} B"):
+        assert array("I", tokens.encode(text)).tolist() == tokens.plain(text)
+
+
+def test_blocks_keep_special_tokens_in_any_case(spark, tokens):
+    text = "One <|EndOfText|> TWO <|startoftext|> x<|STARTOFTEXT|>"
+    (row,) = token_blocks(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), PATH, width=64).collect()
+    assert np.frombuffer(row["ids"], "<u4")[: row["n_tokens"]].tolist() == [*tokens.plain(text), 0]
+
+
 def fewest(items, capacity):
     """The optimum by exhaustion."""
     best = [len(items)]
