@@ -84,7 +84,7 @@ URL_RULES = (
 def op7_url_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = json.dumps([dict(zip(("host", "path", "verdict"), r)) for r in URL_RULES])
     rules = inline_rows(spark, rules, "host: string, path: string, verdict: string")
-    judged = judge_pages(read_table(spark, sf_dir, "pages"), rules)
+    judged = judge_pages(read_table(spark, sf_dir, "pages"), rules, dots=True)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 

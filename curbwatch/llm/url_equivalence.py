@@ -15,13 +15,18 @@ as a short one and a hot host is spread over its paths.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path,
 no rule and no aliases, and is allowed; null html has no links; a link that
-leads nowhere (``javascript:``, ``mailto:``, empty) is ignored; repeated pages
+leads nowhere (``javascript:``, ``mailto:``, empty) is ignored; every canonical
+link and refresh of a page counts, with its character references decoded; dot
+segments of links are resolved with ``dots`` only (the query asks for it); repeated pages
 are judged each on its own; of rules of equal length the larger string wins,
 of the same rule given twice with both verdicts the block.
 """
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +34,9 @@ from .common import ascii_lower
 from .components import components
 
 HREF = r"""(?i)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?([^"'\s>;]+)"""
+REFRESH = r"""(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?((?:&#?[a-z0-9]+;|[^"'\s>;])+)"""
+# a character reference as attributes may hold it, else a run without one
+PIECE = r"(?i)&#x[0-9a-f]+;?|&#[0-9]+;?|&[a-z][a-z0-9]*;|&[a-z][a-z0-9]*(?![a-z0-9=])|&|[^&]+"
 
 
 def url_host(url: Column) -> Column:
@@ -48,6 +55,41 @@ def url_node(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(url_host(url), url_path(url), query))
 
 
+def unescaped(link: Column) -> Column:
+    """``link`` with its character references decoded."""
+    named = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+
+    def decoded(piece: Column) -> Column:
+        digits = F.regexp_extract(piece, r"^&#[xX]?0*([0-9A-Fa-f]+);?$", 1)
+        code = F.when(piece.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("decimal(38,0)")
+        valid = (F.length(digits) < 9) & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        # an impossible code point is asked for as U+FFFD, so that decode never fails
+        point = F.when(valid, code).otherwise(0xFFFD).cast("bigint")
+        char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+        return (
+            F.when(piece.rlike(r"^&#[xX]?[0-9A-Fa-f]"), char)
+            .when(piece.startswith("&"), F.coalesce(F.element_at(named, F.substring(piece, 2, 64)), piece))
+            .otherwise(piece)
+        )
+
+    pieces = F.transform(F.regexp_extract_all(link, F.lit(PIECE), F.lit(0)), decoded)
+    return F.when(link.contains("&"), F.array_join(pieces, "")).otherwise(link)
+
+
+def without_dots(url: Column) -> Column:
+    """``url`` with the ``.`` and ``..`` segments of its path resolved."""
+    parts = F.split(url_path(url), "/")
+
+    def step(kept: Column, part: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    kept = F.aggregate(F.slice(parts, 2, F.size(parts)), F.slice(parts, 1, 1), step)
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    root, rest = F.regexp_extract(url, r"^([\s\S]*?://[^/?#]*)", 1), F.regexp_extract(url, r"([?#][\s\S]*)$", 1)
+    return F.when(url.rlike(r"/\.\.?(?:[/?#]|$)"), F.concat(root, F.array_join(kept, "/"), rest)).otherwise(url)
+
+
 def absolute(link: Column, base: Column) -> Column:
     """``link`` as found on the page ``base``; null if it is no web address."""
     scheme = F.concat(F.regexp_extract(base, r"^([\s\S]*?)://", 1), F.lit(":"))
@@ -58,16 +100,20 @@ def absolute(link: Column, base: Column) -> Column:
         .when(link.startswith("//"), F.concat(scheme, link))
         .when(link.startswith("/"), F.concat(root, link))
         .when((link == "") | link.startswith("#") | link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
+        .when(link.startswith("?"), F.concat(root, url_path(base), link))
         .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), link))
     )
 
 
-def alias_links(pages: DataFrame) -> DataFrame:
+def alias_links(pages: DataFrame, dots: bool = False) -> DataFrame:
     """(source, target) addresses that a page declares to be its own other names."""
     html, url = F.col("html"), F.col("url")
-    found = F.array(F.regexp_extract(html, HREF, 1), F.regexp_extract(html, REFRESH, 1))
-    links = pages.where(url.contains("://")).select("url", F.explode(found).alias("link")).where("link != ''")
+    found = F.concat(*(F.regexp_extract_all(html, F.lit(tag), F.lit(1)) for tag in (HREF, REFRESH)))
+    links = pages.where(url.contains("://")).select("url", F.explode(found).alias("link")).where("link != ''").distinct()
+    links = links.select("url", unescaped(F.col("link")).alias("link"))
     links = links.select(url.alias("source"), absolute(F.col("link"), url).alias("target"))
+    if dots:
+        links = links.withColumn("target", without_dots(F.col("target")))
     return links.where(F.col("target").isNotNull()).distinct()
 
 
@@ -97,9 +143,9 @@ def placed(urls: DataFrame) -> DataFrame:
     return urls.withColumns({"host": url_host(url), "path": url_path(url), "node": url_node(url)})
 
 
-def judge_pages(pages: DataFrame, rules: DataFrame) -> DataFrame:
+def judge_pages(pages: DataFrame, rules: DataFrame, dots: bool = False) -> DataFrame:
     """(page_id, url, host, path, rule, verdict) of every page. ``rules``: host, path, verdict."""
-    links = alias_links(pages)
+    links = alias_links(pages, dots)
     tied = components(links.select(url_node(F.col("source")).alias("a"), url_node(F.col("target")).alias("b")))
     rows = placed(pages.select("page_id", "url"))
     ends = placed(links.select(F.col("source").alias("url")).union(links.select("target")))

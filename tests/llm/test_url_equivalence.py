@@ -81,3 +81,28 @@ def test_equal_up_to_scheme_and_fragment(spark):
 def test_empty_tables(spark):
     assert judge_pages(pages(spark).limit(0), rules(spark)).collect() == []
     assert {r["verdict"] for r in judge_pages(pages(spark), rules(spark).limit(0)).collect()} == {"allow"}
+
+
+LINKS = [
+    (canonical("/x?a=1&amp;b=2"), {"https://a.net/x?a=1&b=2"}),
+    (canonical("/x?a=1&#38;b=2&#x26;c&eacute;&#x4E2D;&#0;"), {"https://a.net/x?a=1&b=2&cé中\ufffd"}),
+    (canonical("/x?a=1&copy=2&b"), {"https://a.net/x?a=1&copy=2&b"}),
+    (refresh("/x?a=1&amp;b=2"), {"https://a.net/x?a=1&b=2"}),
+    (canonical("/1") + canonical("/2") + refresh("/3") + refresh("/4"), {f"https://a.net/{i}" for i in range(1, 5)}),
+    (canonical("?q=1"), {"https://a.net/d/p?q=1"}),
+    (canonical("../y"), {"https://a.net/y"}),
+    (canonical("./../../y/./z/..?a=../b#/../c"), {"https://a.net/y/?a=../b#/../c"}),
+]
+
+
+def test_every_link_decoded_and_resolved(spark):
+    rows = [(i, f"https://a.net/d/p?q{i}", html) for i, (html, _) in enumerate(LINKS)]
+    found = {}
+    for r in alias_links(spark.createDataFrame(rows, "page_id bigint, url string, html string"), dots=True).collect():
+        found.setdefault(int(r["source"].split("?q")[1]), set()).add(r["target"])
+    assert found == {i: targets for i, (_, targets) in enumerate(LINKS)}
+
+
+def test_a_block_reaches_an_alias_through_dots(spark):
+    got = {r["page_id"]: r["verdict"] for r in judge_pages(pages(spark), rules(spark), dots=True).collect()}
+    assert got == {p[0]: "block" if p[0] == 10 else p[4] for p in PAGES}
