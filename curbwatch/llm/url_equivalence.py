@@ -30,7 +30,7 @@ from html.entities import html5
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, written
 from .components import components
 
 HREF = r"""(?i)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
@@ -145,7 +145,7 @@ def placed(urls: DataFrame) -> DataFrame:
 
 def judge_pages(pages: DataFrame, rules: DataFrame, dots: bool = False) -> DataFrame:
     """(page_id, url, host, path, rule, verdict) of every page. ``rules``: host, path, verdict."""
-    links = alias_links(pages, dots)
+    links = written(alias_links(pages, dots))  # worked out once; the plans that follow stay small
     tied = components(links.select(url_node(F.col("source")).alias("a"), url_node(F.col("target")).alias("b")))
     rows = placed(pages.select("page_id", "url"))
     ends = placed(links.select(F.col("source").alias("url")).union(links.select("target")))
