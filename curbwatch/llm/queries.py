@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .byte_cnn import held_out, score_rows, train_classifier
-from .common import inline_rows, read_table
+from .common import inline_rows, read_table, written
 from .dominance_pack import pack_documents
 from .forest_search import nearest
 from .jaccard_matrix import jaccard_components
@@ -19,6 +19,7 @@ from .ring_shards import ring_shards
 from .risk_rules import judge_documents
 from .token_blocks import token_blocks
 from .url_equivalence import judge_pages
+from .vector_codes import encode_vectors, train_codebooks
 
 
 def tokenizer_path(name: str) -> str:
@@ -115,6 +116,20 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    coded = encode_vectors(vectors, train_codebooks(vectors)).drop("embedding")
+    coded = written(coded)  # assigned once, for the rows and for the sums
+    sums = coded.groupBy(F.col("label").alias("of")).agg(F.sum("error").alias("label_error"))
+    return coded.join(sums, F.col("label").eqNullSafe(F.col("of"))).select(
+        "vec_id",
+        F.lower(F.hex("code")).alias("code"),
+        "error",
+        "label_error",
+        F.col("codebooks").alias("codebooks_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_forest_search": op1_forest_search,
@@ -127,6 +142,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_cnn": op8_byte_cnn,
         "op9_risk_rules": op9_risk_rules,
         "op10_piece_codec": op10_piece_codec,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
