@@ -169,5 +169,42 @@ FROM parts LEFT JOIN fits USING (row_no)
 """
 
 
+
+def _op13_round(n: int) -> str:
+    """Round ``n``: every part's nearest entry of book ``n``, then book ``n + 1``."""
+    return f"""
+near{n} AS MATERIALIZED (
+  SELECT row_no, p, min(d * 64 + e) % 64 AS e, min(d * 64 + e) // 64 AS d
+  FROM (SELECT row_no, p, e, sum((x - y) * (x - y))::BIGINT AS d FROM cells JOIN book{n} USING (p, j) GROUP BY row_no, p, e)
+  GROUP BY row_no, p),
+book{n + 1} AS MATERIALIZED (
+  SELECT b.p, b.e, b.j, coalesce(m.y, b.y) AS y
+  FROM book{n} AS b LEFT JOIN (
+    SELECT p, e, j, floor_mean AS y FROM (
+      SELECT p, e, j, (sum(x) - ((sum(x) % count(*)) + count(*)) % count(*))::BIGINT // count(*) AS floor_mean
+      FROM cells JOIN near{n} USING (row_no, p) GROUP BY p, e, j)) AS m USING (p, e, j))"""
+
+
+OP13_SQL = f"""
+WITH kept AS (
+  SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS row_no,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cells AS MATERIALIZED (
+  SELECT row_no, (i - 1) // (len(v) // 16) AS p, (i - 1) % (len(v) // 16) AS j, v[i] AS x
+  FROM (SELECT row_no, v, unnest(range(1, len(v) + 1)) AS i FROM kept)),
+book0 AS MATERIALIZED (SELECT p, row_no AS e, j, x AS y FROM cells WHERE row_no < 64),
+{_op13_round(0)},
+{_op13_round(1)},
+{_op13_round(2)},
+coded AS (
+  SELECT row_no, string_agg(lower(printf('%02x', e)), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM near2 GROUP BY row_no),
+books AS (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM book2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (row_no), books
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_equivalence": OP7_SQL}
+    return {"op7_url_equivalence": OP7_SQL, "op13_vector_codes": OP13_SQL}
