@@ -15,6 +15,7 @@ from .forest_search import nearest
 from .jaccard_matrix import jaccard_components
 from .license_scan import NAMES, label_list, scan_licenses
 from .piece_codec import encode_documents
+from .prefix_trie import conversation_trie
 from .ring_shards import ring_shards
 from .risk_rules import judge_documents
 from .token_blocks import token_blocks
@@ -116,6 +117,12 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    heads = F.crc32(F.col("conv_id").cast("string")) % 6
+    base = F.col("conv_id") - F.col("conv_id") % 100
+    return conversation_trie(read_table(spark, sf_dir, "conversations"), heads, base)
+
+
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     coded = encode_vectors(vectors, train_codebooks(vectors)).drop("embedding")
@@ -142,6 +149,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_cnn": op8_byte_cnn,
         "op9_risk_rules": op9_risk_rules,
         "op10_piece_codec": op10_piece_codec,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_vector_codes": op13_vector_codes,
     }
 
@@ -170,6 +178,45 @@ FROM parts LEFT JOIN fits USING (row_no)
 
 
 
+# the unsigned CRC-32 of the decimal conv_id, bit by bit
+_CRC32 = """xor(4294967295::BIGINT, list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
+      lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+                                    lambda x, bit: xor(x >> 1, (x & 1) * 3988292384::BIGINT))))"""
+
+OP12_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos,
+         md5(coalesce(role, '')) || md5(coalesce(text, '')) AS t, length(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, count(*) AS n, {_CRC32} % 6 AS h, conv_id - conv_id % 100 AS base
+  FROM turns GROUP BY conv_id),
+rebuilt AS (
+  SELECT c.conv_id, b.pos, b.t, b.chars FROM convs AS c JOIN turns AS b ON b.conv_id = c.base AND b.pos <= c.h
+  UNION ALL
+  SELECT c.conv_id, o.pos - c.h + least(c.h, coalesce(b.n, 0)), o.t, o.chars
+  FROM convs AS c JOIN turns AS o USING (conv_id) LEFT JOIN convs AS b ON b.conv_id = c.base WHERE o.pos > c.h),
+members AS (
+  SELECT conv_id, pos AS depth, list(t) OVER (PARTITION BY conv_id ORDER BY pos) AS path, chars FROM rebuilt
+  UNION ALL SELECT conv_id, 0, []::VARCHAR[], 0 FROM convs),
+lengths AS (SELECT conv_id, max(depth) AS length FROM members GROUP BY conv_id),
+nodes AS MATERIALIZED (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(chars) AS chars,
+         coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = length), '') AS ends
+  FROM members JOIN lengths USING (conv_id) GROUP BY depth, path),
+families AS MATERIALIZED (
+  SELECT n.*, (SELECT count(*) FROM nodes AS c WHERE c.depth = n.depth + 1 AND c.path[:n.depth] = n.path) AS n_children,
+         (SELECT min(p.conv_id) FROM nodes AS p WHERE p.depth = n.depth - 1 AND p.path = n.path[:n.depth - 1]) AS parent_conv_id
+  FROM nodes AS n)
+SELECT n.conv_id, n.depth, n.parent_conv_id, n.n_convs, n.n_children,
+       count(*) FILTER (WHERE s.n_children = 0) AS n_leaves, sum((s.n_convs - 1) * s.chars)::BIGINT AS saved_tokens,
+       sha256(n.ends) AS ends_sha256
+FROM families AS n JOIN families AS s ON s.depth >= n.depth AND s.path[:n.depth] = n.path
+GROUP BY n.conv_id, n.depth, n.parent_conv_id, n.n_convs, n.n_children, n.ends, n.path
+"""
+
+
 def _op13_round(n: int) -> str:
     """Round ``n``: every part's nearest entry of book ``n``, then book ``n + 1``."""
     return f"""
@@ -207,4 +254,4 @@ FROM kept JOIN coded USING (row_no), books
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_equivalence": OP7_SQL, "op13_vector_codes": OP13_SQL}
+    return {"op7_url_equivalence": OP7_SQL, "op12_prefix_trie": OP12_SQL, "op13_vector_codes": OP13_SQL}
