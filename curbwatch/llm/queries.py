@@ -18,6 +18,7 @@ from .piece_codec import encode_documents
 from .prefix_trie import conversation_trie
 from .ring_shards import ring_shards
 from .risk_rules import judge_documents
+from .suffix_dedup import removed_bytes, without_repeats
 from .token_blocks import token_blocks
 from .url_equivalence import judge_pages
 from .vector_codes import encode_vectors, train_codebooks
@@ -117,6 +118,17 @@ def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = without_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    return rows.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"),
+        removed_bytes(F.col("removed")).alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = F.crc32(F.col("conv_id").cast("string")) % 6
     base = F.col("conv_id") - F.col("conv_id") % 100
@@ -149,6 +161,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_byte_cnn": op8_byte_cnn,
         "op9_risk_rules": op9_risk_rules,
         "op10_piece_codec": op10_piece_codec,
+        "op11_suffix_dedup": op11_suffix_dedup,
         "op12_prefix_trie": op12_prefix_trie,
         "op13_vector_codes": op13_vector_codes,
     }
@@ -178,6 +191,31 @@ FROM parts LEFT JOIN fits USING (row_no)
 
 
 
+# two hex digits a byte; a window is 400 of them
+OP11_SQL = """
+WITH texts AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_no, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+windows AS (
+  SELECT row_no, s, md5(x[2 * s + 1 : 2 * s + 400]) AS w
+  FROM (SELECT row_no, x, unnest(range(0, len(x) // 2 - 199)) AS s FROM texts WHERE len(x) >= 400)),
+repeats AS (SELECT row_no, s FROM (SELECT row_no, s, count(*) OVER (PARTITION BY w) AS c FROM windows) WHERE c > 1),
+runs AS (
+  SELECT row_no, min(s) AS a, max(s) + 200 AS b
+  FROM (SELECT row_no, s, sum(fresh) OVER (PARTITION BY row_no ORDER BY s) AS run
+        FROM (SELECT row_no, s, CASE WHEN s <= lag(s) OVER (PARTITION BY row_no ORDER BY s) + 200 THEN 0 ELSE 1 END AS fresh
+              FROM repeats))
+  GROUP BY row_no, run),
+gaps AS (
+  SELECT row_no, coalesce(lag(b) OVER (PARTITION BY row_no ORDER BY a), 0) AS g, a AS h, a, b FROM runs),
+cut AS (
+  SELECT row_no, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last,
+         string_agg(x[2 * g + 1 : 2 * h], '' ORDER BY a) AS front
+  FROM gaps JOIN texts USING (row_no) GROUP BY row_no)
+SELECT doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(front || x[2 * last + 1 :], x))) AS kept_sha256
+FROM texts LEFT JOIN cut USING (row_no)
+"""
+
 # the unsigned CRC-32 of the decimal conv_id, bit by bit
 _CRC32 = """xor(4294967295::BIGINT, list_reduce(
       list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ord(c)::BIGINT)),
@@ -254,4 +292,4 @@ FROM kept JOIN coded USING (row_no), books
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_equivalence": OP7_SQL, "op12_prefix_trie": OP12_SQL, "op13_vector_codes": OP13_SQL}
+    return {"op7_url_equivalence": OP7_SQL, "op11_suffix_dedup": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_vector_codes": OP13_SQL}
