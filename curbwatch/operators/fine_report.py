@@ -57,8 +57,14 @@ _partial_rows = ", ".join(
 _zero_rows = ", ".join(
     f"named_struct('section', 'fineCounts', 'raw', '{key}', 'name', '{key}', 'value', 0L)" for key, _ in FINE_METRICS
 )
-FINE_ROWS_SQL = f"""WITH per_sector AS (
-  SELECT SECTOR_NAME, {', '.join(f"{_count(code)} AS m{i}" for i, (_, code) in enumerate(FINE_METRICS))}
+_COUNTS = ", ".join(f"{_count(code)} AS m{i}" for i, (_, code) in enumerate(FINE_METRICS))
+_SUMS = ", ".join(f"sum(m{i}) AS m{i}" for i in range(len(FINE_METRICS)))
+
+
+def _rows_sql(counts: str) -> str:
+    """The report's rows; ``counts`` are the counts per raw sector."""
+    return f"""WITH per_sector AS (
+  SELECT SECTOR_NAME, {counts}
   FROM {{d}}
   GROUP BY SECTOR_NAME),
 parts AS (
@@ -68,6 +74,9 @@ parts AS (
 SELECT section, name, sum(value) AS value FROM parts GROUP BY section, raw, name"""
 
 
+FINE_ROWS_SQL = _rows_sql(_COUNTS)
+
+
 def fine_counts(source: Source) -> DataFrame:
     """Five rows ``(metric, id, value)``: total (id 0) and one per fine code.
 
@@ -95,6 +104,18 @@ def fine_report_rows(source: Source) -> DataFrame:
     return run_statement(source, FINE_ROWS_SQL)
 
 
+def fine_counts_by(source: Source, by: list[str]) -> DataFrame:
+    """The counts behind the fine report per raw sector and the columns ``by``: what ``fine_rows_from``
+    adds up, so counts of parts of a table make the report of the whole."""
+    keys = "".join(f"{name}, " for name in by)
+    return run_statement(source, f"SELECT {keys}SECTOR_NAME, {_COUNTS} FROM {{d}} GROUP BY {keys}SECTOR_NAME")
+
+
+def fine_rows_from(counts: DataFrame) -> DataFrame:
+    """``fine_report_rows`` from ``fine_counts_by``."""
+    return run_statement(counts, _rows_sql(_SUMS))
+
+
 def fine_report(source: Source) -> DataFrame:
     """The whole fine report as one row, from one scan. The row holds every
     sector in a list, since that row is the document; for tables use

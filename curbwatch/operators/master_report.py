@@ -55,29 +55,37 @@ _KIND_COUNTS = ", ".join(f"count_if({type_in(codes)}) AS k{i}" for i, codes in e
 
 # One projection level: role 1 = fine passing t, role 2 = dropped (TYPE 5
 # can never be a fine, so "dropped" alone decides role 2 and its reason key).
-PARTIALS_SQL = f"""SELECT role, sector, reason,
+PARTIALS_SQL = f"""SELECT {{by}}role, sector, reason,
        count(1) AS n,
        count_if(in_type) AS n_txn,
        count_if(in_type AND {IS_MANUAL}) AS n_manual,
        {_KIND_COUNTS}
 FROM (
-  SELECT CASE WHEN ({{type_where}}) AND {IS_FINE} THEN {ROLE_SECTOR_FINE}
+  SELECT {{by}}CASE WHEN ({{type_where}}) AND {IS_FINE} THEN {ROLE_SECTOR_FINE}
               WHEN {IS_DROPPED} THEN {ROLE_DROP} ELSE {ROLE_OTHER} END AS role,
          CASE WHEN ({{type_where}}) AND {IS_FINE} THEN SECTOR_NAME END AS sector,
          CASE WHEN {IS_DROPPED} THEN DROP_REASON END AS reason,
          ({{type_where}}) AS in_type, TYPE, PLATE_SOURCE
   FROM {{{{d}}}} AS src WHERE {{base_where}} AND {{relevant}})
-GROUP BY role, sector, reason"""
+GROUP BY {{by}}role, sector, reason"""
+
+# the same groups of counts that were made of parts of a table
+_SUMS_SQL = (
+    "SELECT role, sector, reason, "
+    + ", ".join(f"sum({c}) AS {c}" for c in ("n", "n_txn", "n_manual", *(f"k{i}" for i in range(len(KINDS)))))
+    + " FROM {d} GROUP BY role, sector, reason"
+)
 
 _TYPE_DIST_TYPE = "ARRAY<STRUCT<name: STRING, value: BIGINT>>"
 
 
-def _partials_sql(filters: Filters) -> tuple[str, dict]:
+def _partials_sql(filters: Filters, by: list[str] | None = None) -> tuple[str, dict]:
     type_entry, rest = split_type_filter(filters)
     base_where, base_args = filter_clause(rest, "b")
     type_where, type_args = filter_clause(type_entry, "t")
     relevant = "TRUE" if type_entry is None else f"(({type_where}) OR {IS_COUNTED_KIND})"
-    text = PARTIALS_SQL.format(base_where=base_where, type_where=type_where, relevant=relevant)
+    keys = "".join(f"{name}, " for name in by or ())
+    text = PARTIALS_SQL.format(base_where=base_where, type_where=type_where, relevant=relevant, by=keys)
     return text, {**base_args, **type_args}
 
 
@@ -116,10 +124,11 @@ FROM partials"""
     return text, args
 
 
-def report_rows_sql(filters: Filters) -> tuple[str, dict]:
-    """Statement text and parameters of the master report as rows."""
+def report_rows_sql(filters: Filters, counted: bool = False) -> tuple[str, dict]:
+    """Statement text and parameters of the master report as rows, over the table or (``counted``) over
+    counts of its parts."""
     kinds = emitted_kinds(filters, KINDS)
-    partials, args = _partials_sql(filters)
+    partials, args = (_SUMS_SQL, {}) if counted else _partials_sql(filters)
     counts = {name: f"k{i}" for i, name in enumerate(KINDS)}
     scalars = {
         "transactionCount": "n_txn",
@@ -158,6 +167,18 @@ def master_report_rows(source: Source, filters: Filters = None) -> DataFrame:
     return run_statement(source, text, args)
 
 
+def master_counts_by(source: Source, by: list[str], filters: Filters = None) -> DataFrame:
+    """``master_partials`` per the columns ``by`` as well: what ``master_rows_from`` adds up."""
+    text, args = _partials_sql(filters, by)
+    return run_statement(source, text, args)
+
+
+def master_rows_from(counts: DataFrame, filters: Filters = None) -> DataFrame:
+    """``master_report_rows`` from ``master_counts_by`` with the same filters."""
+    text, args = report_rows_sql(filters, counted=True)
+    return run_statement(counts, text, args)
+
+
 def master_report(source: Source, filters: Filters = None) -> DataFrame:
     """The whole master report as one row, from one scan. The row holds every
     sector and reason in lists, since that row is the document; for tables use

@@ -2,15 +2,18 @@
 
 A collection is read with ``spark.read.format(f).options(...).schema(S)``:
 ``f`` is ``mongodb`` with ``database`` / ``collection`` options in a
-document-store deployment, or any file format with a path. Reading builds a
-lazy DataFrame; each action re-reads the source, and ``refresh`` rebuilds the
-DataFrame (and its file listing) after the source changed.
+document-store deployment, or any file format with a path. The registry keeps
+how a collection is read, never a DataFrame: every ``get`` reads anew, so a
+report reflects the data at the time it is asked for. A DataFrame holds the
+files that were there when it was got, so all parts of a report that are
+computed from one ``get`` see the same rows.
 """
 
 from __future__ import annotations
 
 import logging
 import uuid
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,9 +26,11 @@ log = logging.getLogger(__name__)
 class CollectionRegistry:
     """Collections by name: any string, as in a document store.
 
-    The registry holds each collection's DataFrame under its own name, in its
-    own session. For SQL each one also has a temp view with a generated name,
-    ``view_name(name)``.
+    For SQL each one also has a temp view with a generated name,
+    ``view_name(name)``; it shows what the last ``get`` (or ``refresh``) read.
+
+    ``batches=True`` reads a path that a ``BatchSink`` writes: the committed
+    batches at the time of the ``get``, none of them half.
     """
 
     def __init__(self, spark: SparkSession, format: str = "parquet", **options: Any):
@@ -33,18 +38,32 @@ class CollectionRegistry:
         self.format = format
         self.options = options
         self._entries: dict[str, dict[str, Any]] = {}
-        self._frames: dict[str, DataFrame] = {}
-        self._watches: dict[str, StreamingQuery] = {}
+        self._watches: dict[str, tuple[StreamingQuery, Callable[[], None] | None]] = {}
 
     def _read(self, entry: dict[str, Any]) -> DataFrame:
+        if entry["batches"]:
+            from ..streaming.batches import BatchList
+
+            return BatchList(self.spark, entry["path"]).snapshot().rows(self.spark, entry["schema"], entry["format"])
         reader = self.spark.read.format(entry["format"]).options(**entry["options"]).schema(entry["schema"])
         return reader.load(entry["path"]) if entry["path"] is not None else reader.load()
 
-    def set(self, name: str, schema: StructType, path: str | None = None, format: str | None = None, **options: Any) -> DataFrame:
-        """(Re)read collection ``name`` with ``schema`` and register its view."""
+    def set(
+        self,
+        name: str,
+        schema: StructType,
+        path: str | None = None,
+        format: str | None = None,
+        batches: bool = False,
+        **options: Any,
+    ) -> DataFrame:
+        """(Re)register collection ``name`` with ``schema`` and its view, and read it."""
+        if batches and path is None:
+            raise ValueError("batches=True needs the sink's path")
         entry = {
             "schema": schema,
             "path": path,
+            "batches": batches,
             "format": format or self.format,
             "options": {**self.options, **options},
         }
@@ -57,7 +76,6 @@ class CollectionRegistry:
 
     def _hold(self, name: str, df: DataFrame) -> DataFrame:
         df.createOrReplaceTempView(self._entries[name]["view"])
-        self._frames[name] = df
         return df
 
     def view_name(self, name: str) -> str:
@@ -65,22 +83,34 @@ class CollectionRegistry:
         return self._entries[name]["view"]
 
     def add(self, name: str, schema: StructType, path: str | None = None, format: str | None = None, **options: Any) -> DataFrame:
-        """Register ``name`` unless it is already known (then: warning, no-op)."""
+        """Register ``name`` unless it is already known (then a warning, and what is known stays)."""
         if name in self._entries:
             log.warning("collection %r is already registered", name)
-            return self._frames[name]
+            return self.refresh(name)
         return self.set(name, schema, path, format, **options)
 
     def get(self, name: str) -> DataFrame | None:
-        """The collection's DataFrame, or ``None`` (with a warning) if unknown."""
+        """The collection as it is now (new file listing), or ``None`` (with a warning) if unknown. Take one
+        per report: its parts then agree."""
         if name not in self._entries:
             log.warning("collection %r is not registered", name)
             return None
-        return self._frames[name]
+        return self.refresh(name)
 
     def schema(self, name: str) -> StructType:
         return self._entries[name]["schema"]
 
+    def roots(self, name: str) -> list[str]:
+        """The folders that hold the collection's files now: its path, or those of its committed batches."""
+        entry = self._entries[name]
+        if entry["path"] is None:
+            raise ValueError(f"collection {name!r} is no folder of files")
+        if entry["batches"]:
+            from ..streaming.batches import BatchList
+
+            return BatchList(self.spark, entry["path"]).snapshot().folders()
+        return [entry["path"]]
+
     def names(self) -> list[str]:
         return list(self._entries)
 
@@ -95,7 +125,6 @@ class CollectionRegistry:
             log.warning("collection %r is not registered", name)
             return False
         self.stop_watch(name)
-        del self._frames[name]
         self.spark.catalog.dropTempView(self._entries.pop(name)["view"])
         return True
 
@@ -108,17 +137,24 @@ class CollectionRegistry:
 
         return watch_collection(self, name, changes, checkpoint_location, **kwargs)
 
-    def attach_watch(self, name: str, query: StreamingQuery) -> None:
-        """Remember the refresh query of ``name`` so ``remove``/``stop_all`` stop it."""
+    def attach_watch(self, name: str, query: StreamingQuery, drain: Callable[[], None] | None = None) -> None:
+        """Remember the refresh query of ``name`` so ``remove``/``stop_all`` stop it; ``drain`` ends it
+        after the batch it is at."""
         self.stop_watch(name)
-        self._watches[name] = query
-
-    def stop_watch(self, name: str) -> None:
-        query = self._watches.pop(name, None)
-        if query is not None and query.isActive:
+        self._watches[name] = (query, drain)
+
+    def stop_watch(self, name: str, drain: bool = False) -> None:
+        """Stop the watch of ``name``: at once (a running batch is cancelled, and done again by the next watch
+        with its checkpoint), or with ``drain`` between two batches."""
+        query, end = self._watches.pop(name, (None, None))
+        if query is None or not query.isActive:
+            return
+        if drain and end is not None:
+            end()
+        else:
             query.stop()
 
-    def stop_all(self) -> None:
+    def stop_all(self, drain: bool = False) -> None:
         """Stop every watch (collections stay registered)."""
         for name in list(self._watches):
-            self.stop_watch(name)
+            self.stop_watch(name, drain)

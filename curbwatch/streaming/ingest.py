@@ -9,10 +9,12 @@ The pipeline is stateless (one output row per message). Unlike a bare
   checkpoint) and ``batch_id``: a path sink overwrites its
   ``query=<id>/batch_id=<n>`` folder, so a batch retried after a failure
   replaces its own output instead of appending it twice, and batches of
-  another checkpoint never meet it. A connector sink (no path) can keep a
-  commit log in a shared folder, so a batch already written is skipped on
-  replay, and can upsert on ``message_id`` (Kafka coordinates) so a batch that
-  died between write and log entry replaces its own rows.
+  another checkpoint never meet it. Whole batches are entered in the sink's
+  list (``batches``), which its readers go by. A connector sink (no path) can
+  keep a log in a shared folder: an entry of intent before a batch is written
+  and one of commit after. A batch already written is skipped on replay; one
+  with intent alone is *settled*: what the collection holds of it is read
+  back, and only the rows that are missing are appended.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..schema import STREAM_SCHEMA
+from ..sources.shared_files import SharedFiles
+from .batches import BatchList
 
 CORRUPT_COLUMN = "_corrupt_record"
 MESSAGE_ID_COLUMN = "message_id"
@@ -131,16 +135,18 @@ class BatchSink:
     """A ``foreachBatch`` callback that writes each micro-batch once.
 
     With ``path``: each batch is written to ``{path}/query=<id>/batch_id=<n>``
-    with overwrite, so a replayed batch replaces its earlier attempt; reading
-    ``path`` back yields the partition columns ``query`` and ``batch_id``
-    (``sink_rows`` leaves them out).
+    with overwrite, so a replayed batch replaces its earlier attempt, and then
+    entered in the sink's list of batches; one that is listed is skipped.
+    ``sink_rows`` reads what is listed.
 
     Without ``path`` (a connector addressed by ``options``, e.g.
     ``{"database": ..., "collection": ...}``) rows are appended with the
-    columns ``query_id`` and ``batch_id``. Give ``commit_log`` (a folder in
-    shared storage) to skip batches already written; pair it with the
-    connector's upsert options on ``message_id`` to cover a batch that died
-    between its write and its log entry.
+    columns ``query_id`` and ``batch_id``. With ``commit_log`` (a folder in
+    shared storage) each batch is written once: the log tells of the intent
+    before and of the commit after. A batch found with intent but without
+    commit died in between; its rows are looked up in the collection by
+    those two columns and the missing ones, counted with repeats, are
+    appended. Needs a connector that can read what it wrote, but no upsert.
     """
 
     def __init__(
@@ -156,37 +162,50 @@ class BatchSink:
         self.commit_log = commit_log.rstrip("/") if commit_log else None
         self.options = dict(options or {})
 
-    def _committed(self, spark: SparkSession, entry: str) -> bool:
-        """Whether the log holds ``entry`` (one small read of that entry only,
-        however long the log)."""
-        try:
-            return not spark.read.text(f"{self.commit_log}/{entry}").isEmpty()
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise
-            return False
-
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         key = run_key(spark)
         if self.path is not None:
-            folder = f"{self.path}/query={key}/batch_id={batch_id}"
-            write_collection(batch, self.format, folder, "overwrite", self.options)
-            return
-        entry = f"{key}/{batch_id}"
-        if self.commit_log is not None and self._committed(spark, entry):
+            batches, folder = BatchList(spark, self.path), f"query={key}/batch_id={batch_id}"
+            if not batches.committed(key, batch_id):
+                write_collection(batch, self.format, f"{self.path}/{folder}", "overwrite", self.options)
+                batches.commit(key, batch_id, folder)
             return
         rows = batch.withColumns({"query_id": F.lit(key), "batch_id": F.lit(batch_id)})
+        if self.commit_log is None:
+            write_collection(rows, self.format, None, "append", self.options)
+            return
+        files, entry = SharedFiles(spark), f"{self.commit_log}/{key}/{batch_id}"
+        if files.exists(f"{entry}.commit"):
+            return
+        if not files.create(f"{entry}.intent", ""):
+            rows = self._missing(rows, key, batch_id)
         write_collection(rows, self.format, None, "append", self.options)
-        if self.commit_log is not None:
-            spark.range(1).select(F.lit(entry).alias("value")).coalesce(1).write.mode("overwrite").text(
-                f"{self.commit_log}/{entry}"
-            )
-
+        files.create(f"{entry}.commit", "")
 
-def sink_rows(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
-    """All rows of a path sink, without the columns that key its folders."""
-    return spark.read.format(format).load(path).drop("query", "batch_id")
+    def _missing(self, rows: DataFrame, key: str, batch_id: int) -> DataFrame:
+        """The rows of a batch that the collection does not hold yet."""
+        reader = rows.sparkSession.read.format(self.format).options(**self.options).schema(rows.schema)
+        try:
+            stored = reader.load()
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return rows  # nothing was ever written
+        own = stored.where((F.col("query_id") == key) & (F.col("batch_id") == batch_id))
+        return rows.exceptAll(own.select(rows.columns))
+
+
+def sink_rows(spark: SparkSession, path: str, format: str = "parquet", schema: StructType | None = None) -> DataFrame:
+    """All rows of the listed batches of a path sink (one snapshot), without the columns that key its folders.
+    ``schema`` is that of the rows; without it, it is taken from the files."""
+    batches = BatchList(spark, path)
+    if not batches.there():  # written before sinks kept a list
+        return spark.read.format(format).load(path).drop("query", "batch_id")
+    seen = batches.snapshot()
+    if schema is None:
+        return spark.read.format(format).load(seen.folders())
+    return seen.rows(spark, schema, format)
 
 
 def _quarantine_router(sink: Callable, quarantine: Callable, fields: list[str]) -> Callable:
