@@ -1,17 +1,21 @@
 from .documents import fine_report_document, fine_report_response, master_report_document
 from .fine_report import (
     fine_counts,
+    fine_counts_by,
     fine_counts_from_report,
     fine_counts_from_rows,
     fine_report,
     fine_report_rows,
+    fine_rows_from,
     sector_counts,
 )
 from .master_report import (
     explode_distribution,
+    master_counts_by,
     master_partials,
     master_report,
     master_report_rows,
+    master_rows_from,
     master_scalars,
     section_rows,
 )
@@ -30,17 +34,21 @@ __all__ = [
     "drop_reason_distribution",
     "explode_distribution",
     "fine_counts",
+    "fine_counts_by",
     "fine_counts_from_report",
     "fine_counts_from_rows",
     "fine_report",
     "fine_report_document",
     "fine_report_response",
     "fine_report_rows",
+    "fine_rows_from",
     "manual_review_count",
+    "master_counts_by",
     "master_partials",
     "master_report",
     "master_report_document",
     "master_report_rows",
+    "master_rows_from",
     "master_scalars",
     "sector_counts",
     "section_rows",
