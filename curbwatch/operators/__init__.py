@@ -1,4 +1,12 @@
-from .documents import fine_report_document, fine_report_response, master_report_document
+from .documents import (
+    fine_document_fragments,
+    fine_report_document,
+    fine_report_response,
+    master_document_fragments,
+    master_report_document,
+    save_document,
+    saved_document,
+)
 from .fine_report import (
     fine_counts,
     fine_counts_by,
@@ -33,6 +41,7 @@ __all__ = [
     "KINDS",
     "drop_reason_distribution",
     "explode_distribution",
+    "fine_document_fragments",
     "fine_counts",
     "fine_counts_by",
     "fine_counts_from_report",
@@ -44,12 +53,15 @@ __all__ = [
     "fine_rows_from",
     "manual_review_count",
     "master_counts_by",
+    "master_document_fragments",
     "master_partials",
     "master_report",
     "master_report_document",
     "master_report_rows",
     "master_rows_from",
     "master_scalars",
+    "save_document",
+    "saved_document",
     "sector_counts",
     "section_rows",
     "sector_fine_distribution",

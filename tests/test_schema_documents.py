@@ -91,3 +91,45 @@ def test_fine_report_response_validates_and_ignores_parameters(edge):
     assert narrowed.collect()[0]["document"] == plain
     with pytest.raises(ValueError):
         fine_report_response(edge, sector_name="No")
+
+
+def _joined(spark, fragments, name):
+    import glob
+
+    from curbwatch.operators import save_document, saved_document
+    from curbwatch.session import shared_dir
+
+    path = shared_dir(spark, name)
+    save_document(fragments, path)
+    text = "".join(open(f).read() for f in sorted(glob.glob(f"{path}/part-*")))
+    assert saved_document(spark, path).first()["document"] == text
+    return text, len(glob.glob(f"{path}/part-*"))
+
+
+def test_saved_documents_are_byte_equal(spark, edge):
+    from curbwatch.operators import fine_document_fragments, fine_report_rows, master_document_fragments, master_report_rows
+
+    filters = [None, {"TYPE": {"$in": [6]}}, {"TYPE": {"$in": []}}, {"SECTOR_NAME": "North"}, {"TYPE": 5}]
+    odd = edge.selectExpr("* EXCEPT (SECTOR_NAME)", "concat(SECTOR_NAME, '}\"\n,{') AS SECTOR_NAME")
+    for source in (edge, odd, edge.where("false")):
+        text, _ = _joined(spark, fine_document_fragments(fine_report_rows(source)), "test_saved_fine")
+        assert text == fine_report_document(source).first()["document"]
+        for f in filters:
+            text, _ = _joined(spark, master_document_fragments(master_report_rows(source, f), f), "test_saved_master")
+            assert text == master_report_document(source, f).first()["document"]
+
+
+def test_a_long_document_is_many_files(spark):
+    from curbwatch.operators import fine_document_fragments, fine_report_rows
+    from curbwatch.schema import DETECTIONS_SCHEMA
+    from curbwatch.sources.detections import conform
+
+    rows = spark.range(0, 6000, 1, 4).selectExpr("concat('S', id % 2000) AS SECTOR_NAME", "CAST(id % 2 AS INT) AS FINE_TYPE")
+    source = conform(rows, DETECTIONS_SCHEMA)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        text, files = _joined(spark, fine_document_fragments(fine_report_rows(source)), "test_long")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert files > 2
+    assert text == fine_report_document(source).first()["document"]
