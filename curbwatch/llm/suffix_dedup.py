@@ -147,7 +147,7 @@ def sorted_suffixes(text: np.ndarray, n: int, starts: np.ndarray) -> Iterator[np
 def sorted_bucket(text: np.ndarray, n: int, places: np.ndarray, ranks: CoverRanks) -> np.ndarray:
     first, second = words_at(text, places), words_at(text, places + 8)
     left = np.minimum(n - places, 16)
-    order = np.lexsort((left, second, first))
+    order = np.lexsort((left, second, first) if left.min() < 16 else (second, first))
     places, first, second, left = places[order], first[order], second[order], left[order]
     new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1]) | (left[1:] != left[:-1])])
     group = np.cumsum(new) - 1
@@ -165,21 +165,23 @@ def untied(places: np.ndarray, group: np.ndarray, ranks: CoverRanks) -> np.ndarr
     are merged by the ranks of the cover places that they have in common; a
     place's position is the sum of its positions in all those lists."""
     top = np.int64(len(ranks.rank) + 1)
-    lists = {}
-    for r in np.unique(places % PERIOD).tolist():
-        own = np.flatnonzero(places % PERIOD == r)
-        keys = group[own] * top + ranks.at(places[own] + STEP[r, r])
-        lists[r] = own[np.argsort(keys, kind="stable")]
+    residue = places % PERIOD
+    lists, keys = {}, {}
+    for r in np.unique(residue).tolist():
+        own = np.flatnonzero(residue == r)
+        step = int(STEP[r, r])
+        own = own[np.argsort(group[own] * top + ranks.at(places[own] + step), kind="stable")]
+        lists[r] = places[own]
+        for step in {int(d) for d in STEP[r]}:  # as many as the cover has places
+            keys[r, step] = group[own] * top + ranks.at(places[own] + step)
     out = np.empty_like(places)
     for r, own in lists.items():
         position = np.arange(len(own))
-        for other, them in lists.items():
+        for other in lists:
             if other != r:
-                step = STEP[r, other]
-                mine = group[own] * top + ranks.at(places[own] + step)
-                theirs = group[them] * top + ranks.at(places[them] + step)
-                position = position + np.searchsorted(theirs, mine)
-        out[position] = places[own]
+                step = int(STEP[r, other])
+                position += np.searchsorted(keys[other, step], keys[r, step])
+        out[position] = own
     return out
 
 
@@ -192,8 +194,9 @@ def repeated_windows(text: np.ndarray, starts: np.ndarray, length: int) -> np.nd
     for bucket in sorted_suffixes(text, n, starts):
         run = np.concatenate([last, bucket])
         a, b = run[:-1], run[1:]
-        for at in [*range(0, length - 7, 8), length - 8]:
-            same = words_at(text, a + at) == words_at(text, b + at)
+        for at, size in [(0, 8), *((i, min(64, length - i)) for i in range(8, length, 64))]:
+            views = np.lib.stride_tricks.sliding_window_view(text, size)
+            same = (views[a + at] == views[b + at]).all(axis=1)
             a, b = a[same], b[same]
         hit[a] = hit[b] = True
         last = run[-1:]
@@ -222,7 +225,7 @@ class PieceFinder:
         return mixed((sums[k:] - sums[:-k]) * inverses[: len(sums) - k])
 
     def cells(self, text: np.ndarray) -> np.ndarray:
-        return (self.grams(*self.sums(text)) >> U(64 - CELL_BITS)).astype(np.int64)
+        return (self.grams(*self.sums(text)) >> U(64 - CELL_BITS)).view(np.int64)
 
     def pieces(self, text: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, ...]:
         """(least k-gram, hash, start, windows, whether the k-gram occurs several times in it) of the runs
@@ -230,7 +233,7 @@ class PieceFinder:
         sums, inverses = self.sums(text)
         order = self.grams(sums, inverses)
         if self.levels is not None:
-            order = order >> U(8) | self.levels[(order >> U(64 - CELL_BITS)).astype(np.int64)].astype(U) << U(56)
+            order = order >> U(8) | self.levels[(order >> U(64 - CELL_BITS)).view(np.int64)].astype(U) << U(56)
         width = self.length - self.gram + 1
         least = sliding_least(order, width)  # one per window
         change = np.concatenate([[True], (least[1:] != least[:-1]) | ~valid[:-1]])
@@ -240,10 +243,18 @@ class PieceFinder:
         end = np.flatnonzero(valid & np.concatenate([change[1:] | ~valid[1:], [True]])) + 1
         m, n = least[start], end - start
         whole = mixed((sums[end + self.length - 1] - sums[start]) * inverses[start])
-        grams = n + width - 1
-        first = np.cumsum(grams) - grams
-        at = np.repeat(start - first, grams) + np.arange(first[-1] + grams[-1])
-        several = np.add.reduceat(order[at] == np.repeat(m, grams), first) > 1
+        # whether a run holds its k-gram twice: looked up in the few runs whose k-gram the strip holds twice
+        marks = np.zeros(1 << 20, bool)
+        marks[(m & U(len(marks) - 1)).view(np.int64)] = True
+        found = np.sort(order[marks[(order & U(len(marks) - 1)).view(np.int64)]])
+        twice = found[1:][found[1:] == found[:-1]]
+        several = np.zeros(len(m), bool)
+        doubt = np.flatnonzero(np.isin(m, twice))
+        if len(doubt):
+            grams = n[doubt] + width - 1
+            first = np.cumsum(grams) - grams
+            at = np.repeat(start[doubt] - first, grams) + np.arange(first[-1] + grams[-1])
+            several[doubt] = np.add.reduceat(order[at] == np.repeat(m[doubt], grams), first, dtype=np.int64) > 1
         return m.view(np.int64), mixed(whole ^ n.astype(U)).view(np.int64), start, n, several
 
 
@@ -300,7 +311,7 @@ def gram_levels(docs: DataFrame, length: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_worker_tables()
-        finder, counts, seen = PieceFinder(length), np.zeros(1 << CELL_BITS, np.int64), set()
+        finder, counts, seen, held = PieceFinder(length), np.zeros(1 << CELL_BITS, np.int64), set(), []
         for batch in batches:
             texts = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -308,7 +319,12 @@ def gram_levels(docs: DataFrame, length: int) -> np.ndarray:
                     seen.add(key)
                     texts.append(text.as_py())
             for text, *_ in strips(texts, length):
-                counts += np.bincount(finder.cells(text), minlength=len(counts))
+                held.append(finder.cells(text))
+                if len(held) == 8:  # the table is larger than a strip
+                    counts += np.bincount(np.concatenate(held), minlength=len(counts))
+                    held = []
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=len(counts))
         if counts.any():
             small = np.minimum(counts, 255).astype(np.uint8).reshape(-1, 1 << BLOCK_BITS)
             found = [pa.array(range(len(small)), pa.int32()), pa.array([x.tobytes() for x in small], pa.binary())]
@@ -469,29 +485,33 @@ def without_repeats(docs: DataFrame, length: int = 200, group_bytes: int = GROUP
     ship_package(docs.sparkSession)
     spans = repeated_spans(docs.select("doc_id", "text"), length, group_bytes)
     spans = written(spans.groupBy("text_key").agg(F.collect_set(F.struct("start", "n")).alias("spans")))
-    removed, kept, raw, key, found = free_names(docs.columns, "removed", "kept", "raw", "text_key", "spans")
+    removed, kept, key, found = free_names(docs.columns, "removed", "kept", "text_key", "spans")
     size = F.octet_length("text")
-    rows = docs.withColumn(raw, F.coalesce(F.col("text").cast("binary"), F.lit(b"")))
     none = F.expr("CAST(array() AS ARRAY<STRUCT<begin: BIGINT, end: BIGINT>>)")
-    short = rows.where((size < length) | size.isNull()).withColumns({removed: none, kept: F.col(raw)}).drop(raw)
-    rows = rows.where(size >= length).withColumn(key, F.unhex(F.md5(raw)))
+    whole = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    short = docs.where((size < length) | size.isNull()).withColumns({removed: none, kept: whole})
+    rows = docs.where(size >= length).withColumn(key, F.unhex(F.md5(F.col("text").cast("binary"))))
     rows = rows.join(spans.select(F.col("text_key").alias(key), F.col("spans").alias(found)), key, "left").drop(key)
-    clean = rows.where(F.col(found).isNull()).withColumns({removed: none, kept: F.col(raw)}).drop(raw, found)
-    return short.union(clean).union(_taken_out(rows.where(F.col(found).isNotNull()), docs, length, [raw, found, removed, kept]))
+    return short.union(_taken_out(rows, docs, length, [found, removed, kept]))
 
 
 def _taken_out(rows: DataFrame, docs: DataFrame, length: int, names: list[str]) -> DataFrame:
-    raw, found, removed, kept = names
+    found, removed, kept = names
     columns = docs.columns
     span = StructType([StructField("begin", LongType()), StructField("end", LongType())])
     schema = StructType([*docs.schema.fields, StructField(removed, ArrayType(span)), StructField(kept, BinaryType())])
+    at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_worker_tables()
         for batch in batches:
             runs, left = [], []
-            for text, spans in zip(batch.column(len(columns)), batch.column(len(columns) + 1)):
-                text, spans = text.as_py(), spans.as_py()
+            for text, spans in zip(batch.column(at), batch.column(len(columns))):
+                text, spans = text.as_py().encode(), spans.as_py()
+                if spans is None:
+                    left.append(text)
+                    runs.append([])
+                    continue
                 merged = merge(np.array([(s["start"], s["n"]) for s in spans], np.int64), length)
                 edges = [0, *merged.ravel().tolist(), len(text)]
                 left.append(b"".join(text[a:b] for a, b in zip(edges[::2], edges[1::2])))
@@ -500,7 +520,7 @@ def _taken_out(rows: DataFrame, docs: DataFrame, length: int, names: list[str])
             more = [pa.array(runs, kind), pa.array(left, pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(columns)], *more], [*columns, removed, kept])
 
-    return rows.select(*columns, raw, found).mapInArrow(run, schema)
+    return rows.select(*columns, found).mapInArrow(run, schema)
 
 
 def merge(spans: np.ndarray, length: int) -> np.ndarray:
