@@ -88,9 +88,9 @@ class CoverRanks:
         cells = np.flatnonzero(inside)
         # first by 16 bytes, then by the rank of the suffix one, two, four ... periods on
         first, second = words_at(text, places), words_at(text, places + 8)
-        # the end of the text comes before a zero byte: how much of the 16 bytes is there
+        # the end of the text comes before a zero byte: how much of the 16 bytes is there, if there are such bytes
         left = np.minimum(n - places, 16)
-        order = np.lexsort((left, second, first))
+        order = np.lexsort((second, first) if text[:n].all() else (left, second, first))
         a, b, c = first[order], second[order], left[order]
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1])])
         starts = np.flatnonzero(new)
