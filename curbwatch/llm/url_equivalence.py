@@ -17,7 +17,8 @@ Defined cases: a null URL, or one without ``://``, has an empty host and path,
 no rule and no aliases, and is allowed; null html has no links; a link that
 leads nowhere (``javascript:``, ``mailto:``, empty) is ignored; every canonical
 link and refresh of a page counts, with its character references decoded; dot
-segments of links are resolved with ``dots`` only (the query asks for it); repeated pages
+segments of links are resolved with ``dots`` only (the query asks for it); a tag that holds a bracket in an
+attribute ends there; addresses and tags may have any length; repeated pages
 are judged each on its own; of rules of equal length the larger string wins,
 of the same rule given twice with both verdicts the block.
 """
@@ -25,20 +26,32 @@ of the same rule given twice with both verdicts the block.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import ascii_lower, inline_rows, written
 from .components import components
 
-HREF = r"""(?i)<link\b(?=[^>]*\brel\s*=\s*["']?canonical\b)[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
-REFRESH = r"""(?i)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*["']?refresh\b)[^>]*?\burl\s*=\s*["']?((?:&#?[a-z0-9]+;|[^"'\s>;])+)"""
+# A tag is taken first and its attributes one at a time. Patterns repeat single character classes only: those
+# are loops, while a repeated group recurses for each round. A tag ends at the next bracket of either kind, so
+# tags that are never closed are passed over once.
+TAG = r"(?i)<(?:link|meta)\b[^<>]*>"
+CANONICAL = r"""(?i)^<link\b[^<>]*\brel\s*=\s*["']?canonical\b"""
+REFRESH = r"""(?i)^<meta\b[^<>]*\bhttp-equiv\s*=\s*["']?refresh\b"""
+HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
+REFRESH_URL = r"""(?i)\burl\s*=\s*["']?([^"'\s>]+)"""
 # a character reference as attributes may hold it, else a run without one
 PIECE = r"(?i)&#x[0-9a-f]+;?|&#[0-9]+;?|&[a-z][a-z0-9]*;|&[a-z][a-z0-9]*(?![a-z0-9=])|&|[^&]+"
 
 
+def bound(value: Column, step: Callable[[Column], Column]) -> Column:
+    """``step`` of ``value``, worked out once however often the step names it."""
+    return F.element_at(F.transform(F.array(value), step), 1)
+
+
 def url_host(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; else empty."""
     return ascii_lower(F.coalesce(F.regexp_extract(url, r"^[\s\S]*?://([^/?#]*)", 1), F.lit("")))
@@ -55,25 +68,46 @@ def url_node(url: Column) -> Column:
     return F.when(url.contains("://"), F.concat(url_host(url), url_path(url), query))
 
 
-def unescaped(link: Column) -> Column:
-    """``link`` with its character references decoded."""
-    named = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+def unescaped(links: DataFrame) -> DataFrame:
+    """(link, text) of the distinct ``link``s: text has the character references decoded. The names of
+    references are a small table that the pieces are joined with; links without any are left alone."""
+    names = json.dumps([{"name": k, "char": v} for k, v in html5.items()])
+    names = inline_rows(links.sparkSession, names, "name: string, char: string")
+    links = links.select("link").distinct()
+    pieces = links.where(F.contains("link", F.lit("&")))
+    pieces = pieces.select("link", F.posexplode(F.regexp_extract_all("link", F.lit(PIECE), F.lit(0))).alias("at", "piece"))
+    piece = F.col("piece")
 
-    def decoded(piece: Column) -> Column:
-        digits = F.regexp_extract(piece, r"^&#[xX]?0*([0-9A-Fa-f]+);?$", 1)
+    def char(digits: Column) -> Column:
         code = F.when(piece.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("decimal(38,0)")
         valid = (F.length(digits) < 9) & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
         # an impossible code point is asked for as U+FFFD, so that decode never fails
         point = F.when(valid, code).otherwise(0xFFFD).cast("bigint")
-        char = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
-        return (
-            F.when(piece.rlike(r"^&#[xX]?[0-9A-Fa-f]"), char)
-            .when(piece.startswith("&"), F.coalesce(F.element_at(named, F.substring(piece, 2, 64)), piece))
-            .otherwise(piece)
-        )
+        return F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+
+    digits = F.regexp_extract(piece, r"^&#[xX]?0*([0-9A-Fa-f]*);?$", 1)
+    digits = F.when(F.length(digits) < 9, digits).otherwise("99999999")  # too long for any character
+    digits = F.when(digits == "", "0").otherwise(digits)
+    number = F.when(piece.rlike(r"^&#[xX]?[0-9A-Fa-f]"), bound(digits, char))
+    pieces = pieces.withColumns({"number": number, "name": F.when(piece.startswith("&"), F.substring(piece, 2, 64))})
+    pieces = pieces.join(F.broadcast(names), "name", "left")  # the 2,231 names of HTML
+    text = F.coalesce("number", "char", "piece").alias("text")
+    rows = pieces.select("link", "at", text).groupBy("link").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("t"))
+    decoded = rows.select("link", F.array_join(F.transform("t", lambda x: x["text"]), "").alias("text"))
+    return decoded.union(links.where(~F.contains("link", F.lit("&"))).select("link", F.col("link").alias("text")))
+
 
-    pieces = F.transform(F.regexp_extract_all(link, F.lit(PIECE), F.lit(0)), decoded)
-    return F.when(link.contains("&"), F.array_join(pieces, "")).otherwise(link)
+def before_semicolon(link: Column) -> Column:
+    """Up to the first ``;`` that ends no character reference."""
+
+    def cut(pieces: Column) -> Column:
+        ends = F.transform(pieces, lambda p: ~p.startswith("&") & p.contains(";"))
+        whole = F.array_position(ends, F.lit(True)).cast("int") - 1  # pieces before the cut one; -1: none is cut
+        last = F.substring_index(F.get(pieces, whole), ";", 1)
+        return F.when(whole < 0, link).otherwise(F.concat(F.array_join(F.slice(pieces, 1, F.greatest(whole, F.lit(0))), ""), last))
+
+    pieces = F.regexp_extract_all(link, F.lit(PIECE), F.lit(0))
+    return F.when(link.contains(";"), bound(pieces, cut)).otherwise(link)
 
 
 def without_dots(url: Column) -> Column:
@@ -107,14 +141,20 @@ def absolute(link: Column, base: Column) -> Column:
 
 def alias_links(pages: DataFrame, dots: bool = False) -> DataFrame:
     """(source, target) addresses that a page declares to be its own other names."""
-    html, url = F.col("html"), F.col("url")
-    found = F.concat(*(F.regexp_extract_all(html, F.lit(tag), F.lit(1)) for tag in (HREF, REFRESH)))
-    links = pages.where(url.contains("://")).select("url", F.explode(found).alias("link")).where("link != ''").distinct()
-    links = links.select("url", unescaped(F.col("link")).alias("link"))
-    links = links.select(url.alias("source"), absolute(F.col("link"), url).alias("target"))
-    if dots:
-        links = links.withColumn("target", without_dots(F.col("target")))
-    return links.where(F.col("target").isNotNull()).distinct()
+    tags = F.explode(F.regexp_extract_all("html", F.lit(TAG), F.lit(0))).alias("tag")
+    tags = pages.where(F.contains("url", F.lit("://"))).select("url", tags)
+    tag = F.col("tag")
+    link = F.when(tag.rlike(CANONICAL), F.regexp_extract(tag, HREF, 1)).when(
+        tag.rlike(REFRESH), bound(F.regexp_extract(tag, REFRESH_URL, 1), before_semicolon)
+    )
+    links = written(tags.select("url", link.alias("link")).where("link != ''").distinct())
+    links = links.join(unescaped(links), "link").select("url", "text")
+
+    def target(url: Column) -> Column:
+        found = absolute(F.col("text"), url)
+        return bound(found, without_dots) if dots else found
+
+    return links.select(F.col("url").alias("source"), target(F.col("url")).alias("target")).where("target is not null").distinct()
 
 
 def rule_of(places: DataFrame, rules: DataFrame) -> DataFrame:
