@@ -23,12 +23,16 @@ from curbwatch.operators import (  # noqa: E402
     drop_reason_distribution,
     fine_counts,
     fine_counts_from_rows,
+    fine_document_fragments,
     fine_report_document,
     fine_report_rows,
     manual_review_count,
+    master_document_fragments,
     master_report_document,
     master_report_rows,
     master_scalars,
+    save_document,
+    saved_document,
     section_rows,
     sector_counts,
     sector_fine_distribution,
@@ -47,9 +51,15 @@ from curbwatch.sources import (
     load_full_detections,
 )
 from curbwatch.streaming.replay import (
+    collection_lookup_fresh,
+    refresh_incremental,
+    refresh_keyed,
     refresh_on_change,
+    reports_one_snapshot,
     stream_decode,
     stream_ingest,
+    stream_ingest_compacted,
+    stream_ingest_settled,
     stream_ingest_two_feeds,
     stream_ingest_two_feeds_log,
 )
@@ -127,6 +137,23 @@ def _master_part(filters, section, name_type="string") -> Callable[[SparkSession
     )
 
 
+def _fine_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fine report's document written as sorted fragments, and read back whole."""
+    path = shared_dir(spark, "fine_document")
+    save_document(fine_document_fragments(fine_report_rows(_detections(spark, sf_dir))), path)
+    return saved_document(spark, path)
+
+
+def _master_saved(filters) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = shared_dir(spark, "master_document")
+        rows = master_report_rows(_detections(spark, sf_dir), filters)
+        save_document(master_document_fragments(rows, filters), path)
+        return saved_document(spark, path)
+
+    return run
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: _with_checkpoints(query) for name, query in (_report_queries() | _corpus_queries()).items()}
 
@@ -194,8 +221,19 @@ def _report_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_ingest": stream_ingest,
         "stream_ingest_two_feeds": stream_ingest_two_feeds,
         "stream_ingest_two_feeds_log": stream_ingest_two_feeds_log,
-        # Recompute the report when the change feed says the data changed
+        "stream_ingest_settled": stream_ingest_settled,
+        "stream_ingest_compacted": stream_ingest_compacted,
+        # A lookup shows the data of its time; both reports see one snapshot of a batch sink
+        "collection_lookup_fresh": collection_lookup_fresh,
+        "reports_one_snapshot": reports_one_snapshot,
+        # Recompute the report when the change feed says the data changed
         "refresh_on_change": refresh_on_change,
+        "refresh_incremental": refresh_incremental,
+        "refresh_keyed": refresh_keyed,
+        # Documents of any size as sorted fragments
+        "fine_report_document_saved": _fine_saved,
+        "master_report_document_saved": _master_saved(None),
+        "master_report_document_saved_filtered": _master_saved(F_SECTOR_PAID_FINE),
     }
 
 
@@ -349,6 +387,42 @@ def _refresh_sql() -> str:
     return _CTE + "\nUNION ALL ".join(runs)
 
 
+def _lookup_sql() -> str:
+    """The counts before and after the odd detections are there."""
+    counted = _fine_counts_sql().removeprefix(_CTE)
+    even = counted.replace("FROM detections", "FROM (SELECT * FROM detections WHERE CAST(ID AS BIGINT) % 2 = 0)")
+    return _CTE + f"SELECT 1 AS step, * FROM ({even})\nUNION ALL SELECT 2, * FROM ({counted})"
+
+
+def _snapshot_sql() -> str:
+    """Both reports over the even detections, and over all."""
+    parts = []
+    for step, where in ((1, "CAST(ID AS BIGINT) % 2 = 0"), (2, "true")):
+        for report, rows in (("fine", _fine_rows_sql()), ("master", _master_rows_sql())):
+            rows = rows.removeprefix(_CTE).replace("FROM detections", f"FROM (SELECT * FROM detections WHERE {where})")
+            parts.append(f"SELECT {step} AS step, '{report}' AS report, * FROM ({rows})")
+    return _CTE + "\nUNION ALL ".join(parts)
+
+
+def _incremental_sql() -> str:
+    """The fine report after each change of the parts (by ID % 4)."""
+    rows = _fine_rows_sql().removeprefix(_CTE)
+    part = "SELECT SECTOR_NAME, FINE_TYPE FROM detections WHERE CAST(ID AS BIGINT) % 4 = "
+    updated = "SELECT SECTOR_NAME, 88 AS FINE_TYPE FROM detections WHERE CAST(ID AS BIGINT) % 4 = 1"
+    after = [(part + "0", part + "1"), (part + "0", updated), (part + "2", updated), (part + "2",), (part + "2", part + "3")]
+    runs = []
+    for i, parts in enumerate(after):
+        table = f"FROM ({' UNION ALL '.join(parts)})"
+        runs.append(f"SELECT CAST({i + 1} AS INTEGER) AS sequence, * FROM ({rows.replace('FROM detections', table)})")
+    return _CTE + "\nUNION ALL ".join(runs)
+
+
+def _keyed_sql() -> str:
+    counted = _fine_counts_sql().removeprefix(_CTE)
+    first = counted.replace("FROM detections", "FROM (SELECT * FROM detections WHERE CAST(ID AS BIGINT) % 3 = 0)")
+    return _CTE + f"SELECT CAST(1 AS INTEGER) AS sequence, * FROM ({first})\nUNION ALL SELECT CAST(3 AS INTEGER), * FROM ({counted})"
+
+
 def _fine_rows_sql() -> str:
     counts, sectors = (x.removeprefix(_CTE) for x in (_fine_counts_sql(), _SECTORS_SQL))
     return (
@@ -456,7 +530,18 @@ def _report_sql() -> dict[str, str]:
         "stream_ingest": _PAYLOAD_SQL,
         "stream_ingest_two_feeds": _PAYLOAD_SQL,
         "stream_ingest_two_feeds_log": _PAYLOAD_SQL,
+        "stream_ingest_settled": _PAYLOAD_SQL,
+        "stream_ingest_compacted": _PAYLOAD_SQL,
+        "collection_lookup_fresh": _lookup_sql(),
+        "reports_one_snapshot": _snapshot_sql(),
         "refresh_on_change": _refresh_sql(),
+        "refresh_incremental": _incremental_sql(),
+        "refresh_keyed": _keyed_sql(),
+        "fine_report_document_saved": _FINE_DOCUMENT_SQL,
+        "master_report_document_saved": _master_document_sql("true", "true", ["PaidTransaction", "dropped", "fine"]),
+        "master_report_document_saved_filtered": _master_document_sql(
+            f"{sector3} AND TYPE IN (1, 6)", sector3, ["PaidTransaction", "fine"]
+        ),
         "fine_report_rows": _fine_rows_sql(),
         "master_report_rows": _master_rows_sql(),
         "transaction_type_distribution_in_and_source": _CTE

@@ -8,8 +8,8 @@ schema, compute one report and print its JSON document, or write its rows with
 ``--output-path``. Runs under ``plans.REPORT_CONF``.
 
 ``watch fine|master``: register the collection and follow its change feed: every
-relevant change re-reads the collection and writes the report's rows anew
-(``streaming.latest_report`` reads them).
+relevant change re-reads the collection (with ``--state-path`` only the files
+that changed) and publishes the report's rows (``streaming.latest_report`` reads them).
 
 The session comes from ``SparkSession.builder.getOrCreate()``, so master,
 connector packages and credentials are whatever spark-submit / spark-defaults
@@ -63,6 +63,7 @@ def _parser() -> argparse.ArgumentParser:
     watch.add_argument("--changes-path")
     watch.add_argument("--changes-option", action="append", default=[], metavar="KEY=VALUE")
     watch.add_argument("--report-path", required=True)
+    watch.add_argument("--state-path", help="keep the report from the files that change; its counts per file go there")
     watch.add_argument("--checkpoint", required=True)
     watch.add_argument("--available-now", action="store_true")
     for command in (report, watch):
@@ -110,14 +111,21 @@ def _report_or_watch(args: argparse.Namespace, spark: SparkSession) -> None:
         return fine_report_rows(df) if args.kind == "fine" else master_report_rows(df, filters)
 
     if args.command == "watch":
-        from .streaming import read_changes
-
+        from .streaming import FINE_REPORT, IncrementalReport, master_report_counts, read_changes
+
+        incremental = None
+        if args.state_path:
+            counts = FINE_REPORT if args.kind == "fine" else master_report_counts(filters)
+            incremental = IncrementalReport(
+                spark, lambda: registry.roots(args.collection), DETECTIONS_SCHEMA, args.state_path, counts, args.format
+            )
         changes = read_changes(spark, args.changes_format, args.changes_path, **_options(args.changes_option))
         query = registry.watch(
             args.collection,
             changes,
             args.checkpoint,
-            report=rows,
+            report=None if incremental else rows,
+            incremental=incremental,
             report_path=args.report_path,
             trigger={"availableNow": True} if args.available_now else None,
         )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Any
 
+# --- Fixed values: bounds of the request parameters.
 SECTOR_NAME_LENGTH = (3, 50)
 
 

@@ -9,8 +9,7 @@
   it reports, see ``emitted_kinds``).
 
 ``master_report.master_report`` computes all of them in a single scan; these
-functions are for callers who need one metric. Each takes a DataFrame or the
-name of a registered view.
+functions are for callers who need one metric. Each takes a DataFrame.
 """
 
 from __future__ import annotations

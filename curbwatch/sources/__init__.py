@@ -7,12 +7,11 @@ from .detections import (
     load_detections,
     load_full_detections,
 )
-from .messages import changes_from_events, payloads_from_events
+from .messages import payloads_from_events
 
 __all__ = [
     "DETECTIONS_FROM_EVENTS_SQL",
     "CollectionRegistry",
-    "changes_from_events",
     "conform",
     "detections_from_events",
     "full_detections_sql",

@@ -6,7 +6,8 @@ document-store deployment, or any file format with a path. The registry keeps
 how a collection is read, never a DataFrame: every ``get`` reads anew, so a
 report reflects the data at the time it is asked for. A DataFrame holds the
 files that were there when it was got, so all parts of a report that are
-computed from one ``get`` see the same rows.
+computed from one ``get`` see the same rows. (To compare two moments run a
+query for each: within one, Spark takes two reads of a path for the same.)
 """
 
 from __future__ import annotations

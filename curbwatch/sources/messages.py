@@ -1,7 +1,6 @@
-"""Message and change-record feeds derived from the ``events`` table.
+"""Message feeds derived from the ``events`` table.
 
-These turn a given table into the inputs of the streaming pipelines (device
-payloads, change records), so the streaming paths run over data that grows
+These turn a given table into the inputs of the streaming pipelines, so the streaming paths run over data that grows
 with the table rather than over a fixed sample.
 """
 
@@ -39,17 +38,3 @@ def payloads_from_events(events: DataFrame) -> DataFrame:
         .otherwise(_payload(status))
     )
     return events.select(value.alias("value"))
-
-
-# Operation type reported for each event type (signup stands for an
-# operation that must not trigger a refresh).
-_OPERATIONS = {"purchase": "insert", "view": "update", "click": "replace", "error": "delete", "signup": "drop"}
-
-
-def changes_from_events(events: DataFrame) -> DataFrame:
-    """One change record ``operationType`` per event."""
-    items = list(_OPERATIONS.items())
-    op = F.when(F.col("event_type") == items[0][0], F.lit(items[0][1]))
-    for event_type, operation in items[1:]:
-        op = op.when(F.col("event_type") == event_type, F.lit(operation))
-    return events.select(op.alias("operationType"))

@@ -173,16 +173,19 @@ class BatchSink:
             return
         rows = batch.withColumns({"query_id": F.lit(key), "batch_id": F.lit(batch_id)})
         if self.commit_log is None:
-            write_collection(rows, self.format, None, "append", self.options)
+            self._append(rows)
             return
         files, entry = SharedFiles(spark), f"{self.commit_log}/{key}/{batch_id}"
         if files.exists(f"{entry}.commit"):
             return
         if not files.create(f"{entry}.intent", ""):
             rows = self._missing(rows, key, batch_id)
-        write_collection(rows, self.format, None, "append", self.options)
+        self._append(rows)
         files.create(f"{entry}.commit", "")
 
+    def _append(self, rows: DataFrame) -> None:
+        write_collection(rows, self.format, None, "append", self.options)
+
     def _missing(self, rows: DataFrame, key: str, batch_id: int) -> DataFrame:
         """The rows of a batch that the collection does not hold yet."""
         reader = rows.sparkSession.read.format(self.format).options(**self.options).schema(rows.schema)

@@ -141,16 +141,18 @@ def start_refresh(
     watch: Watch | None = None,
 ) -> StreamingQuery:
     """Call ``on_change(batch_id)`` once for every micro-batch that holds at
-    least one relevant change (of a keyed feed: one not seen before). Only a
-    one-row probe of the batch is read."""
+    least one relevant change (of a keyed feed: one not seen before). Of a
+    feed without keys only a one-row probe of the batch is read."""
     if not checkpoint_location:
         raise ValueError("a checkpoint location is required")
 
+    keyed = {"documentKey", "position"} <= set(changes.columns)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
-        if not batch.isEmpty():
+        # what the stream remembers is brought up to date by reading the whole batch
+        if batch.count() > 0 if keyed else not batch.isEmpty():
             on_change(batch_id)
 
-    keyed = {"documentKey", "position"} <= set(changes.columns)
     relevant = new_changes(changes) if keyed else relevant_changes(changes)
     writer = (
         relevant.select("operationType")

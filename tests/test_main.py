@@ -80,3 +80,19 @@ def test_watch_command(spark):
     assert main(argv, spark=spark) == 0
     rows = {(r["section"], r["name"]): r["value"] for r in latest_report(spark, f"{root}/reports").collect()}
     assert rows["fineCounts", "toratalViolationCount"] == 12
+
+
+def test_watch_command_from_changed_files(spark):
+    root = shared_dir(spark, "cli_watch_state")
+    for kind in ("fine", "master"):
+        argv = [
+            "watch", kind, "--path", f"{root}/{kind}", "--changes-path", f"{root}/changes", "--report-path", f"{root}/reports-{kind}",
+            "--checkpoint", f"{root}/ckpt-{kind}", "--state-path", f"{root}/state-{kind}", "--available-now",
+        ]
+        for rows in (12, 24):
+            edge_detections(spark).write.mode("append").parquet(f"{root}/{kind}")
+            _write_lines(f"{root}/changes", ['{"operationType": "insert"}'])
+            assert main(argv, spark=spark) == 0
+            found = {(r["section"], r["name"]): r["value"] for r in latest_report(spark, f"{root}/reports-{kind}").collect()}
+            key = ("fineCounts", "toratalViolationCount") if kind == "fine" else ("transactionCount", None)
+            assert found[key] == rows

@@ -130,3 +130,134 @@ def test_latest_report_after_a_checkpoint_reset(spark):
     assert report_history(spark, f"{root}/reports").select("query", "batch_id").distinct().count() == 3
     assert scan_count(latest_report(spark, f"{root}/reports")) == 1
     registry.remove("RESET")
+
+
+def test_get_is_fresh_and_a_held_frame_is_not(spark):
+    root = shared_dir(spark, "test_fresh")
+    edge = edge_detections(spark)
+    edge.write.parquet(f"{root}/c")
+    registry = CollectionRegistry(spark)
+    registry.add("FRESH", DETECTIONS_SCHEMA, path=f"{root}/c")
+    held = registry.get("FRESH")
+    edge.limit(1).write.mode("append").parquet(f"{root}/c")
+    assert registry.get("FRESH").count() == 13
+    assert spark.table(registry.view_name("FRESH")).count() == 13
+    assert held.count() == 12  # what was there when it was got
+    assert registry.add("FRESH", DETECTIONS_SCHEMA, path="elsewhere").count() == 13
+
+
+def test_a_reader_sees_whole_reports_while_they_change(spark):
+    import threading
+
+    from curbwatch.streaming import write_report
+
+    path, session = shared_dir(spark, "test_publish"), spark.newSession()
+    errors, stop = [], threading.Event()
+
+    def publish():
+        session.sparkContext.setLocalProperty("sql.streaming.queryId", "q")
+        try:
+            for i in range(8):
+                write_report(session.range(0, 100, 1, 4).selectExpr("id", f"{i} AS report"), path, i)
+        except Exception as e:  # noqa: BLE001
+            errors.append(e)
+        finally:
+            stop.set()
+
+    writer = threading.Thread(target=publish)
+    writer.start()
+    seen = []
+    while not stop.is_set():
+        try:
+            rows = latest_report(spark, path).collect()
+        except FileNotFoundError:
+            assert not seen  # nothing is published yet
+            continue
+        assert len(rows) == 100 and len({r["report"] for r in rows}) == 1
+        seen.append(rows[0]["report"])
+    writer.join()
+    assert not errors and seen == sorted(seen)
+    assert latest_report(spark, path).first()["report"] == 7
+
+
+def test_an_older_batch_never_takes_the_place_of_a_later_one(spark):
+    from curbwatch.streaming import write_report
+
+    path = shared_dir(spark, "test_older")
+
+    def put(query, batch, value):
+        spark.sparkContext.setLocalProperty("sql.streaming.queryId", query)
+        return write_report(spark.range(1).selectExpr(f"{value} AS v"), path, batch)
+
+    try:
+        assert put("a", 0, 10) and put("a", 3, 13)
+        assert put("a", 1, 99) is False  # replayed
+        assert put("a", 3, 13)  # replayed itself: nothing changes
+        assert latest_report(spark, path).first()["v"] == 13
+        assert put("b", 0, 20)  # another query's batches begin at 0
+        assert latest_report(spark, path).first()["v"] == 20
+        assert put("a", 2, 99) is False
+        assert latest_report(spark, path).first()["v"] == 20
+    finally:
+        spark.sparkContext.setLocalProperty("sql.streaming.queryId", None)
+
+
+def test_drain_lets_the_running_batch_end(spark):
+    import threading
+    import time
+
+    root = shared_dir(spark, "test_drain")
+    edge_detections(spark).write.parquet(f"{root}/c")
+    registry = CollectionRegistry(spark)
+    registry.add("DRAIN", DETECTIONS_SCHEMA, path=f"{root}/c")
+    began, ended = threading.Event(), []
+
+    def slow(df):
+        began.set()
+        time.sleep(2)
+        ended.append(1)
+        return fine_counts(df)
+
+    _write_changes(f"{root}/changes", ["insert"])
+    query = registry.watch("DRAIN", read_changes(spark, "json", f"{root}/changes"), f"{root}/ckpt",
+                           report=slow, report_path=f"{root}/reports")
+    assert began.wait(60)
+    _write_changes(f"{root}/changes", ["insert"])
+    registry.stop_watch("DRAIN", drain=True)
+    assert not query.isActive and ended == [1]
+    assert latest_report(spark, f"{root}/reports").count() == 5
+    # the next watch goes on behind the batch that ended
+    registry.watch("DRAIN", read_changes(spark, "json", f"{root}/changes"), f"{root}/ckpt",
+                   report=fine_counts, report_path=f"{root}/reports", trigger=AVAILABLE_NOW).awaitTermination()
+    assert sorted(r["batch_id"] for r in report_history(spark, f"{root}/reports").select("batch_id").distinct().collect()) == [0, 1]
+    registry.stop_all(drain=True)
+
+
+def test_repeats_and_order_of_a_keyed_feed_change_nothing(spark):
+    from curbwatch.streaming import KEYED_CHANGE_SCHEMA, last_changes, new_changes
+
+    rows = [("insert", "a", 1), ("update", "a", 5), ("update", "a", 3), ("drop", "a", 9), ("delete", "b", 2), ("insert", None, 1), ("insert", "c", None)]
+    once = spark.createDataFrame(rows, KEYED_CHANGE_SCHEMA)
+    twice = spark.createDataFrame([*rows[:5], *reversed(rows[:5]), *rows[5:]], KEYED_CHANGE_SCHEMA).repartition(3)
+    for within in (None, 100):
+        assert sorted(map(str, new_changes(twice, within).collect())) == sorted(map(str, new_changes(once, within).collect()))
+    assert new_changes(once).count() == 6
+    for feed in (once, twice):
+        assert sorted(map(tuple, last_changes(feed).collect())) == [("delete", "b", 2), ("update", "a", 5)]
+
+
+def test_a_keyed_stream_remembers_what_it_saw(spark):
+    from curbwatch.streaming import KEYED_CHANGE_SCHEMA
+
+    root, fired = shared_dir(spark, "test_keyed"), []
+
+    def run(rows):
+        spark.createDataFrame(rows, KEYED_CHANGE_SCHEMA).coalesce(1).write.mode("append").json(f"{root}/changes")
+        start_refresh(read_changes(spark, "json", f"{root}/changes", KEYED_CHANGE_SCHEMA), fired.append, f"{root}/ckpt",
+                      trigger=AVAILABLE_NOW).awaitTermination()
+
+    run([("insert", "a", 1), ("update", "b", 2)])
+    run([("update", "b", 2), ("insert", "a", 1)])
+    assert len(fired) == 1
+    run([("insert", "a", 1), ("update", "b", 4)])
+    assert len(fired) == 2
