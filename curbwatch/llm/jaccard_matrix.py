@@ -24,8 +24,10 @@ entries of *different* components: inside a component no pair can change the
 result. Every link between different components is found, so the components
 are those of all links.
 
-Columns that the sketch finds frequent are salted where their entries meet,
-large stars are dealt over parts, and nothing but sketches, bitmaps (of fixed
+Columns that the sketch finds frequent are salted where they are made
+distinct, multiplied in dense blocks of bounded size (what two rows share in
+them is counted there, so a pair is a row once and only if it may link), large
+stars are dealt over parts, and nothing but sketches, bitmaps (of fixed
 size) and counters goes to the driver. Identity of shingles and sets is that of
 64-bit hashes.
 
@@ -56,6 +58,8 @@ NEED_BITS = 27  # bits of the bitmap of wanted rows
 SALTS = 64
 LEADERS = 6  # entries of a column that the others are compared with first
 STAR = 256  # members that are compared with one copy of a star's centre
+FREQUENT = 32  # entries from which a column counts as frequent
+BLOCK_NODES, BLOCK_ENTRIES = 2048, 500_000  # of a block of the product of frequent columns
 NO_ID = -(1 << 63)
 
 
@@ -204,24 +208,94 @@ def between(pairs: DataFrame, tied: DataFrame) -> DataFrame:
 
 
 def remaining_pairs(entries: DataFrame, tied: DataFrame, percent: int) -> DataFrame:
-    """(node, centre) of all pairs in different components that may reach the threshold:
-    the product of the columns that touch several components, bounded by the sizes."""
+    """(node, centre) of all pairs in different components that may reach the threshold: the product of the
+    columns that touch several components, bounded by the sizes.
+
+    Columns with few entries are multiplied by a join. What frequent columns
+    have in common is counted in dense blocks (``block_products``): there the
+    same pairs meet in column after column, and a row for each would be the
+    square of a family's size times the length of its texts.
+    """
     labels = tied.select("node", F.col("component").alias("label"))
     rows = entries.select("h", "node", "n", "pos").join(labels, "node", "left")
     rows = rows.withColumn("label", F.coalesce("label", "node"))
-    several = rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
-    rows = written(rows.join(several, "h"))
-    both = rows.alias("l").join(rows.alias("s"), F.expr("l.h = s.h AND l.label != s.label"))
+    several = rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
+    rows = written(rows.join(several.where("lo < hi").select("h", "size"), "h"))
+    few = rows.where(F.col("size") <= FREQUENT)
+    both = few.alias("l").join(few.alias("s"), F.expr("l.h = s.h AND l.label != s.label"))
     both = both.where("s.n < l.n OR (s.n = l.n AND s.node < l.node)").where(f"s.n * 100L >= {percent}L * l.n")
-    need = required("l.n", "s.n", percent)
     pairs = both.groupBy(F.col("l.node").alias("node"), F.col("s.node").alias("centre")).agg(
         F.count("*").alias("c"),
-        F.max(need).alias("need"),
         F.min(F.least(F.expr("l.n - l.pos"), F.expr("s.n - s.pos"))).alias("rest"),
-        # what lies behind the leading entries of the one that has more behind them
-        F.max(F.ceil(F.expr(f"{percent} * cast(l.n as bigint) / 100")) - 1).alias("behind"),
+        F.max("l.n").alias("large"),
+        F.max("s.n").alias("small"),
+    )
+    pairs = pairs.union(block_products(rows, percent))
+    pairs = pairs.groupBy("node", "centre").agg(F.sum("c").alias("c"), *(F.min(x).alias(x) for x in ("rest", "large", "small")))
+    # what lies behind the leading entries of the one that has more behind them
+    behind = F.ceil(F.expr(f"{percent} * cast(large as bigint) / 100")) - 1
+    reach = F.col("c") + F.least(F.col("rest") - 1, behind)
+    return pairs.where(reach >= required("large", "small", percent)).select("node", "centre")
+
+
+def block_products(rows: DataFrame, percent: int) -> DataFrame:
+    """(node, centre, c, rest, large, small) of the pairs in different components that share frequent columns and
+    may reach the threshold: c counts those columns, and what other columns can add is bounded by their number.
+
+    Nodes are dealt into blocks of a bounded number of nodes and entries; a
+    task multiplies one block by another in a dense matrix of counts.
+    """
+    frequent = rows.where(F.col("size") > FREQUENT)
+    size = frequent.agg(F.count("*").alias("entries"), F.count_distinct("node").alias("nodes")).first()
+    blocks = max(-(-size["nodes"] // BLOCK_NODES), -(-size["entries"] // BLOCK_ENTRIES), 1)
+    others = rows.where(F.col("size") <= FREQUENT).groupBy("node").agg(F.count("*").alias("others"))
+    frequent = frequent.join(others, "node", "left").withColumn("others", F.coalesce("others", F.lit(0)))
+    own = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(blocks)).cast("int")
+    cells = frequent.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    cells = cells.select(
+        F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "h", "node", "n", "pos", "label", "others"
     )
-    return pairs.where("c + least(rest - 1, behind) >= need").select("node", "centre")
+
+    def multiply(cell: pd.DataFrame) -> pd.DataFrame:
+        drop_worker_tables()
+        i, j = int(cell["i"].iloc[0]), int(cell["j"].iloc[0])
+        sides = []
+        for block in (i, j):
+            part = cell[cell["own"] == block].sort_values("h")
+            nodes = part.drop_duplicates("node")
+            index = pd.Index(nodes["node"])
+            sides.append((part["h"].to_numpy(), index.get_indexer(part["node"]), (part["n"] - part["pos"]).to_numpy(), nodes))
+        (ha, a, ra, left), (hb, b, rb, right) = sides
+        counts = np.zeros((len(left), len(right)), np.int32)
+        rest = np.full(counts.shape, np.iinfo(np.int32).max, np.int32)
+        for h in np.intersect1d(ha, hb):
+            x, y = (slice(*np.searchsorted(z, [h, h + 1])) if h < (1 << 63) - 1 else slice(np.searchsorted(z, h), None) for z in (ha, hb))
+            at = np.ix_(a[x], b[y])
+            counts[at] += 1
+            rest[at] = np.minimum(rest[at], np.minimum.outer(ra[x], rb[y]))
+        na, nb = (side["n"].to_numpy(np.int64) for side in (left, right))
+        key_a, key_b = (side["node"].to_numpy() for side in (left, right))
+        found = []
+        for k in range(len(left)):
+            large, small = np.maximum(na[k], nb), np.minimum(na[k], nb)
+            other = np.minimum(left["others"].iloc[k], right["others"].to_numpy())
+            behind = -(-percent * large // 100) - 1
+            reach = counts[k] + other + np.minimum(rest[k] - 1, behind)
+            fit = (counts[k] > 0) & (right["label"].to_numpy() != left["label"].iloc[k]) & (small * 100 >= percent * large)
+            fit &= reach >= -(-percent * (large + small) // (100 + percent))
+            if i == j:
+                fit[: k + 1] = False  # each pair of a block with itself once
+            hit = np.flatnonzero(fit)
+            first = (na[k] > nb[hit]) | ((na[k] == nb[hit]) & (key_a[k] > key_b[hit]))
+            found.append(
+                np.stack([np.where(first, key_a[k], key_b[hit]), np.where(first, key_b[hit], key_a[k]),
+                          counts[k][hit], rest[k][hit], large[hit], small[hit]], axis=1)
+            )
+        out = np.concatenate(found) if found else np.empty((0, 6), np.int64)
+        return pd.DataFrame(out, columns=["node", "centre", "c", "rest", "large", "small"])
+
+    schema = "node bigint, centre bigint, c bigint, rest bigint, large bigint, small bigint"
+    return cells.groupBy("i", "j").applyInPandas(multiply, schema)
 
 
 def bitmap(spark: SparkSession, cells: DataFrame) -> np.ndarray:
@@ -371,8 +445,9 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame
     id_at, text_at = docs.columns.index("doc_id"), docs.columns.index("text")
     schema = StructType([*docs.schema.fields, StructField(node, LongType()), StructField(doubt, BooleanType())])
     marked = docs.mapInArrow(run, schema)
-    keys = groups.select(F.col("first.doc_id").alias("_keep_id"), F.col("first.node").alias("_keep_node"))
-    same = (F.coalesce(F.col("doc_id"), last) == F.col("_keep_id")) & (F.col(node) == F.col("_keep_node"))
+    keep_id, keep_node = free_names([*docs.columns, node, doubt], "keep_id", "keep_node")
+    keys = groups.select(F.col("first.doc_id").alias(keep_id), F.col("first.node").alias(keep_node))
+    same = (F.coalesce(F.col("doc_id"), last) == F.col(keep_id)) & (F.col(node) == F.col(keep_node))
     kept = marked.where(F.col(doubt)).join(keys, same, "left_semi").dropDuplicates(["doc_id", node])
     return marked.where(~F.col(doubt)).union(kept).drop(node, doubt)
 

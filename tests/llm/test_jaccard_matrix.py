@@ -3,6 +3,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from curbwatch.llm import jaccard_matrix
 from curbwatch.llm.components import components
 from curbwatch.llm.jaccard_matrix import jaccard_components, one_of_each
 from curbwatch.llm.shingles import ShingleHasher, set_key
@@ -41,6 +42,40 @@ def test_near_copies_against_brute_force(spark):
     assert Counter(tuple(r) for r in jaccard_components(docs).collect()) == expected(rows)
 
 
+@pytest.mark.parametrize("frequent,nodes,entries", [(2, 30, 400)])
+def test_blocks_of_frequent_columns_lose_no_link(spark, monkeypatch, frequent, nodes, entries):
+    for name, value in (("FREQUENT", frequent), ("BLOCK_NODES", nodes), ("BLOCK_ENTRIES", entries), ("LEADERS", 1)):
+        monkeypatch.setattr(jaccard_matrix, name, value)
+    rows = near_copies(3, 6, 25)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    assert Counter(tuple(r) for r in jaccard_components(docs).collect()) == expected(rows)
+
+
+def test_pairs_left_are_those_of_all_columns(spark):
+    """Whatever counts as frequent, no pair that links is missing and few others are there."""
+    rows = [(h, node, 40, h) for node in range(30) for h in range(16) if (node * 7 + h * 3) % 11 < 8]
+    entries = spark.createDataFrame([(h, n, size, at, 0) for h, n, size, at in rows], "h bigint, node bigint, n int, pos int, salt int")
+    none = spark.createDataFrame([], "node bigint, component bigint")
+    sizes = {}
+    for frequent in (0, 10, 22, 100):
+        jaccard_matrix.FREQUENT, before = frequent, jaccard_matrix.FREQUENT
+        try:
+            sizes[frequent] = {tuple(r) for r in jaccard_matrix.remaining_pairs(entries, none, 75).collect()}
+        finally:
+            jaccard_matrix.FREQUENT = before
+    assert sizes[0] == sizes[100]
+    assert all(sizes[f] >= sizes[100] for f in sizes)
+
+
+def test_one_of_each_gives_way_to_columns_of_its_names(spark):
+    rows = near_copies(4, 3, 4)
+    schema = "doc_id bigint, text string, _keep_id int, keep_id int, Keep_Node string, _keep_node int, doubt int"
+    docs = spark.createDataFrame([(*r, 1, 2, "k", 3, 4) for r in rows], schema)
+    kept = one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(rows[min(g)][0] for g in jaccard_groups(rows))
+
+
 def test_one_of_each_keeps_the_smallest_id_and_all_columns(edge_docs):
     kept = one_of_each(edge_docs)
     assert kept.columns == edge_docs.columns
