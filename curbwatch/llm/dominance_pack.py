@@ -73,6 +73,9 @@ class Instance:
         return out[:n]
 
 
+ENOUGH = 4  # copies of a length from which on ``dominating`` does not see how many there are
+
+
 def dominating(inst: Instance, long: int, capacity: int) -> tuple[int, ...] | None:
     """Partners of a piece ``long`` (the longest left) in a set that dominates all others with it; None if not known."""
     room = capacity - long
@@ -117,10 +120,11 @@ def reduce(inst: Instance, capacity: int) -> list[tuple[Pattern, int]]:
                 need: dict[int, int] = {}
                 for length in (long, *partners):
                     need[length] = need.get(length, 0) + 1
-                # one by one where the sets reason with equal lengths, else as many as both have
                 copies = min(inst.count[n] // k for n, k in need.items())
                 if len(partners) == 2:
-                    copies = 1
+                    # the argument asks whether up to ENOUGH copies of a length are left: while they are, it
+                    # decides the same, so all sets until then are fixed at once, and the last ones one by one
+                    copies = max(1, min((inst.count[n] - ENOUGH) // k for n, k in need.items()))
                 for length, k in need.items():
                     inst.take(length, copies * k)
                 fixed.append((tuple(sorted(need.items(), reverse=True)), copies))

@@ -63,6 +63,17 @@ def fewest(items, capacity):
     return best[0]
 
 
+@pytest.mark.parametrize("many", [1000, 10**6])
+def test_plan_is_as_long_as_there_are_lengths(many):
+    counts = {1100: many, 600: many, 348: many, 900: many // 3, 50: 7}
+    plan = pack_plan(counts, 2048)
+    assert len(plan) < len(counts) ** 2 + 40
+    placed = {}
+    for length, lo, copies, _, _ in plan.tolist():
+        placed.setdefault(length, []).append(lo)
+    assert set(placed) == set(counts)
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_reduction_keeps_an_optimum(seed):
     rng = random.Random(seed)
@@ -147,3 +158,22 @@ def test_packing_edge_cases(spark, edge_docs, no_docs, tokens):
     total = sum(map(len, texts_by_row(tokens)))
     assert sum(r["length"] for r in rows) == total and len(places) <= -(-total // 64) + 1
     assert pack_documents(no_docs, PATH).collect() == []
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_sets_fixed_at_once_are_those_fixed_one_by_one(seed, monkeypatch):
+    from curbwatch.llm import dominance_pack
+
+    rng = random.Random(seed)
+    capacity = rng.choice([10, 24, 60])
+    counts = {rng.randint(1, capacity): rng.randint(1, 60) for _ in range(rng.randint(1, 12))}
+
+    def fixed():
+        inst, total = Instance(dict(counts)), {}
+        for pattern, bins in reduce(inst, capacity):
+            total[pattern] = total.get(pattern, 0) + bins
+        return total, {n: c for n, c in inst.count.items() if c}
+
+    at_once = fixed()
+    monkeypatch.setattr(dominance_pack, "ENOUGH", 10**9)
+    assert at_once == fixed()
