@@ -14,9 +14,10 @@ counted and collected). Then
 
 what is left is compared exactly, so no matching block is missed. With ``names``
 the exact comparison also asks that the block says which licence it is: the
-template's pattern (``NAMES``) must stand in it, and the ``need`` words must lie
-around it, within twice the template's words, not scattered over a long line.
-A template without a pattern is matched by its words alone. Beside the join, fixed phrases are found where their words stand consecutively.
+template's pattern (``NAMES``), if it has one, must stand in it, and the
+``need`` words must lie (around it) within twice the template's words, not
+scattered over a long line. Beside the join, fixed phrases are found where
+their words stand consecutively.
 
 Both jobs are maps over the documents (plus a tiny aggregation); the templates
 are a parameter of the job and travel with the tasks.
@@ -143,6 +144,7 @@ class TemplateIndex:
         self, templates, frequency: Mapping[bytes, int], threshold: float, names: Mapping[str, str] | None = None
     ):
         self.names = [re.compile(names[t].encode()) if names and t in names else None for _, t in templates]
+        self.close = names is not None
         self.spread = [2 * len(plain(t).split()) for _, t in templates]
         self.labels = [label for label, _ in templates]
         self.sets = [word_set(text) for _, text in templates]
@@ -170,23 +172,26 @@ class TemplateIndex:
                 if 1 + min(len(members) - i - 1, len(block) - j - 1) < need:
                     continue  # not enough can follow its first shared word
                 shared = len(members & present)
-                if shared >= need and self.names[t]:
+                if shared >= need and self.close:
                     shared = most_around(words, members, self.names[t], self.spread[t])
                 if shared >= need:
                     yield t, shared / len(members)
 
 
-def most_around(words: list[bytes], members: frozenset[bytes], name: re.Pattern[bytes], spread: int) -> int:
-    """The most ``members`` among ``spread`` consecutive words that hold a match of ``name``."""
-    line = b" ".join(words)
-    spans = deque()
-    at = seen = 0  # words up to the character ``seen``
-    for match in name.finditer(line):
-        first = at + line.count(b" ", seen, match.start())
-        at, seen = first + line.count(b" ", match.start(), match.end()), match.end()
-        spans.append((first, at))
+def most_around(words: list[bytes], members: frozenset[bytes], name: re.Pattern[bytes] | None, spread: int) -> int:
+    """The most ``members`` among ``spread`` consecutive words (that hold a match of ``name``, if there is one)."""
+    spans: deque[tuple[int, int]] = deque()
+    if name is not None:
+        line = b" ".join(words)
+        at = seen = 0  # words up to the character ``seen``
+        for match in name.finditer(line):
+            first = at + line.count(b" ", seen, match.start())
+            at, seen = first + line.count(b" ", match.start(), match.end()), match.end()
+            spans.append((first, at))
+        if not spans:
+            return 0
     most, named, held = 0, -1, Counter()
-    for end, word in enumerate(words if spans else ()):
+    for end, word in enumerate(words):
         if word in members:
             held[word] += 1
         start = end - spread + 1
@@ -196,7 +201,7 @@ def most_around(words: list[bytes], members: frozenset[bytes], name: re.Pattern[
                 del held[gone]
         while spans and spans[0][1] <= end:
             named = spans.popleft()[0]
-        if named >= max(0, start):
+        if name is None or named >= max(0, start):
             most = max(most, len(held))
     return most
 

@@ -88,6 +88,9 @@ NOTICES = [
     ("MIT " + "word " * 30 + "released " + "word " * 30 + "under the " + "word " * 30 + "license", set()),
     ("word " * 99 + "the license, released under " + "word " * 99, set()),
     ("word " * 99 + "Released by its authors under the MIT License. " + "word " * 99, {"mit"}),
+    # templates that name no licence are found by words that stand together
+    (" ".join(("word " * 40 + w) for w in reversed(TEMPLATES[2][1].split())), set()),
+    ("word " * 99 + TEMPLATES[2][1] + " word" * 99, {TEMPLATES[2][0]}),
     ("some text\n\nReleased under\nthe MIT License.\n\nmore", {"mit"}),
     *((template, {label}) for label, template in TEMPLATES),
 ]
