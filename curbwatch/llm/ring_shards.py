@@ -7,13 +7,15 @@ rest continue clockwise to the next arc whose shard has room.
 Rows are never moved one by one on the driver: only the row count of each arc
 (``shards * vnodes`` numbers) is collected, the overflow is settled on those
 counts, and the resulting plan says for every arc which ranks go to which
-shard. Spark then ranks the rows inside their arcs (one shuffle of narrow rows
-by arc) and joins the plan, whose size depends on the ring alone. DataFrame
-functions only.
+shard. Spark then ranks the rows inside their arcs and joins the plan, whose
+size depends on the ring alone. A rank is the number of the arc's rows in the
+tasks before, known from counts per (arc, task), and the place in the own
+task. So no arc is ever in one task, even if one id has a third of all rows.
+DataFrame functions only.
 
 Defined cases: null text counts 0 bytes and has a null checksum; a null id is
-spread by its text; equal rows are interchangeable, each gets a slot of its
-own; an empty table gives an empty result.
+spread by its text; rows of an arc keep the order they were read in, and
+equal rows get a slot each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections import deque
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import inline_rows
+from .common import inline_rows, written
 
 CELLS = 1 << 14
 
@@ -117,22 +119,21 @@ def ring_shards(
     spot = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text_crc32")), F.lit(seed))
     cells = inline_rows(spark, json.dumps(cell_arcs(arcs)), "cell: int, arc: int")  # CELLS rows
     rows = rows.withColumn("spot", spot).withColumn("cell", F.pmod("spot", F.lit(CELLS)).cast("int"))
-    rows = rows.join(F.broadcast(cells), "cell").drop("cell")
+    rows = rows.join(F.broadcast(cells), "cell").drop("cell", "spot")
+    rows = written(rows.withColumn("at", F.monotonically_increasing_id()))  # the task and the place in it, for good
     counts = {r["arc"]: r["n"] for r in rows.groupBy("arc").agg(F.count("*").alias("n")).collect()}  # one per arc
     plan = inline_rows(
         spark,
         json.dumps(shard_plan(counts, arcs, shards, slack)),
         "arc: int, lo: bigint, hi: bigint, shard: int, slot: bigint",
     )
-    # an arc's rows are ranked in parts by spot, so a window never holds more than a sub-arc
-    part = F.pmod(F.shiftright("spot", 32), F.lit(16)).cast("int")
-    rows = rows.withColumn("part", part)
-    sizes = rows.groupBy("arc", "part").agg(F.count("*").alias("n"))
+    part = F.shiftright("at", 33).cast("int")
+    sizes = rows.groupBy("arc", part.alias("part")).agg(F.count("*").alias("n"))
     before = Window.partitionBy("arc").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("arc", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    inner = Window.partitionBy("arc", "part").orderBy("spot", "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("place", F.row_number().over(inner) - 1).join(F.broadcast(sizes), ["arc", "part"])
-    ranked = ranked.withColumn("rank", F.col("base") + F.col("place"))
+    inner = Window.partitionBy("arc", "part").orderBy("at")
+    ranked = rows.withColumn("part", part).withColumn("place", F.row_number().over(inner) - 1)
+    ranked = ranked.join(sizes, ["arc", "part"]).withColumn("rank", F.col("base") + F.col("place"))
     plan = F.broadcast(plan.withColumnRenamed("arc", "plan_arc").withColumnRenamed("slot", "slot0"))
     inside = (F.col("arc") == F.col("plan_arc")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))
     placed = ranked.join(plan, inside)

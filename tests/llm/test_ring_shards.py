@@ -54,3 +54,44 @@ def test_one_more_shard_moves_little(spark):
 def test_old_points_stay_when_shards_are_added(shards):
     old, new = dict(ring_arcs(shards, 16)), dict(ring_arcs(shards + 1, 16))
     assert all(new[point] == shard for point, shard in old.items())
+
+
+def walk(arcs, keys, room):
+    """Shard of every row, placed one by one: first on its own arc's shard, then, arc by arc clockwise, those
+    that found it full on the next shard with room."""
+    room, shard_of, left = list(room), {}, []
+    for arc, (_, shard) in enumerate(arcs):
+        for row in [r for r, a in enumerate(keys) if a == arc]:
+            if room[shard]:
+                room[shard] -= 1
+                shard_of[row] = shard
+            else:
+                left.append((arc, row))
+    queue = []
+    for lap in range(2):
+        for arc, (_, shard) in enumerate(arcs):
+            if not lap:
+                queue += [row for a, row in left if a == arc]
+            while queue and room[shard]:
+                room[shard] -= 1
+                shard_of[queue.pop(0)] = shard
+    return shard_of
+
+
+@pytest.mark.parametrize("slack", [0.0, 0.2])
+def test_rows_go_where_a_walk_round_the_ring_puts_them(spark, slack):
+    docs = spark.range(0, 400, 1, 4).selectExpr("IF(id % 3 = 0, 7, id) AS doc_id", "CAST(id AS STRING) AS text")
+    rows = ring_shards(spark, docs, shards=5, vnodes=8, slack=slack).collect()
+    arcs = ring_arcs(5, 8)
+    got = Counter((r["arc"], r["shard"]) for r in rows)
+    keys = sorted(r["arc"] for r in rows)
+    placed = walk(arcs, keys, capacities(len(rows), 5, slack))
+    assert got == Counter((keys[i], shard) for i, shard in placed.items())
+
+
+def test_equal_rows_are_ranked_in_many_tasks(spark):
+    docs = spark.range(0, 4000, 1, 8).selectExpr("CAST(1 AS BIGINT) AS doc_id", "'same' AS text")
+    rows = ring_shards(spark, docs, shards=24)
+    check_laws(rows.collect(), 24)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(arc" in plan and ", part" in plan
