@@ -34,6 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_worker_tables, ship_package, text_blocks
+from .jaccard_matrix import free_names
 
 WIDTH, STRIDE, STEP = 8, 2, 512  # bytes of a filter, between windows, between chunks
 SPAN = STEP + WIDTH - STRIDE  # bytes of a chunk
@@ -260,7 +261,8 @@ def train_classifier(
 def score_rows(docs: DataFrame, model: ByteCnn, columns: Sequence[str], name: str = "score") -> DataFrame:
     """The given columns of every row and the probability of label 1."""
     ship_package(docs.sparkSession)
-    source = docs.select(*(F.col(f"`{c}`") for c in columns), F.col("text").alias("_scored_text"))
+    (scored,) = free_names(list(columns), "scored_text")
+    source = docs.select(*(F.col(f"`{c}`") for c in columns), F.col("text").alias(scored))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_worker_tables()
