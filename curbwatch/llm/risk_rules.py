@@ -4,12 +4,18 @@ Facts are counted over the whole text of every document. Each rule rejects a
 document whose fact lies above a cutoff. Which cutoffs may be used is decided
 on labelled documents, per stratum (language): a cutoff is *certified* when an
 exact binomial test shows that it rejects less than ``risk / rules`` of the
-stratum's good documents, at level ``alpha`` divided by the number of all
-(rule, cutoff, stratum) tests (Bonferroni, so picking among the certified ones
-is safe, and all rules together falsely reject less than ``risk`` of the good
-documents of every stratum). Of the certified cutoffs the one that pays best is taken: bad
-documents rejected minus ``cost`` times good ones, the laxer of equals. A
-stratum with too few labels gets no cutoff; only the fixed base rules hold there.
+stratum's good documents. A rule's cutoffs are nested, so they are tested in
+fixed order from lax to strict, each at the full level of the rule: a stricter
+one rejects no fewer, so the first that fails ends the row. The level is
+``alpha`` divided by rules times strata (Bonferroni), so with probability ``1 -
+alpha`` all rules together falsely reject less than ``risk`` of the good
+documents of every stratum, whichever certified cutoffs are used. Of those the
+one that pays best is taken: bad documents rejected minus ``cost`` times good
+ones, the laxer of equals.
+
+A stratum needs a number of good labels to certify anything at all. Strata
+that have fewer are judged together as one, which the guarantee then is about;
+if that is still too small, only the fixed base rules hold there.
 
 The facts of all documents are written once, narrow; the labelled counts are
 one aggregation with partial sums; the cutoffs (at most one row per stratum
@@ -146,12 +152,13 @@ def certified_cutoffs(
     facts: DataFrame,
     labels: DataFrame,
     stratum: str = "lang",
-    risk: float = 0.004,
+    risk: float = 0.02,
     alpha: float = 0.05,
     cost: float = 10.0,
 ) -> DataFrame:
     """One row per stratum with a certified cutoff: ``stratum`` and a column
-    ``cut_<rule>`` per rule, null where nothing was certified.
+    ``cut_<rule>`` per rule, null where nothing was certified. Strata that were
+    judged together have the same cutoffs.
 
     ``facts``: doc_id, the stratum's column and the struct ``facts``.
     """
@@ -165,7 +172,14 @@ def certified_cutoffs(
         for good in (1, 0):
             sums.append(F.count(F.when(over & (F.col("quality") == good), 1)).alias(f"{'bad good'.split()[good]}{i}"))
     counts = rows.groupBy("stratum").agg(F.count(F.when(F.col("quality") == 1, 1)).alias("n"), *sums)
-    strata = F.count("*").over(Window.partitionBy())  # rows: strata
+    counts = counts.withColumn("strata", F.count("*").over(Window.partitionBy()))  # rows: strata
+    rate = risk / len(RULES)
+    # with fewer good labels not even a cutoff that rejects none of them passes
+    needed = F.log(alpha / len(RULES) / F.col("strata")) / F.log(F.lit(1 - rate))
+    counts = counts.withColumn("small", F.col("n") < needed).withColumn("own", F.when(~F.col("small"), F.col("stratum")))
+    every = ["n", *(f"{kind}{i}" for i in range(len(tests)) for kind in ("good", "bad"))]
+    groups = counts.groupBy("small", "own").agg(*(F.sum(c).alias(c) for c in every))
+    groups = groups.withColumn("strata", F.count("*").over(Window.partitionBy()))
     cells = F.explode(
         F.array(
             *[
@@ -179,15 +193,18 @@ def certified_cutoffs(
             ]
         )
     )
-    cells = counts.withColumn("strata", strata).select("stratum", "n", "strata", cells.alias("c")).select("*", "c.*")
-    tail = binomial_tail(F.col("good"), F.col("n"), risk / len(RULES))
-    certified = cells.where((F.col("bad") > 0) & (tail <= F.lit(alpha / len(tests)) / F.col("strata")))
+    cells = groups.select("small", "own", "n", "strata", cells.alias("c")).select("*", "c.*")
+    tail = binomial_tail(F.col("good"), F.col("n"), rate)
+    # a cutoff that passes is behind none that failed: laxer ones reject no more good documents
+    certified = cells.where((F.col("bad") > 0) & (tail <= F.lit(alpha / len(RULES)) / F.col("strata")))
     gain = F.col("bad") - cost * F.col("good")
-    best = certified.groupBy("stratum", "rule").agg(F.max(F.struct(gain.alias("gain"), "cut")).alias("best"))
+    best = certified.groupBy("small", "own", "rule").agg(F.max(F.struct(gain.alias("gain"), "cut")).alias("best"))
     best = best.where("best.gain > 0")
-    return best.groupBy("stratum").agg(
+    best = best.groupBy(F.col("small").alias("best_small"), F.col("own").alias("best_own")).agg(
         *[F.max(F.when(F.col("rule") == rule, F.col("best.cut"))).alias(f"cut_{rule}") for rule in RULES]
     )
+    same = (F.col("small") == F.col("best_small")) & F.col("own").eqNullSafe(F.col("best_own"))
+    return counts.join(best, same).select("stratum", *(f"cut_{rule}" for rule in RULES))
 
 
 def judged(rows: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
