@@ -15,8 +15,9 @@ more than ``block`` queries, are dealt over a grid of tasks. The sample and the
 forest are of bounded size; every row is indexed.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite
-components, and rows without an id, take no part, nor do vectors whose length
-is not the most frequent one; repeated rows count once; ties go to the smaller
+components, and rows without an id, take no part; vectors of each length have a
+forest of their own and are compared with each other only (the number of
+lengths is taken to be small); repeated rows count once; ties go to the smaller
 id; with fewer candidates than ``k`` all are returned.
 """
 
@@ -124,15 +125,22 @@ def nearest(
     ``vectors``: vec_id and embedding. ``sample_rows`` bounds the sample the
     splits are fitted on and, with at least 16 sample rows a leaf, the depth.
     """
-    spark = vectors.sparkSession
-    ship_package(spark)
+    ship_package(vectors.sparkSession)
     rows = vectors.select("vec_id", "embedding", is_query.alias("asked"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    sizes = rows.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1)
-    top = sizes.first()
-    if top is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows = rows.where(F.size("embedding") == top["d"])
+    out = vectors.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    lengths = rows.groupBy(F.size("embedding").alias("d")).agg(F.max("asked").alias("asked")).collect()  # one per length
+    for d in sorted(r["d"] for r in lengths if r["asked"]):
+        same = rows.where(F.size("embedding") == d)
+        out = out.union(_nearest(same, k, trees, share, leaf_rows, sample_rows, block, seed))
+    return out
+
+
+def _nearest(
+    rows: DataFrame, k: int, trees: int, share: float, leaf_rows: int, sample_rows: int, block: int, seed: int
+) -> DataFrame:
+    """``nearest`` among usable rows (vec_id, embedding, asked) of one vector length."""
+    spark = rows.sparkSession
     # entries: distinct vectors with their k + 1 smallest ids (row_number <= n is cut down before the shuffle);
     # repeated rows go first, or they would take the places of other ids
     place = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))

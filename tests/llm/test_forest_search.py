@@ -26,8 +26,9 @@ def brute(rows, k):
 def test_edge_vectors(spark):
     good = [(1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, [2.0, 0.0]), (5, [-1.0, 1e-30]), (6, [1.0, 1.0]), (6, [1.0, 1.0])]
     bad = [(7, None), (8, []), (9, [0.0, 0.0]), (10, [1.0, None]), (11, [float("nan"), 1.0]), (12, [float("inf"), 1.0]),
-           (None, [1.0, 1.0]), (13, [1.0, 2.0, 3.0])]
-    frame = spark.createDataFrame([(i, v, 0, "s") for i, v in good + bad], SCHEMA)
+           (None, [1.0, 1.0])]
+    good_alone = [(13, [1.0, 2.0, 3.0])]  # of its length there is no other: an empty answer
+    frame = spark.createDataFrame([(i, v, 0, "s") for i, v in good + good_alone + bad], SCHEMA)
     got = {}
     for r in nearest(frame, F.lit(True), k=4).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
@@ -50,6 +51,19 @@ def test_rows_repeated_more_often_than_k_count_once(spark):
         assert found == [(i + 1, v) for i, (v, _) in enumerate(want[q])]
 
 
+def test_every_length_is_answered(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=4 + i % 2)]) for i in range(100)] + [(100, [1.0] * 9), (101, [2.0] * 9)]
+    frame = spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA).repartition(3)
+    found = {}
+    for r in nearest(frame, F.lit(True), k=3).collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    for d in (4, 5, 9):
+        for q, near in brute([r for r in rows if len(r[1]) == d], 3).items():
+            assert sorted(found.pop(q)) == [(i + 1, v) for i, (v, _) in enumerate(near)]
+    assert not found
+
+
 def test_one_vector_for_a_third_of_the_rows(spark):
     rng = np.random.default_rng(4)
     hot = [float(x) for x in rng.normal(size=8)]
