@@ -5,13 +5,14 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -57,16 +58,14 @@ def drop_worker_tables() -> None:
 
 def shared_folder(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir`` (or the context's checkpoint
-    folder). Where neither is set, a session in one process gets a temporary
-    one; on a cluster it is an error, as a machine-local folder is not shared."""
+    folder), by the rule of ``session.shared_dir``. Where neither is set, a session in one
+    process gets a temporary one; on a cluster it is an error, as a machine-local folder is
+    not shared."""
     context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base and (context.master == "local" or context.master.startswith("local[")):
+    unset = not spark.conf.get("spark.checkpoint.dir", None) and not context.getCheckpointDir()
+    if unset and (context.master == "local" or context.master.startswith("local[")):
         context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-        base = context.getCheckpointDir()
-    if not base:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
+    return shared_dir(spark, "corpus")
 
 
 def written(df: DataFrame) -> DataFrame:
