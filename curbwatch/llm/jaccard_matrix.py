@@ -59,7 +59,7 @@ SALTS = 64
 LEADERS = 6  # entries of a column that the others are compared with first
 STAR = 256  # members that are compared with one copy of a star's centre
 FREQUENT = 32  # entries from which a column counts as frequent
-BLOCK_NODES, BLOCK_ENTRIES = 2048, 500_000  # of a block of the product of frequent columns
+BLOCK_NODES, BLOCK_ENTRIES = 4096, 1_000_000  # of a block of the product of frequent columns
 NO_ID = -(1 << 63)
 
 
@@ -252,52 +252,67 @@ def block_products(rows: DataFrame, percent: int) -> DataFrame:
     frequent = frequent.join(others, "node", "left").withColumn("others", F.coalesce("others", F.lit(0)))
     own = F.pmod(F.xxhash64("node", F.lit(5)), F.lit(blocks)).cast("int")
     cells = frequent.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    # most nodes are components of their own: their label is sent as 0
+    label = F.when(F.col("label") != F.col("node"), F.col("label")).otherwise(0).alias("label")
     cells = cells.select(
-        F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "h", "node", "n", "pos", "label", "others"
+        F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), "own", "h", "node", "n", "pos", label, "others"
     )
 
     def multiply(cell: pd.DataFrame) -> pd.DataFrame:
         drop_worker_tables()
+        cell["label"] = cell["label"].where(cell["label"] != 0, cell["node"])
         i, j = int(cell["i"].iloc[0]), int(cell["j"].iloc[0])
         sides = []
         for block in (i, j):
             part = cell[cell["own"] == block].sort_values("h")
             nodes = part.drop_duplicates("node")
-            index = pd.Index(nodes["node"])
-            sides.append((part["h"].to_numpy(), index.get_indexer(part["node"]), (part["n"] - part["pos"]).to_numpy(), nodes))
+            at = pd.Index(nodes["node"]).get_indexer(part["node"])
+            names = {c: nodes[c].to_numpy(np.int64) for c in ("node", "n", "label", "others")}
+            sides.append((part["h"].to_numpy(), at, (part["n"] - part["pos"]).to_numpy(np.int32), names))
         (ha, a, ra, left), (hb, b, rb, right) = sides
-        counts = np.zeros((len(left), len(right)), np.int32)
-        rest = np.full(counts.shape, np.iinfo(np.int32).max, np.int32)
-        for h in np.intersect1d(ha, hb):
-            x, y = (slice(*np.searchsorted(z, [h, h + 1])) if h < (1 << 63) - 1 else slice(np.searchsorted(z, h), None) for z in (ha, hb))
-            at = np.ix_(a[x], b[y])
-            counts[at] += 1
-            rest[at] = np.minimum(rest[at], np.minimum.outer(ra[x], rb[y]))
-        na, nb = (side["n"].to_numpy(np.int64) for side in (left, right))
-        key_a, key_b = (side["node"].to_numpy() for side in (left, right))
-        found = []
-        for k in range(len(left)):
-            large, small = np.maximum(na[k], nb), np.minimum(na[k], nb)
-            other = np.minimum(left["others"].iloc[k], right["others"].to_numpy())
-            behind = -(-percent * large // 100) - 1
-            reach = counts[k] + other + np.minimum(rest[k] - 1, behind)
-            fit = (counts[k] > 0) & (right["label"].to_numpy() != left["label"].iloc[k]) & (small * 100 >= percent * large)
-            fit &= reach >= -(-percent * (large + small) // (100 + percent))
-            if i == j:
-                fit[: k + 1] = False  # each pair of a block with itself once
-            hit = np.flatnonzero(fit)
-            first = (na[k] > nb[hit]) | ((na[k] == nb[hit]) & (key_a[k] > key_b[hit]))
-            found.append(
-                np.stack([np.where(first, key_a[k], key_b[hit]), np.where(first, key_b[hit], key_a[k]),
-                          counts[k][hit], rest[k][hit], large[hit], small[hit]], axis=1)
-            )
-        out = np.concatenate(found) if found else np.empty((0, 6), np.int64)
-        return pd.DataFrame(out, columns=["node", "centre", "c", "rest", "large", "small"])
+        width = len(right["node"])
+        counts = np.zeros(len(left["node"]) * width, np.int32)
+        rest = np.full(len(counts), np.iinfo(np.int32).max, np.int32)
+        for x, y in common_pairs(ha, hb):
+            spot = a[x] * width + b[y]
+            np.add.at(counts, spot, np.ones(len(spot), np.int32))
+            np.minimum.at(rest, spot, np.minimum(ra[x], rb[y]))
+        spot = np.flatnonzero(counts)
+        if i == j:
+            spot = spot[spot // width < spot % width]  # each pair of a block with itself once
+        x, y = spot // width, spot % width
+        large, small = np.maximum(left["n"][x], right["n"][y]), np.minimum(left["n"][x], right["n"][y])
+        behind = -(-percent * large // 100) - 1
+        reach = counts[spot] + np.minimum(left["others"][x], right["others"][y]) + np.minimum(rest[spot] - 1, behind)
+        fit = (reach >= -(-percent * (large + small) // (100 + percent))) & (small * 100 >= percent * large)
+        fit &= left["label"][x] != right["label"][y]
+        x, y, spot, large, small = (v[fit] for v in (x, y, spot, large, small))
+        p, q = left["node"][x], right["node"][y]
+        first = (left["n"][x] > right["n"][y]) | ((left["n"][x] == right["n"][y]) & (p > q))
+        out = {"node": np.where(first, p, q), "centre": np.where(first, q, p), "c": counts[spot], "rest": rest[spot]}
+        return pd.DataFrame({**out, "large": large, "small": small})
 
     schema = "node bigint, centre bigint, c bigint, rest bigint, large bigint, small bigint"
     return cells.groupBy("i", "j").applyInPandas(multiply, schema)
 
 
+def common_pairs(a: np.ndarray, b: np.ndarray, many: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (place in a, place in b) of equal values of two sorted arrays, about ``many`` at a time."""
+    values = np.intersect1d(a, b)
+    first_a, first_b = np.searchsorted(a, values), np.searchsorted(b, values)
+    count_a, count_b = np.searchsorted(a, values, "right") - first_a, np.searchsorted(b, values, "right") - first_b
+    sizes = count_a * count_b
+    ends = np.cumsum(sizes)
+    lo = 0
+    while lo < len(values):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + many, "right")))
+        n = sizes[lo:hi]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        per = np.repeat(count_b[lo:hi], n)
+        yield np.repeat(first_a[lo:hi], n) + inner // per, np.repeat(first_b[lo:hi], n) + inner % per
+        lo = hi
+
+
 def bitmap(spark: SparkSession, cells: DataFrame) -> np.ndarray:
     """A bit per value of the column ``cell`` (below 2**NEED_BITS), of fixed size."""
     width = NEED_BITS - 8

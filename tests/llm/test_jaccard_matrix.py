@@ -51,6 +51,15 @@ def test_blocks_of_frequent_columns_lose_no_link(spark, monkeypatch, frequent, n
     assert Counter(tuple(r) for r in jaccard_components(docs).collect()) == expected(rows)
 
 
+@pytest.mark.parametrize("many", [1, 7, 1 << 21])
+def test_common_pairs(many):
+    rng = np.random.default_rng(1)
+    a, b = np.sort(rng.integers(0, 12, 40)), np.sort(rng.integers(3, 15, 30))
+    got = [(int(x), int(y)) for xs, ys in jaccard_matrix.common_pairs(a, b, many) for x, y in zip(xs, ys)]
+    assert sorted(got) == [(x, y) for x in range(40) for y in range(30) if a[x] == b[y]]
+    assert list(jaccard_matrix.common_pairs(a[:0], b)) == []
+
+
 def test_pairs_left_are_those_of_all_columns(spark):
     """Whatever counts as frequent, no pair that links is missing and few others are there."""
     rows = [(h, node, 40, h) for node in range(30) for h in range(16) if (node * 7 + h * 3) % 11 < 8]
