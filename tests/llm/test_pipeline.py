@@ -66,7 +66,7 @@ def test_run_gives_the_last_stage(spark, stages):
 def test_all_operators_are_registered():
     names = contract.queries()
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(name.startswith(f"op{n}_") for name in names) == 1
 
 

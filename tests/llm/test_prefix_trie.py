@@ -2,7 +2,6 @@ import hashlib
 import random
 import zlib
 
-import pytest
 from pyspark.sql import functions as F
 
 from curbwatch.llm.prefix_trie import joined_ids, subtree_totals
@@ -85,18 +84,22 @@ def test_empty_table(spark, tmp_path):
     assert run(spark, tmp_path / "b", [(None, 1, "user", "x")]) == []
 
 
-@pytest.mark.parametrize("shape", ["chain", "star", "random", "comb", "forest"])
-def test_subtree_totals(spark, shape):
+def test_subtree_totals(spark):
+    """A chain, a star, random and comb-like trees and a forest of small ones, contracted side by side."""
     rng = random.Random(7)
-    n = 60 if shape == "chain" else 120
-    up = {
-        "chain": lambda i: i - 1,
-        "star": lambda i: 0,
-        "random": lambda i: rng.randrange(i),
-        "comb": lambda i: i - 1 if i % 2 else max(0, i - 2),
-        "forest": lambda i: None if i % 5 == 0 else i - 1 - rng.randrange(i % 5),
-    }[shape]
-    parent = {0: None} | {i: up(i) for i in range(1, n)}
+    shapes = [
+        (60, lambda i: i - 1),
+        (80, lambda i: 0),
+        (120, lambda i: rng.randrange(i)),
+        (80, lambda i: i - 1 if i % 2 else max(0, i - 2)),
+        (100, lambda i: None if i % 5 == 0 else i - 1 - rng.randrange(i % 5)),
+    ]
+    parent = {}
+    for n, up in shapes:
+        base = len(parent)
+        for i in range(n):
+            above = up(i) if i else None
+            parent[base + i] = None if above is None else base + above
     value = {i: rng.randrange(1, 100) for i in parent}
     total = dict(value)
     for i in sorted(parent, reverse=True):
