@@ -68,21 +68,29 @@ class BatchList:
         self.files.create(f"{self.folder}/entry-{query}-{batch_id}.json", json.dumps(entry))
 
     def committed(self, query: str, batch_id: int) -> bool:
+        """Whether the batch has an entry or a state that stands for it: two small reads, however long the list."""
         if self.files.exists(f"{self.folder}/entry-{query}-{batch_id}.json"):
             return True
-        return self.snapshot().through.get(query, -1) >= batch_id
+        state = None
+        while state is None:
+            state = self._state(self.files.names(self.folder))
+        return state["through"].get(query, -1) >= batch_id
+
+    def _state(self, names: list[str]) -> dict | None:
+        """The latest state; None if it was replaced since ``names`` were listed."""
+        states = [n for n in names if n.startswith("state-")]
+        if not states:
+            return {"number": 0, "tiers": [], "through": {}, "replaced": []}
+        text = self.files.read(f"{self.folder}/{states[-1]}")
+        return None if text is None else json.loads(text)
 
     def snapshot(self) -> Snapshot:
         """What counts now. A state replaced while it was being read is looked up again."""
         while True:
             names = self.files.names(self.folder)
-            states = [n for n in names if n.startswith("state-")]
-            state = {"number": 0, "tiers": [], "through": {}, "replaced": []}
-            if states:
-                text = self.files.read(f"{self.folder}/{states[-1]}")
-                if text is None:
-                    continue
-                state = json.loads(text)
+            state = self._state(names)
+            if state is None:
+                continue
             tiers, through = [tuple(t) for t in state["tiers"]], dict(state["through"])
             entries = []
             for name in names:
