@@ -63,23 +63,32 @@ BLOCK_NODES, BLOCK_ENTRIES = 4096, 1_000_000  # of a block of the product of fre
 NO_ID = -(1 << 63)
 
 
-def distinct_sets(batches: Iterator[pd.DataFrame], words: int) -> Iterator[tuple[object, int | None, np.ndarray, bool]]:
-    """(doc_id, node, members, whether the task sees the node for the first time) of every row."""
+def distinct_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[int | None, int | None, np.ndarray, bool]]:
+    """(doc_id, node, members, whether the task sees the node for the first time) of every row. Arrow rows, as
+    pandas makes numbers beside a null doubles, which do not hold 64-bit ids and keys."""
     drop_worker_tables()
     hasher, seen = ShingleHasher(words), set()
     for batch in batches:
-        keys = batch["doc_id"].tolist()
-        for i, members in hasher.sets(batch["text"].tolist()):
+        keys = batch.column("doc_id").to_pylist()
+        for i, members in hasher.sets(batch.column("text").to_pylist()):
             node = set_key(members) if len(members) else None
-            key = None if keys[i] is None or keys[i] != keys[i] else int(keys[i])
-            yield key, node, members, node is not None and node not in seen
+            yield None if keys[i] is None else int(keys[i]), node, members, node is not None and node not in seen
             seen.add(node)
 
 
+def arrow_rows(rows: list[tuple], fields: dict[str, pa.DataType]) -> pa.RecordBatch:
+    """Rows of the first few of the fields; the other fields are null."""
+    given = list(zip(*rows)) if rows else [()] * len(fields)
+    arrays = [pa.array(given[i] if i < len(given) else [None] * len(rows), t) for i, t in enumerate(fields.values())]
+    return pa.RecordBatch.from_arrays(arrays, list(fields))
+
+
 def surveyed(docs: DataFrame, words: int) -> DataFrame:
     """A row (doc_id, n, node) per document, and each task's sketch in blocks."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fields = {"doc_id": pa.int64(), "n": pa.int64(), "node": pa.int64(), "block": pa.int32(), "counts": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELL_BITS, np.int64)
         rows, held, n_held = [], [], 0
         for key, node, members, fresh in distinct_sets(batches, words):
@@ -89,21 +98,15 @@ def surveyed(docs: DataFrame, words: int) -> DataFrame:
                 n_held += len(members)
             if n_held > 1 << 21 or len(rows) >= 10_000:
                 counts += np.bincount(np.concatenate([*held, np.empty(0, np.uint64)]).astype(np.int64), minlength=len(counts))
-                yield frame(rows)
+                yield arrow_rows(rows, fields)
                 rows, held, n_held = [], [], 0
         counts += np.bincount(np.concatenate([*held, np.empty(0, np.uint64)]).astype(np.int64), minlength=len(counts))
-        yield frame(rows)
+        yield arrow_rows(rows, fields)
         if counts.any():
             small = np.minimum(counts, 255).astype(np.uint8).reshape(-1, 1 << BLOCK_BITS)
-            blocks = pd.DataFrame({"block": range(len(small)), "counts": [x.tobytes() for x in small]})
-            yield pd.concat([frame([]), blocks.astype({"block": "Int32"})])[columns]
-
-    def frame(rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["doc_id", "n", "node"]).astype({"doc_id": "Int64", "n": "Int64", "node": "Int64"})
-        return out.assign(block=pd.array([None] * len(out), "Int32"), counts=None)[columns]
+            yield arrow_rows([(None, None, None, block, x.tobytes()) for block, x in enumerate(small)], fields)
 
-    columns = ["doc_id", "n", "node", "block", "counts"]
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n bigint, node bigint, block int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, node bigint, block int, counts binary")
 
 
 def frequency_levels(survey: DataFrame) -> np.ndarray:
@@ -132,7 +135,7 @@ def postings(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> D
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(levels)  # a byte per cell
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level_of, out, held = shared.value, [], 0
         for _, node, members, fresh in distinct_sets(batches, words):
             if not fresh:
@@ -152,11 +155,12 @@ def postings(docs: DataFrame, levels: np.ndarray, words: int, percent: int) -> D
         if out:
             yield frame(out)
 
-    def frame(parts: list[tuple]) -> pd.DataFrame:
+    def frame(parts: list[tuple]) -> pa.RecordBatch:
         h, node, spot, salt = (np.concatenate(x) for x in zip(*parts))
-        return pd.DataFrame({"h": h.view(np.int64), "node": node, "spot": spot, "salt": salt.astype(np.int32)})
+        columns = {"h": h.view(np.int64), "node": node, "spot": spot, "salt": salt.astype(np.int32)}
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], list(columns))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "h bigint, node bigint, spot bigint, salt int")
+    return docs.select("doc_id", "text").mapInArrow(run, "h bigint, node bigint, spot bigint, salt int")
 
 
 def shared_columns(entries: DataFrame) -> DataFrame:
@@ -356,9 +360,11 @@ def wanted_sets(docs: DataFrame, survey: DataFrame, nodes: DataFrame, words: int
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(bitmap(spark, chosen.mapInPandas(cells_of, "cell bigint")))  # fixed size
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fields = {"doc_id": pa.int64(), "node": pa.int64(), "members": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, rows, held = shared.value, [], 0
-        for key, node, members, fresh in distinct_sets(batches, words):
+        for key, node, members, _ in distinct_sets(batches, words):
             if node is None:
                 continue
             key = NO_ID if key is None else key
@@ -367,12 +373,12 @@ def wanted_sets(docs: DataFrame, survey: DataFrame, nodes: DataFrame, words: int
                 rows.append((key, node, members.tobytes()))
                 held += len(members)
             if held > 1 << 19:
-                yield pd.DataFrame(rows, columns=["doc_id", "node", "members"])
+                yield arrow_rows(rows, fields)
                 rows, held = [], 0
         if rows:
-            yield pd.DataFrame(rows, columns=["doc_id", "node", "members"])
+            yield arrow_rows(rows, fields)
 
-    found = docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, node bigint, members binary")
+    found = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, node bigint, members binary")
     return found.join(chosen, ["node", "doc_id"]).select("node", "members")
 
 

@@ -1,8 +1,10 @@
 """Word shingles of whole texts as sets of 64-bit hashes, in numpy.
 
-A word is a run of bytes other than white space, A-Z lower-cased; its hash is a
-polynomial over random per-byte numbers, a shingle's hash mixes the hashes of
-its words in order. All arithmetic is over arrays of about a megabyte of text.
+A word is a run of bytes other than white space, A-Z lower-cased; its hash is the
+sum of its eight-byte pieces, each mixed with its place, and its length (a
+polynomial modulo 2^64 would be equal for some words of a thousand letters); a
+shingle's hash mixes the hashes of its words in order. All arithmetic is over
+arrays of about a megabyte of text.
 """
 
 from __future__ import annotations
@@ -17,6 +19,10 @@ U = np.uint64
 BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 IS_WORD = np.ones(256, bool)
 IS_WORD[list(BLANKS)] = False
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+PIECE = 8  # bytes
+KEPT = np.array([(1 << 8 * n) - 1 for n in range(PIECE + 1)], U)  # the first n bytes of a piece
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -38,6 +44,7 @@ class ShingleHasher:
         self.inverse = U(pow(int(self.base), -1, 1 << 64))
         self.order = rng.integers(0, 1 << 63, words, dtype=np.int64).astype(U) * U(2) + U(1)
         self.powers = self.inverses = np.ones(1, U)
+        self.seed = U(int(rng.integers(1 << 62)))
 
     def _powers(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.powers) < n:
@@ -46,17 +53,26 @@ class ShingleHasher:
             )
         return self.powers[:n], self.inverses[:n]
 
+    def hashes(self, buffer: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """The hashes of the words at these places of a buffer, which ends with a piece to spare."""
+        pieces = np.ndarray((len(buffer) - PIECE + 1,), "<u8", buffer, strides=(1,))  # one at every byte
+        n = -(-lengths // PIECE)
+        first = np.cumsum(n) - n
+        inner = np.arange(n.sum()) - np.repeat(first, n)
+        left = np.repeat(lengths, n) - PIECE * inner
+        parts = pieces[np.repeat(starts, n) + PIECE * inner] & KEPT[np.minimum(left, PIECE)]
+        parts = mixed(mixed(parts + self.seed) ^ inner.astype(U))
+        return mixed(np.add.reduceat(parts, first) + lengths.astype(U)) if len(n) else np.empty(0, U)
+
     def shingles(self, block: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(hashes of all shingles of all texts, in order; where each text's begin, and the end)."""
-        buffer = np.frombuffer(b" ".join([b"", *block, b""]), np.uint8)
+        buffer = LOWER[np.frombuffer(b" ".join([b"", *block, b" " * PIECE]), np.uint8)]
         lengths = np.array([len(x) for x in block], np.int64)
         text_at = np.concatenate([[0], np.cumsum(lengths + 1)]) + 1
         word = IS_WORD[buffer]
         edges = np.flatnonzero(word[1:] != word[:-1]) + 1  # the buffer begins and ends with a blank
         starts, ends = edges[::2], edges[1::2]
-        powers, inverses = self._powers(len(buffer) + 1)
-        sums = np.concatenate([[U(0)], np.cumsum(self.table[buffer] * powers[: len(buffer)], dtype=U)])
-        words = mixed((sums[ends] - sums[starts]) * inverses[starts])
+        words = self.hashes(buffer, starts, ends - starts)
         first = np.searchsorted(starts, text_at)  # words of text i: first[i]..first[i + 1]
         counts, k = np.diff(first), self.words
         n = np.where(counts >= k, counts - k + 1, np.minimum(counts, 1))
@@ -80,7 +96,10 @@ class ShingleHasher:
         for start, block in text_blocks(texts):
             hashes, bounds = self.shingles(block)
             for i in range(len(block)):
-                yield start + i, np.unique(hashes[bounds[i] : bounds[i + 1]])
+                members = np.sort(hashes[bounds[i] : bounds[i + 1]])
+                fresh = np.ones(len(members), bool)
+                np.not_equal(members[1:], members[:-1], out=fresh[1:])
+                yield start + i, members[fresh]
 
 
 def set_key(members: np.ndarray) -> int:

@@ -36,6 +36,32 @@ def test_edge_cases(edge_docs):
     assert got == expected(edge_rows())
 
 
+def test_null_texts_and_ids_leave_large_ids_and_keys_whole(spark):
+    """Rows without words or id lie in one batch with others, whose numbers take all 64 bits."""
+    high, rows = 1 << 62, near_copies(6, 8, 6)
+    rows = [(None if i % 9 == 4 else (high + i if i % 2 else -high - i), text) for i, text in rows]
+    rows += [(high + 1001, None), (None, " \n"), (high + 1003, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1)
+    assert Counter(tuple(r) for r in jaccard_components(docs).collect()) == expected(rows)
+    kept = [min((rows[i][0] for i in g if rows[i][0] is not None), default=None) for g in jaccard_groups(rows)]
+    assert Counter(r["doc_id"] for r in one_of_each(docs).collect()) == Counter(kept)
+
+
+def thue_morse(steps):
+    word, other = "a", "b"
+    for _ in range(steps):
+        word, other = word + other, other + word
+    return word, other
+
+
+def test_long_words_of_two_letters_are_told_apart(spark):
+    """A polynomial modulo 2^64 is equal for these words, whatever its base."""
+    a, b = thue_morse(11)
+    rows = [(1, a), (2, b), (3, f"w {a} x y z q"), (4, f"w {b} x y z q"), (5, f"{a} x y z q {b} x y z q"), (6, a.upper())]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert Counter(tuple(r) for r in jaccard_components(docs).collect()) == expected(rows)
+
+
 def test_near_copies_against_brute_force(spark):
     rows = near_copies(2, 12, 12)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
