@@ -44,6 +44,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StructField, StructType
@@ -60,6 +61,7 @@ LEADERS = 6  # entries of a column that the others are compared with first
 STAR = 256  # members that are compared with one copy of a star's centre
 FREQUENT = 32  # entries from which a column counts as frequent
 BLOCK_NODES, BLOCK_ENTRIES = 4096, 1_000_000  # of a block of the product of frequent columns
+STRIPE = 1 << 20  # cells of a block's matrix that are judged at once
 NO_ID = -(1 << 63)
 
 
@@ -186,13 +188,19 @@ def stars(entries: DataFrame, percent: int) -> DataFrame:
     random orders, so a family of near copies meets in the same few members.
     ``c`` is the number of leading entries shared; kept are pairs that share as
     many as linked rows of one size must. What this leaves out is found by
-    ``remaining_pairs``.
+    ``remaining_pairs``. Columns that are not frequent are sent once, for both
+    the leaders and those compared with them.
     """
     entries = entries.withColumn("class", F.floor(F.log("n") / F.log(F.lit(4 / 3))).cast("int"))
-    firsts = [F.min(F.struct(F.xxhash64("node", F.lit(r)), "node")).alias(f"l{r}") for r in range(LEADERS)]
-    leaders = entries.groupBy("h", "class").agg(*firsts)  # partial minima: a hot column is a row per task
-    leaders = leaders.select("h", "class", F.array_distinct(F.array(*[f"l{r}.node" for r in range(LEADERS)])).alias("all"))
-    near = entries.join(leaders, ["h", "class"]).select("node", "n", F.explode("all").alias("centre"))
+    firsts = {f"l{r}": F.min(F.struct(F.xxhash64("node", F.lit(r)), "node")) for r in range(LEADERS)}
+    every = F.array_distinct(F.array(*[f"{name}.node" for name in firsts])).alias("all")
+    column = Window.partitionBy("h", "class")
+    few = entries.where("salt = 0").repartition("h", "class")  # before the minima's structs are made
+    few = few.select("node", "n", *(first.over(column).alias(name) for name, first in firsts.items()))
+    hot = entries.where("salt > 0")
+    leaders = hot.groupBy("h", "class").agg(*(first.alias(name) for name, first in firsts.items()))  # a row per task
+    hot = hot.join(leaders.select("h", "class", every), ["h", "class"]).select("node", "n", "all")
+    near = few.select("node", "n", every).union(hot).select("node", "n", F.explode("all").alias("centre"))
     shared = near.where("node != centre").groupBy("node", "centre").agg(F.count("*").alias("c"), F.max("n").alias("n"))
     behind = F.ceil(F.expr(f"{percent} * cast(n as bigint) / 100")) - 1
     return shared.where(F.col("c") + behind >= required("n", "n", percent)).select("node", "centre", "c")
@@ -221,10 +229,15 @@ def remaining_pairs(entries: DataFrame, tied: DataFrame, percent: int) -> DataFr
     square of a family's size times the length of its texts.
     """
     labels = tied.select("node", F.col("component").alias("label"))
-    rows = entries.select("h", "node", "n", "pos").join(labels, "node", "left")
+    rows = entries.select("h", "node", "n", "pos", "salt").join(labels, "node", "left")
     rows = rows.withColumn("label", F.coalesce("label", "node"))
-    several = rows.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
-    rows = written(rows.join(several.where("lo < hi").select("h", "size"), "h"))
+    facts = {"lo": F.min("label"), "hi": F.max("label"), "size": F.count("*")}
+    cold, hot = rows.where("salt = 0").drop("salt"), rows.where("salt > 0").drop("salt")
+    column = Window.partitionBy("h")
+    cold = cold.select("*", *(fact.over(column).alias(name) for name, fact in facts.items())).where("lo < hi")
+    several = hot.groupBy("h").agg(*(fact.alias(name) for name, fact in facts.items())).where("lo < hi")
+    hot = hot.join(several.select("h", "size"), "h")
+    rows = written(cold.drop("lo", "hi").unionByName(hot))
     few = rows.where(F.col("size") <= FREQUENT)
     both = few.alias("l").join(few.alias("s"), F.expr("l.h = s.h AND l.label != s.label"))
     both = both.where("s.n < l.n OR (s.n = l.n AND s.node < l.node)").where(f"s.n * 100L >= {percent}L * l.n")
@@ -281,10 +294,16 @@ def block_products(rows: DataFrame, percent: int) -> DataFrame:
             spot = a[x] * width + b[y]
             np.add.at(counts, spot, np.ones(len(spot), np.int32))
             np.minimum.at(rest, spot, np.minimum(ra[x], rb[y]))
-        spot = np.flatnonzero(counts)
-        if i == j:
+        parts = [fitting(x, counts, rest, left, right, i == j) for x in range(0, len(counts), STRIPE)]
+        return pd.concat(parts) if parts else fitting(0, counts, rest, left, right, False)
+
+    def fitting(start: int, counts: np.ndarray, rest: np.ndarray, left: dict, right: dict, same: bool) -> pd.DataFrame:
+        """The pairs of a stripe of the matrix that may reach the threshold."""
+        width = len(right["node"])
+        spot = start + np.flatnonzero(counts[start : start + STRIPE])
+        if same:
             spot = spot[spot // width < spot % width]  # each pair of a block with itself once
-        x, y = spot // width, spot % width
+        x, y = spot // max(width, 1), spot % max(width, 1)
         large, small = np.maximum(left["n"][x], right["n"][y]), np.minimum(left["n"][x], right["n"][y])
         behind = -(-percent * large // 100) - 1
         reach = counts[spot] + np.minimum(left["others"][x], right["others"][y]) + np.minimum(rest[spot] - 1, behind)
@@ -300,20 +319,20 @@ def block_products(rows: DataFrame, percent: int) -> DataFrame:
     return cells.groupBy("i", "j").applyInPandas(multiply, schema)
 
 
-def common_pairs(a: np.ndarray, b: np.ndarray, many: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All (place in a, place in b) of equal values of two sorted arrays, about ``many`` at a time."""
-    values = np.intersect1d(a, b)
-    first_a, first_b = np.searchsorted(a, values), np.searchsorted(b, values)
-    count_a, count_b = np.searchsorted(a, values, "right") - first_a, np.searchsorted(b, values, "right") - first_b
-    sizes = count_a * count_b
+def common_pairs(a: np.ndarray, b: np.ndarray, many: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (place in a, place in b) of equal values of two sorted arrays, about ``many`` at a time: a value may
+    stand in both very often, so what is cut are the places in ``a``."""
+    first = np.searchsorted(b, a)
+    sizes = np.searchsorted(b, a, "right") - first
+    places = np.flatnonzero(sizes)
+    first, sizes = first[places], sizes[places]
     ends = np.cumsum(sizes)
     lo = 0
-    while lo < len(values):
+    while lo < len(places):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + many, "right")))
         n = sizes[lo:hi]
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        per = np.repeat(count_b[lo:hi], n)
-        yield np.repeat(first_a[lo:hi], n) + inner // per, np.repeat(first_b[lo:hi], n) + inner % per
+        yield np.repeat(places[lo:hi], n), np.repeat(first[lo:hi], n) + inner
         lo = hi
 
 
@@ -351,6 +370,18 @@ def row_cell(doc_id: int, node: int) -> int:
     return int(mixed(mixed(key[:1]) ^ key[1:])[0] >> np.uint64(64 - NEED_BITS))
 
 
+def id_cells(doc_id: np.ndarray) -> np.ndarray:
+    """The bitmap cells of ids alone, by which texts are left out before they are hashed."""
+    return (mixed(mixed(doc_id.view(np.uint64)) ^ np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - NEED_BITS)).astype(np.int64)
+
+
+def marked_ids(batch: pa.RecordBatch, at: int, no_id: int, bits: np.ndarray) -> np.ndarray:
+    """Whether the cells of the ids in column ``at`` are marked."""
+    ids = pc.fill_null(batch.column(at).cast(pa.int64()), pa.scalar(no_id, pa.int64()))
+    cells = id_cells(ids.to_numpy(zero_copy_only=False).astype(np.int64))
+    return (bits[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
+
+
 def wanted_sets(docs: DataFrame, survey: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
     """(node, members) of the given nodes, from one document of each."""
     doc_id = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")
@@ -363,13 +394,15 @@ def wanted_sets(docs: DataFrame, survey: DataFrame, nodes: DataFrame, words: int
     fields = {"doc_id": pa.int64(), "node": pa.int64(), "members": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, rows, held = shared.value, [], 0
-        for key, node, members, _ in distinct_sets(batches, words):
-            if node is None:
-                continue
+        bits, rows, held, sent = shared.value, [], 0, set()
+        likely = (b.filter(pa.array(marked_ids(b, 0, NO_ID, bits))) for b in batches)
+        for key, node, members, _ in distinct_sets(likely, words):
             key = NO_ID if key is None else key
+            if node is None or (key, node) in sent:
+                continue
             cell = row_cell(key, node)
             if bits[cell >> 3] >> (7 - (cell & 7)) & 1:
+                sent.add((key, node))
                 rows.append((key, node, members.tobytes()))
                 held += len(members)
             if held > 1 << 19:
@@ -379,12 +412,16 @@ def wanted_sets(docs: DataFrame, survey: DataFrame, nodes: DataFrame, words: int
             yield arrow_rows(rows, fields)
 
     found = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, node bigint, members binary")
-    return found.join(chosen, ["node", "doc_id"]).select("node", "members")
+    # dealt by node alone, as for the next join; an equation of the ids would be a key of this one
+    chosen = chosen.withColumnRenamed("doc_id", "chosen")
+    return found.join(chosen, "node").where("(doc_id ^ chosen) = 0").select("node", "members")
 
 
 def linked(docs: DataFrame, survey: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (node, centre) that really link, counted on their whole sets."""
-    pairs = written(pairs)
+    ends = F.least("node", "centre").alias("lo"), F.greatest("node", "centre").alias("hi")
+    pairs = pairs.groupBy(*ends).agg(F.max("centre").alias("centre"))  # one that stands both ways once
+    pairs = written(pairs.select(F.expr("lo ^ hi ^ centre").alias("node"), "centre"))
     sizes = pairs.groupBy("centre").agg(F.count("*").alias("members"))
     # a star's members are dealt over parts; each part gets a copy of the centre's set
     parts = F.ceil(F.col("members") / STAR).cast("int").alias("parts")
@@ -454,12 +491,14 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, bits, no_id = ShingleHasher(words), shared.value, (1 << 63) - 1
         for batch in batches:
-            nodes, doubts = [], []
+            nodes, doubts = [None] * batch.num_rows, [False] * batch.num_rows
             keys = batch.column(id_at).to_pylist()
-            for i, members in hasher.sets(batch.column(text_at).to_pylist()):
-                nodes.append(set_key(members) if len(members) else None)
-                cell = row_cell(no_id if keys[i] is None else keys[i], nodes[-1]) if len(members) else -1
-                doubts.append(cell >= 0 and bool(bits[cell >> 3] >> (7 - (cell & 7)) & 1))
+            likely = np.flatnonzero(marked_ids(batch, id_at, no_id, bits))
+            for k, members in hasher.sets(batch.column(text_at).take(pa.array(likely)).to_pylist()):
+                if len(members):
+                    i, node_key = int(likely[k]), set_key(members)
+                    cell = row_cell(no_id if keys[i] is None else int(keys[i]), node_key)
+                    nodes[i], doubts[i] = node_key, bool(bits[cell >> 3] >> (7 - (cell & 7)) & 1)
             more = [pa.array(nodes, pa.int64()), pa.array(doubts, pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, node, doubt])
 
@@ -474,10 +513,11 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame
 
 
 def cells_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The bitmap cells of (doc_id, node) rows."""
+    """The bitmap cells of (doc_id, node) rows, and those of their ids alone."""
     for b in batches:
         key, node = (b[c].to_numpy(np.int64).view(np.uint64) for c in ("doc_id", "node"))
-        yield pd.DataFrame({"cell": (mixed(mixed(key) ^ node) >> np.uint64(64 - NEED_BITS)).astype(np.int64)})
+        rows = (mixed(mixed(key) ^ node) >> np.uint64(64 - NEED_BITS)).astype(np.int64)
+        yield pd.DataFrame({"cell": np.concatenate([rows, id_cells(key)])})
 
 
 def free_names(taken: list[str], *names: str) -> list[str]:
