@@ -383,7 +383,7 @@ def marked_ids(batch: pa.RecordBatch, at: int, no_id: int, bits: np.ndarray) ->
 
 
 def wanted_sets(docs: DataFrame, survey: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """(node, members) of the given nodes, from one document of each."""
+    """(node, members) of the given nodes, from one document of each, and of a few others (the bitmap's)."""
     doc_id = F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")
     chosen = survey.where("node is not null").join(nodes, "node").groupBy("node").agg(F.min(doc_id).alias("doc_id"))
 
@@ -412,9 +412,8 @@ def wanted_sets(docs: DataFrame, survey: DataFrame, nodes: DataFrame, words: int
             yield arrow_rows(rows, fields)
 
     found = docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, node bigint, members binary")
-    # dealt by node alone, as for the next join; an equation of the ids would be a key of this one
-    chosen = chosen.withColumnRenamed("doc_id", "chosen")
-    return found.join(chosen, "node").where("(doc_id ^ chosen) = 0").select("node", "members")
+    # rows of one node hold the same set; what is not wanted goes in the next join, which is by node too
+    return found.select("node", "members").dropDuplicates(["node"])
 
 
 def linked(docs: DataFrame, survey: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:

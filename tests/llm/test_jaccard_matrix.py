@@ -86,6 +86,24 @@ def test_common_pairs(many):
     assert list(jaccard_matrix.common_pairs(a[:0], b)) == []
 
 
+def test_a_value_that_stands_very_often_is_paired_in_pieces():
+    a, b = np.zeros(300, np.int64), np.zeros(200, np.int64)
+    sizes = [len(x) for x, _ in jaccard_matrix.common_pairs(a, b, 1000)]
+    assert sum(sizes) == 60_000 and max(sizes) <= 1000
+
+
+def test_sets_are_dealt_once_and_only_of_likely_ids(spark):
+    rows = [(i, f"some {i} words of text {i % 7}") for i in range(40)] + [(3, "some 3 words of text 3"), (None, "no id here at all")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(2)
+    jaccard_matrix.ship_package(spark)
+    survey = jaccard_matrix.surveyed(docs, 5).where("block is null").cache()
+    wanted = survey.where("doc_id IN (3, 5) OR doc_id IS NULL").select("node").distinct()
+    sets = jaccard_matrix.wanted_sets(docs, survey, wanted, 5)
+    assert sorted(r["node"] for r in sets.collect()) == sorted(r["node"] for r in wanted.collect())
+    assert sets._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0
+    survey.unpersist()
+
+
 def test_pairs_left_are_those_of_all_columns(spark):
     """Whatever counts as frequent, no pair that links is missing and few others are there."""
     rows = [(h, node, 40, h) for node in range(30) for h in range(16) if (node * 7 + h * 3) % 11 < 8]
