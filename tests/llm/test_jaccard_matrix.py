@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import numpy as np
@@ -8,7 +9,7 @@ from curbwatch.llm.components import components
 from curbwatch.llm.jaccard_matrix import jaccard_components, one_of_each
 from curbwatch.llm.shingles import ShingleHasher, set_key
 
-from .data import edge_rows, jaccard_groups, near_copies, shingles
+from .data import edge_rows, jaccard_groups, near_copies, prose, shingles
 
 
 def expected(rows):
@@ -120,6 +121,41 @@ def test_pairs_left_are_those_of_all_columns(spark):
     assert all(sizes[f] >= sizes[100] for f in sizes)
 
 
+def test_signs_leave_at_least_the_overlap():
+    """The bound is never below what two sets share, whatever their sizes, and for small sets close to it."""
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 40, 150, 5000):
+        for share in (0.0, 0.5, 0.75, 1.0):
+            pool = np.unique(rng.integers(0, 1 << 63, 2 * n, dtype=np.int64).astype(np.uint64))
+            a, b = pool[:n], pool[n - int(share * n) : 2 * n - int(share * n)]
+            signs = (np.frombuffer(jaccard_matrix.set_sign(x), np.uint8) for x in (a, b))
+            most = (len(a) + len(b) - int(np.bitwise_count(next(signs) ^ next(signs)).sum())) // 2
+            common = len(np.intersect1d(a, b))
+            assert common <= most
+            assert n > 150 or share < 0.5 or most <= common + n // 6
+
+
+def test_few_pairs_of_a_large_family_are_counted(spark, monkeypatch):
+    """Rows outside a family's component meet all of its members; what is counted must not be their product."""
+    rng = random.Random(11)
+    words, rows = prose(rng, 150).split(" "), []
+    for i in range(500):
+        copy = list(words)
+        for at in rng.sample(range(len(words)), rng.randint(2, 5)):
+            copy[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    counted, real = [], jaccard_matrix.linked
+
+    def linked(docs, survey, pairs, words, percent):
+        counted.append(pairs.count())
+        return real(docs, survey, pairs, words, percent)
+
+    monkeypatch.setattr(jaccard_matrix, "linked", linked)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert Counter(tuple(r) for r in jaccard_components(docs).collect()) == expected(rows)
+    assert sum(counted) <= 10 * len(rows), counted
+
+
 def test_one_of_each_gives_way_to_columns_of_its_names(spark):
     rows = near_copies(4, 3, 4)
     schema = "doc_id bigint, text string, _keep_id int, keep_id int, Keep_Node string, _keep_node int, doubt int"
