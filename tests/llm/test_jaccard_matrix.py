@@ -135,6 +135,71 @@ def test_signs_leave_at_least_the_overlap():
             assert n > 150 or share < 0.5 or most <= common + n // 6
 
 
+def test_signs_of_large_sets_tell_unlike_ones_apart():
+    """As many cells as members at least: with fewer, half of them differ whatever the sets are."""
+    rng = np.random.default_rng(4)
+    for n in (100, 1000, 2000, 5000, 20_000):
+        a, b = rng.integers(0, 1 << 63, (2, n), dtype=np.int64).astype(np.uint64)
+        signs = (np.frombuffer(jaccard_matrix.set_sign(x), np.uint8) for x in (a, b))
+        most = (2 * n - int(np.bitwise_count(next(signs) ^ next(signs)).sum())) // 2
+        assert most < 2 * n * 75 // 175
+
+
+def test_signs_of_two_lengths_leave_at_least_the_overlap():
+    rng = np.random.default_rng(5)
+    pool = np.unique(rng.integers(0, 1 << 63, 6000, dtype=np.int64).astype(np.uint64))
+    sets = [pool[:n] for n in (1, 7, 8, 9, 60, 70, 900, 1024, 1025, 2048, 2049, 2600, 5000)]
+    signs = np.array([jaccard_matrix.set_sign(x) for x in sets], object)
+    n = np.array([len(x) for x in sets])
+    a, b = (x.ravel() for x in np.indices((len(sets), len(sets))))
+    most = jaccard_matrix.Signs(signs).most(a, b, n)
+    assert (most >= np.minimum(n[a], n[b])).all()
+    near = np.minimum(n[a], n[b]) * 4 >= 3 * np.maximum(n[a], n[b])
+    assert (most[near] <= np.minimum(n[a], n[b])[near] * 1.1 + 1).all()
+
+
+def sent_rows(df):
+    """Rows that the exchanges of a query have written."""
+
+    def walk(node):
+        children, metrics = node.children(), node.metrics()
+        own = metrics.get("shuffleRecordsWritten")
+        return (own.get().value() if own.isDefined() else 0) + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_entries_of_frequent_columns_are_sent_in_proportion(spark, monkeypatch):
+    """Unrelated columns don't multiply each other's rows, however many nodes they have together."""
+    for name, value in (("FREQUENT", 4), ("BLOCK_NODES", 12), ("BLOCK_ENTRIES", 40)):
+        monkeypatch.setattr(jaccard_matrix, name, value)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sent = {}
+        for columns in (20, 80):
+            rows = [(h, 1000 * h + i, 8, 0, 0) for h in range(columns) for i in range(6)]
+            entries = spark.createDataFrame(rows, "h bigint, node bigint, n int, pos int, salt int")
+            none = spark.createDataFrame([], "node bigint, component bigint")
+            sent[columns] = sent_rows(jaccard_matrix.remaining_pairs(entries, none, 75))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert sent[80] <= 5 * sent[20], sent
+
+
+@pytest.mark.parametrize("nodes,run", [(1, 1), (4, 50), (4, 1 << 17), (1000, 1)])
+def test_cut_blocks_give_the_pairs_of_whole_ones(spark, monkeypatch, nodes, run):
+    rows = [(h, (node - 15) << 40, 40, h, 0) for node in range(30) for h in range(16) if (node * 7 + h * 3) % 11 < 8]
+    entries = spark.createDataFrame(rows, "h bigint, node bigint, n int, pos int, salt int")
+    tied = spark.createDataFrame([((node - 15) << 40, (node // 8 - 15) << 40) for node in range(20)], "node bigint, component bigint")
+    want = {tuple(r) for r in jaccard_matrix.remaining_pairs(entries, tied, 75).collect()}
+    for name, value in (("FREQUENT", 0), ("BLOCK_NODES", nodes), ("CELL_ROWS", run), ("STRIPE", 10)):
+        monkeypatch.setattr(jaccard_matrix, name, value)
+    got = [tuple(r) for r in jaccard_matrix.remaining_pairs(entries, tied, 75).collect()]
+    assert want and len(got) == len(set(got)) and set(got) == want
+
+
 def test_few_pairs_of_a_large_family_are_counted(spark, monkeypatch):
     """Rows outside a family's component meet all of its members; what is counted must not be their product."""
     rng = random.Random(11)
